@@ -7,28 +7,26 @@ point has a time, a signature slot and a unit cell within its range, and counts
 if the cell lies below w. The earliest time in each slot is the signature, so
 two slots agree with the probability of the weighted Jaccard similarity.
 
-Bands of slots give candidate buckets. In each bucket pivots are verified
-against the members that are not yet in their class, on the exact multisets;
-classes are the connected components of the links found. A bucket is left once
-its members share a class or every member but one has been a pivot, so no link
-between different texts is lost, yet a bucket of mutual copies costs one check a
-member.
+Bands of slots give candidate buckets. First one pivot a bucket, the member that
+shares most buckets, is verified against the rest on the exact multisets. Members
+whose class then differs from that of most of their bucket are compared with
+all of it, block by block, each pair in the first bucket that it shares; so no link
+between different texts is lost, and a bucket of mutual copies costs one
+check a member. Classes are the connected components of the links.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import WORD, Bounded, blocks, cut, mix, word_hashes
 
-BANDS, ROWS = 26, 5
+BANDS, ROWS, BLOCK = 26, 5, 256
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _words = Bounded()
 
@@ -140,6 +138,39 @@ def _verified(width: int, threshold: float):
     return run
 
 
+def _compared(width: int, threshold: float):
+    """Links between the documents of two blocks of a bucket that differ in their label, each in the first bucket it shares."""
+
+    def run(odd: pd.DataFrame, every: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        if len(odd) and len(every):
+            bucket = odd["bucket"].iat[0]
+            x, y = np.stack(odd["bands"]), np.stack(every["bands"])
+            band = int(np.flatnonzero(x[0] == bucket)[0])
+            owner, item, count = shingle_bags(every["text"].tolist(), width)
+            sizes = np.bincount(owner, count, len(every))
+            mine, what, many = shingle_bags(odd["text"].tolist(), width)
+            edge = np.searchsorted(mine, np.arange(len(odd) + 1))
+            ids, labels = every["id"].to_numpy(), every["label"].to_numpy()
+            for r in range(len(odd)):
+                s = slice(edge[r], edge[r + 1])
+                total = many[s].sum()
+                want = (labels != odd["label"].iat[r]) & ~(y[:, :band] == x[r, :band]).any(axis=1)
+                want &= np.minimum(sizes, total) >= threshold * np.maximum(sizes, total) - 1e-9
+                if not want.any():
+                    continue
+                near = want[owner]
+                at = np.searchsorted(what[s], item[near])
+                at[at == edge[r + 1] - edge[r]] = 0
+                hit = what[s][at] == item[near]
+                both = np.bincount(owner[near], np.where(hit, np.minimum(many[s][at], count[near]), 0), len(every))
+                linked = want & (both >= (threshold - 1e-12) * (sizes + total - both))
+                out += [(int(odd["id"].iat[r]), int(i)) for i in ids[linked]]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
 def components(links: DataFrame) -> DataFrame:
     """Smallest node of each connected component: (id, label) for every node of ``links(a, b)``.
 
@@ -175,38 +206,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = base.where("text is not null and id is not null")
 
     signed = named.mapInPandas(_band_hashes(bands, rows, width), "id long, bands array<long>").join(first.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    slots = cut(signed.select("id", F.explode("bands").alias("bucket")), "slots")
+    signed = cut(signed, "signed")
+    slots = signed.select("id", F.explode("bands").alias("bucket"))
     full = slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut(slots.join(full, "bucket"), "members")
-    texts = cut(named.join(members.select("id").distinct(), "id", "left_semi").select("id", "text"), "texts")
-
-    labels, links, seen, open_, pivots, used = None, [], [], members, 1, 0
-    while True:
-        if labels is None:
-            pivot = members.groupBy("bucket").agg(F.min("id").alias("a"))
-            pairs = members.join(pivot, "bucket").where("id > a").select("a", F.col("id").alias("b")).distinct()
-        else:
-            ranked = open_.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("id")))
-            pivot = ranked.where((F.col("rank") > used) & (F.col("rank") <= pivots)).select("bucket", F.col("id").alias("a"), F.col("label").alias("la"), F.col("rank").alias("ra"))
-            pairs = pivot.join(ranked, "bucket").where("rank > ra and label <> la").select("a", F.col("id").alias("b")).distinct()
-            pairs = pairs.join(reduce(DataFrame.union, seen), ["a", "b"], "left_anti")
-        told = (
-            pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-            .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-            .select("a", "text_a", "b", "text_b")
-            .mapInPandas(_verified(width, threshold), "a long, b long, linked boolean")
-        )
-        told = cut(told, "told")
-        seen.append(told.select("a", "b"))
-        links.append(told.where("linked").select("a", "b"))
-        labels = components(reduce(DataFrame.union, links))
-        used, pivots = pivots, pivots * 4 + 1
-        placed = members.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"))
-        placed = cut(placed.where(F.col("n") > used + 1), "placed")
-        split = placed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-        open_ = placed.join(split, "bucket", "left_semi")
-        if open_.isEmpty():
-            break
+    shares = members.groupBy("id").agg(F.sum("n").alias("shared"))
+    pivot = members.join(shares, "id").groupBy("bucket").agg(F.max(F.struct("shared", (-F.col("id")).alias("a"))).alias("top"))
+    pairs = cut(members.join(pivot.select("bucket", (-F.col("top.a")).alias("a")), "bucket").where("id <> a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), F.col("a").alias("pivot")).distinct(), "pairs")
+    texts = cut(named.join(shares.select("id"), "id", "left_semi").select("id", "text"), "texts")
+
+    one = pairs.groupBy("a", "b").agg(F.min("pivot").alias("pivot")).select("pivot", F.expr("case when pivot = a then b else a end").alias("other"))
+    told = (
+        one.join(texts.select(F.col("id").alias("other"), F.col("text").alias("text_b")), "other")
+        .join(texts.select(F.col("id").alias("pivot"), F.col("text").alias("text_a")), "pivot")
+        .select(F.col("pivot").alias("a"), "text_a", F.col("other").alias("b"), "text_b")
+        .mapInPandas(_verified(width, threshold), "a long, b long, linked boolean")
+    )
+    links = cut(told.where("linked").select("a", "b"), "links")
+    labels = components(links)
+
+    # what is left: members outside the class of most of their bucket, against all the bucket
+    placed = members.where("n > 2").join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"))
+    placed = cut(placed, "placed")
+    most = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n"))
+    most = most.groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("top"), F.max("n").alias("n")).where("top.m < n")
+    most = most.select("bucket", F.col("top.label").alias("most"), F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("top.m")) / BLOCK).alias("odd_blocks"))
+    rest = cut(placed.join(most, "bucket"), "rest")
+    if not rest.isEmpty():
+        rest = rest.join(signed, "id").join(texts.dropDuplicates(["id"]), "id")
+        unit = lambda own, other: [F.pmod(F.xxhash64("id"), F.col(own)).alias(own[:-1]), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other[:-1])]
+        held = ["bucket", "id", "label", "bands", "text"]
+        odd = cut(rest.where("label <> most"), "odd").select(*held, *unit("odd_blocks", "blocks"))
+        every = rest.select(*held, *unit("blocks", "odd_blocks"))
+        keys = ["bucket", "block", "odd_block"]
+        found = odd.groupBy(*keys).cogroup(every.groupBy(*keys)).applyInPandas(_compared(width, threshold), "a long, b long")
+        links = cut(links.union(found), "links")
+        labels = components(links)
 
     classes = first.join(labels, "id", "left").select("same", F.coalesce("label", "id").alias("class_id"))
     return keyed.join(classes, "same", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"))
