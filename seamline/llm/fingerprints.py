@@ -38,22 +38,20 @@ def draws(term: Column, j: Column) -> tuple[Column, Column, Column]:
 def bids(counts: DataFrame, group: str, row: str, weights: list[str], samples: int) -> DataFrame:
     """Least bids of the terms of each ``row`` of a ``group``, a column ``<weight>_<j>`` for each weight and sample.
 
-    A row of ``counts`` is a term (a hash) with a count in each of ``weights``; a count of 0 or null doesn't bid. A
-    term's draws are made once for all rows of a group that have it. Samples are drawn ``TURN`` at a time, a turn a
-    row, as generated code that handles more of them at once is too long to be compiled.
+    A row of ``counts`` is a term (a hash) with a count in each of ``weights``; a count of 0 or null doesn't bid. Samples
+    are drawn ``TURN`` at a time, a turn a row, as generated code that handles more of them at once is too long
+    to be compiled.
     """
     ln = [F.when(F.col(w) > 0, F.log(F.col(w).cast("double"))).alias(w) for w in weights]
-    terms = counts.groupBy(group, "term").agg(F.collect_list(F.struct(row, *ln)).alias("held"))
-    terms = terms.select(group, "term", "held", F.explode(F.lit(list(range(0, samples, TURN)))).alias("turn"))
+    each = counts.select(group, row, "term", *ln, F.explode(F.lit(list(range(0, samples, TURN)))).alias("turn"))
     drawn = [x.alias(f"{n}_{k}") for k in range(TURN) for n, x in zip("rbs", draws(F.col("term"), F.col("turn") + k), strict=True)]
-    each = terms.select(group, "turn", "held", *drawn)
-    each = each.select(group, "turn", *(f"{n}_{k}" for k in range(TURN) for n in "rbs"), F.explode("held").alias("x"))
+    each = each.select(group, row, "turn", *weights, *drawn)
     least = []
     for k in range(TURN):
         for w in weights:
-            bid = F.expr(f"case when x.{w} = 0 then s_{k} when x.{w} > 0 then s_{k} - r_{k} * floor(x.{w} / r_{k} + b_{k}) end")
+            bid = F.expr(f"case when {w} = 0 then s_{k} when {w} > 0 then s_{k} - r_{k} * floor({w} / r_{k} + b_{k}) end")
             least.append(F.min(bid).alias(f"{w}_{k}"))
-    turns = each.groupBy(group, F.col(f"x.{row}").alias(row), "turn").agg(*least)
+    turns = each.groupBy(group, row, "turn").agg(*least)
     pick = lambda w, j: F.expr(f"max(case when turn = {j // TURN * TURN} then {w}_{j % TURN} end) as {w}_{j}")
     return turns.groupBy(group, row).agg(*(pick(w, j) for w in weights for j in range(samples)))
 
@@ -90,7 +88,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = base.agg(F.percentile_approx("id", [k / n for k in range(1, n)], 10 * max(1000, n))).first()[0]
-    base = base.withColumn("stretch", _stretch(F.col("id"), sorted(set(cuts or []))))
+    # never null, but said here, so that all readers of the shuffled texts agree and it is made once
+    base = base.withColumn("stretch", _stretch(F.col("id"), sorted(set(cuts or [])))).where("stretch is not null")
     order = Window.partitionBy("stretch").orderBy(F.desc_nulls_last("id"), F.xxhash64("text"), "text")
     rows = base.select("*", F.row_number().over(order).alias("rn"), F.lead(F.struct("id", "text")).over(order).alias("then"))
     ends = cut(base.groupBy("stretch").agg(F.max("id").alias("id")), "ends")
