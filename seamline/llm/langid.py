@@ -57,7 +57,6 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     prior = dict(known.groupBy("lang").count().collect())
     langs = sorted(prior)
     at = {x: i for i, x in enumerate(langs)}
-    words_at: dict[str, int] = {}
     by_word: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(langs)))
     by_gram: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(langs)))
     for lang, word, n in top:
@@ -66,13 +65,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             by_gram[g][at[lang]] += n
     words_at = {w: i for i, w in enumerate(by_word)}
     orders = np.array([len(g) for g in by_gram], int)
-    counts = np.array(list(by_gram.values())).reshape(-1, len(langs))
+    counts = np.array(list(by_gram.values())).reshape(len(by_gram), len(langs))
     logs = np.zeros(counts.shape)
     for n in range(1, longest + 1):
         if (orders == n).any():
             logs[orders == n] = _logs(counts[orders == n])
     share = np.array([prior[x] for x in langs], float)
-    return Model(langs, words_at, _logs(np.array(list(by_word.values())).reshape(-1, len(langs))), {g: i for i, g in enumerate(by_gram)}, logs, np.log(share / max(1.0, share.sum())), longest)
+    return Model(langs, words_at, _logs(np.array(list(by_word.values())).reshape(len(by_word), len(langs))), {g: i for i, g in enumerate(by_gram)}, logs, np.log(share / max(1.0, share.sum())), longest)
 
 
 def _grams(word: str, orders) -> Iterator[str]:
