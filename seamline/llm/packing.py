@@ -43,6 +43,25 @@ def _ids(path: str, texts: list[str]) -> list[bytes]:
     return [np.array(x.ids, "<u4").tobytes() for x in t.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def _byte_signs() -> dict[int, str]:
+    """The printable character that a byte-level vocabulary writes for each byte: itself, or the next one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_SIGNS = _byte_signs()
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def _word_ids(path: str, words: list[str]) -> list[bytes]:
+    """Ids of words with a space before them; a word of letters is one unit of the pattern and goes straight to the merges."""
+    merge = tokenizer(path).model.tokenize
+    out = [np.array([x.id for x in merge((" " + w).encode().decode("latin-1").translate(_SIGNS))], "<u4").tobytes() if _LETTERS.fullmatch(w) else None for w in words]
+    other = iter(_ids(path, [" " + w for w, x in zip(words, out, strict=True) if x is None]))
+    return [next(other) if x is None else x for x in out]
+
+
 def encode(path: str, texts: list[str]) -> list[bytes]:
     """Token ids of each text, four little-endian bytes an id.
 
@@ -52,7 +71,7 @@ def encode(path: str, texts: list[str]) -> list[bytes]:
     lines = [None if _ODD.search(x) else [s.split(" ") for s in x.split("\n")] for x in texts]
     odd = [_CHUNK.findall(x) if s is None else () for x, s in zip(texts, lines, strict=True)]
     _heads.need({p[0] for s in lines if s for p in s}.union(["\n"], *odd), lambda new: _ids(path, new))
-    _tails.need({w for s in lines if s for p in s for w in p[1:]}, lambda new: _ids(path, [" " + w for w in new]))
+    _tails.need({w for s in lines if s for p in s for w in p[1:]}, lambda new: _word_ids(path, new))
     head, tail, out = _heads.__getitem__, _tails.__getitem__, []
     for s, chunks in zip(lines, odd, strict=True):
         if s is None:
