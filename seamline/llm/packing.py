@@ -26,7 +26,7 @@ from .common import Bounded, blocks
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2000))) + "-" + "".join(map(chr, (0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _ODD = re.compile(r"\s\s| \Z")
 _CHUNK = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-_heads, _tails = Bounded(200_000), Bounded(600_000)
+_heads, _tails = Bounded(200_000), Bounded(1_000_000)
 
 
 @cache
@@ -68,10 +68,15 @@ def encode(path: str, texts: list[str]) -> list[bytes]:
     No token of a byte-level BPE crosses the start of a space before a word, or a
     lone line break, so the text is cut there and each distinct part tokenised once.
     """
-    lines = [None if _ODD.search(x) else [s.split(" ") for s in x.split("\n")] for x in texts]
-    odd = [_CHUNK.findall(x) if s is None else () for x, s in zip(texts, lines, strict=True)]
-    _heads.need({p[0] for s in lines if s for p in s}.union(["\n"], *odd), lambda new: _ids(path, new))
-    _tails.need({w for s in lines if s for p in s for w in p[1:]}, lambda new: _word_ids(path, new))
+    lines = [[s.split(" ") for s in x.split("\n")] for x in texts]
+    heads, tails = {p[0] for s in lines for p in s}, {w for s in lines for p in s for w in p[1:]}
+    odd = [()] * len(texts)
+    if any(not w or w[0].isspace() or w[-1].isspace() for words in (heads, tails) for w in words):  # else no two white spaces meet
+        lines = [None if _ODD.search(x) else s for x, s in zip(texts, lines, strict=True)]
+        odd = [_CHUNK.findall(x) if s is None else () for x, s in zip(texts, lines, strict=True)]
+        heads, tails = {p[0] for s in lines if s for p in s}, {w for s in lines if s for p in s for w in p[1:]}
+    _heads.need(heads.union(["\n"], *odd), lambda new: _ids(path, new))
+    _tails.need(tails, lambda new: _word_ids(path, new))
     head, tail, out = _heads.__getitem__, _tails.__getitem__, []
     for s, chunks in zip(lines, odd, strict=True):
         if s is None:

@@ -211,6 +211,9 @@ def test_packing_tokens_and_bins(spark, odd):
     noise = ["".join(rng.choices("ab .,'s!\n\t  \xa0éß1", k=rng.randint(0, 60))) for _ in range(300)] + [x or "" for x in odd]
     for x, ids in zip(noise, packing.encode(path, noise), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
+    plain = [x for x in odd if x and not packing._ODD.search(x)]
+    for x, ids in zip(plain, packing.encode(path, plain), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
     got = packing.pack(packing.pieces(docs(spark, odd), path)).collect()
     ids = {i: t.encode(x or "", add_special_tokens=False).ids + [2] for i, x in enumerate(odd)}
     bins = {}
