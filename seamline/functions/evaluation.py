@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -81,3 +83,37 @@ def bands(breaks: DataFrame, runs: DataFrame, tolerance: int, level: float = 0.9
     got = near.groupBy("series", "b").agg(F.percentile("p", (1 - level) / 2).alias("lo"), F.percentile("p", (1 + level) / 2).alias("hi"))
     out = breaks.join(got, ["series", "b"], "left")
     return out.select("series", "b", F.coalesce("lo", (F.col("b") - tolerance).cast("double")).alias("lo"), F.coalesce("hi", (F.col("b") + tolerance).cast("double")).alias("hi"))
+
+
+def _assigned(truth: list[int], found: list[int]) -> list[tuple[int, int]]:
+    """Pairs of the least total distance, each break once: on a line an optimal assignment keeps the order."""
+    a, b = sorted(truth), sorted(found)
+    if len(a) > len(b):
+        return [(x, y) for y, x in _assigned(b, a)]
+    cost = np.full((len(a) + 1, len(b) + 1), np.inf)
+    cost[0] = 0
+    for i, x in enumerate(a, 1):
+        for j in range(i, len(b) + 1):
+            cost[i, j] = min(cost[i, j - 1], cost[i - 1, j - 1] + abs(x - b[j - 1]))
+    out, j = [], len(b)
+    for i in range(len(a), 0, -1):
+        while cost[i, j] == cost[i, j - 1]:
+            j -= 1
+        out.append((a[i - 1], b[j - 1]))
+        j -= 1
+    return out[::-1]
+
+
+def matched(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """(series, b, near, distance): one-to-one pairs of true and found breaks of the least total distance.
+
+    The breaks of one series are few and go to one group; series are spread.
+    """
+
+    def run(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        pairs = _assigned(own["b"].drop_duplicates().tolist(), other["b"].drop_duplicates().tolist()) if len(own) and len(other) else []
+        return pd.DataFrame([(own["series"].iat[0], x, y, abs(x - y)) for x, y in pairs], columns=["series", "b", "near", "distance"])
+
+    kind = truth.schema["series"].dataType.simpleString()
+    both = truth.select("series", "b").groupBy("series").cogroup(found.select("series", "b").groupBy("series"))
+    return both.applyInPandas(run, f"series {kind}, b long, near long, distance long")

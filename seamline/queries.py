@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import evaluation, features, labels, scores
-from .operators import detectors, frames, search, twosample
+from .operators import detectors, factors, frames, search, twosample
 from .operators import reduce as reductions
 from .plans import segmentation
 from .sources import panels
@@ -351,6 +351,32 @@ def dr_pca(spark, d):
     return reductions.principal_components(wide(spark, d), RATES, 3)
 
 
+@query()
+def dr_ica(spark, d):
+    return factors.independent_components(wide(spark, d), RATES, 3)
+
+
+@query()
+def dr_sparse_pca(spark, d):
+    return factors.sparse_components(wide(spark, d), RATES, 3)
+
+
+@query()
+def dr_robust_pca(spark, d):
+    return factors.robust_components(wide(spark, d), RATES)
+
+
+@query()
+def dr_kernel_pca(spark, d):
+    return factors.kernel_components(wide(spark, d), RATES, 3, "rbf", gamma=0.1)
+
+
+@query()
+def dr_dmd(spark, d):
+    steps = wide(spark, d).withColumn("t", F.year("date") * 12 + F.month("date") - 1995 * 12 - 1)
+    return factors.dynamic_modes(steps, RATES, 12, 3, 3)
+
+
 @query()
 def krn_fourier(spark, d):
     return reductions.fourier_map(wide(spark, d), RATES, gamma=1e-4)
@@ -449,6 +475,11 @@ def eva_nearest(spark, d):
     return evaluation.nearest(_breaks(spark, d), labels.breaks_of(_labels(spark, d)))
 
 
+@query()
+def eva_matched(spark, d):
+    return evaluation.matched(_breaks(spark, d), labels.breaks_of(_labels(spark, d)))
+
+
 @query(f"with {_TWO}, m as (select series, b, min(abs(b - p)) as near from tr join fo using (series) group by all) select series, max(near) as distance from m group by all")
 def eva_hausdorff(spark, d):
     return evaluation.hausdorff(_breaks(spark, d), labels.breaks_of(_labels(spark, d)))
