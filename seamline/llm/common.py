@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
+from itertools import filterfalse
 
 import numpy as np
 import xxhash
@@ -57,7 +58,7 @@ class Bounded(dict):
         self.most = most
 
     def need(self, keys: Iterable, fill: Callable[[list], Iterable]) -> None:
-        new = [k for k in keys if k not in self]
+        new = list(filterfalse(self.__contains__, keys))
         if len(self) + len(new) > self.most and self:
             self.clear()
             new = list(keys)

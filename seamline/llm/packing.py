@@ -10,6 +10,7 @@ if too many are open, the fullest closes first.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -25,6 +26,7 @@ from .common import Bounded, blocks
 #: White space as the tokenizer's pattern means it, in Unicode's property White_Space.
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2000))) + "-" + "".join(map(chr, (0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _ODD = re.compile(r"\s\s| \Z")
+_PAIR = re.compile(r"\s\s")
 _CHUNK = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 _heads, _tails = Bounded(200_000), Bounded(1_000_000)
 
@@ -40,7 +42,11 @@ def tokenizer(path: str):
 
 def _ids(path: str, texts: list[str]) -> list[bytes]:
     t = tokenizer(path)
-    return [np.array(x.ids, "<u4").tobytes() for x in t.encode_batch_fast(texts, add_special_tokens=False)]
+    return [_packed(x.ids) for x in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _byte_signs() -> dict[int, str]:
@@ -51,13 +57,21 @@ def _byte_signs() -> dict[int, str]:
 
 
 _SIGNS = _byte_signs()
-_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 
 
 def _word_ids(path: str, words: list[str]) -> list[bytes]:
-    """Ids of words with a space before them; a word of letters is one unit of the pattern and goes straight to the merges."""
-    merge = tokenizer(path).model.tokenize
-    out = [np.array([x.id for x in merge((" " + w).encode().decode("latin-1").translate(_SIGNS))], "<u4").tobytes() if _LETTERS.fullmatch(w) else None for w in words]
+    """Ids of words with a space before them; letters, and a stop after them, are units of the pattern and go straight to the merges."""
+    merge, space = tokenizer(path).model.tokenize, _SIGNS[ord(" ")]
+    stops = {x: _packed([y.id for y in merge(x)]) for x in ".,;:!?"} | {"": b""}
+    out = []
+    for w in words:
+        if found := _LETTERS.fullmatch(w):
+            letters, stop = found.groups()
+            signs = space + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(_SIGNS))
+            out.append(_packed([x.id for x in merge(signs)]) + stops[stop])
+        else:
+            out.append(None)
     other = iter(_ids(path, [" " + w for w, x in zip(words, out, strict=True) if x is None]))
     return [next(other) if x is None else x for x in out]
 
@@ -69,9 +83,9 @@ def encode(path: str, texts: list[str]) -> list[bytes]:
     lone line break, so the text is cut there and each distinct part tokenised once.
     """
     lines = [[s.split(" ") for s in x.split("\n")] for x in texts]
-    heads, tails = {p[0] for s in lines for p in s}, {w for s in lines for p in s for w in p[1:]}
+    heads, tails = {p[0] for s in lines for p in s}, set().union(*(p[1:] for s in lines for p in s))
     odd = [()] * len(texts)
-    if any(not w or w[0].isspace() or w[-1].isspace() for words in (heads, tails) for w in words):  # else no two white spaces meet
+    if any(_PAIR.search("\n".join(["", *words, ""])) for words in (heads, tails) if words):  # else no two white spaces meet
         lines = [None if _ODD.search(x) else s for x, s in zip(texts, lines, strict=True)]
         odd = [_CHUNK.findall(x) if s is None else () for x, s in zip(texts, lines, strict=True)]
         heads, tails = {p[0] for s in lines if s for p in s}, {w for s in lines if s for p in s for w in p[1:]}
