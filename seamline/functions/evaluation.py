@@ -117,3 +117,17 @@ def matched(truth: DataFrame, found: DataFrame) -> DataFrame:
     kind = truth.schema["series"].dataType.simpleString()
     both = truth.select("series", "b").groupBy("series").cogroup(found.select("series", "b").groupBy("series"))
     return both.applyInPandas(run, f"series {kind}, b long, near long, distance long")
+
+
+def detection(truth: DataFrame, found: DataFrame, tolerance: int = 5) -> DataFrame:
+    """(series, precision, recall, f1, recovery) of breaks matched one to one within ``tolerance``.
+
+    A series without found breaks scores 0, without true ones too; its recovery is then 1.
+    """
+    hits = matched(truth, found).where(F.col("distance") <= tolerance).groupBy("series").agg(F.count(F.lit(1)).alias("hits"))
+    size = lambda breaks, name: breaks.select("series", "b").distinct().groupBy("series").agg(F.count(F.lit(1)).alias(name))
+    all_ = size(truth, "t").join(size(found, "f"), "series", "full").join(hits, "series", "left").na.fill(0, ["t", "f", "hits"])
+    share = lambda n: F.when(F.col(n) > 0, F.col("hits") / F.col(n)).otherwise(0.0)
+    f1 = F.when(F.col("hits") > 0, 2 * F.col("hits") / (F.col("t") + F.col("f"))).otherwise(0.0)
+    recovery = F.when(F.col("t") > 0, F.col("hits") / F.col("t")).otherwise(1.0)
+    return all_.select("series", share("f").alias("precision"), share("t").alias("recall"), f1.alias("f1"), recovery.alias("recovery"))

@@ -88,3 +88,28 @@ def nelson_siegel(years: list[float], decay: float = 0.0609) -> list[list[float]
     tau = np.array(years) * 12 * decay
     load = np.stack([np.ones(len(tau)), (1 - np.exp(-tau)) / tau, (1 - np.exp(-tau)) / tau - np.exp(-tau)], axis=1)
     return np.linalg.pinv(load).tolist()
+
+
+def column_groups(columns: list[str]) -> dict[str, list[str]]:
+    """Rate columns by source and by tenor, then all of them: the groups a panel is segmented by."""
+    groups: dict[str, list[str]] = {}
+    for part, name in ((0, "source"), (1, "tenor")):
+        for c in columns:
+            if "_" in c:
+                groups.setdefault(f"{name} {c.split('_', 1)[part]}", []).append(c)
+    return groups | {"all": list(columns)}
+
+
+def decay_lag(panel: DataFrame, breaks: DataFrame, width: int = 100, most: int = 40, threshold: float = 0.1) -> DataFrame:
+    """(series, label, lag): the first lag at which the autocorrelation of the 2 * width rows around break ``label`` falls below ``threshold``, else ``most``.
+
+    Breaks nearer than ``width`` to an end give no row. The pairs of a break are bounded by width and lag.
+    """
+    w = Window.partitionBy("series", "label")
+    x = panel.join(breaks.select("series", F.col("b").alias("label")), "series").where((F.col("t") >= F.col("label") - width) & (F.col("t") < F.col("label") + width))
+    x = x.select("series", "label", "t", (F.col("value") - F.avg("value").over(w)).alias("x"), F.count(F.lit(1)).over(w).alias("_n")).where(F.col("_n") == 2 * width)
+    ahead = x.select("series", "label", F.col("t").alias("t2"), F.col("x").alias("x2"))
+    pairs = x.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("t2", F.col("t") + F.col("lag")).join(ahead, ["series", "label", "t2"])
+    sums = pairs.groupBy("series", "label", "lag").agg(F.sum(F.col("x") * F.col("x2")).alias("s"))
+    r = F.round(F.try_divide("s", F.max(F.when(F.col("lag") == 0, F.col("s"))).over(w)), 6)
+    return sums.withColumn("r", r).groupBy("series", "label").agg(F.coalesce(F.min(F.when(F.abs("r") < threshold, F.col("lag"))), F.max("lag")).alias("lag"))

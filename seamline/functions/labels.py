@@ -47,3 +47,9 @@ def merge_close(breaks: DataFrame, tolerance: int) -> DataFrame:
     fold = lambda kept, x: F.when((F.size(kept) > 0) & (x - F.element_at(kept, -1) <= tolerance), F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(x))).otherwise(F.concat(kept, F.array(x)))
     by = breaks.groupBy("series").agg(F.array_sort(F.collect_set("b")).alias("all"))
     return by.select("series", F.explode(F.aggregate("all", F.array().cast("array<bigint>"), fold)).alias("b"))
+
+
+def legends(runs: DataFrame) -> DataFrame:
+    """``intervals`` with a text for each: its label, first and last day."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return runs.withColumn("legend", F.concat_ws(" ", F.col("label").cast("string"), F.lit("from"), day("start"), F.lit("to"), day("end")))

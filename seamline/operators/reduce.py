@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,3 +82,30 @@ def fourier_map(panel: DataFrame, columns: list[str], n: int = 50, gamma: float
 
     kind = panel.schema["date"].dataType.simpleString()
     return panel.select("date", *columns).mapInPandas(run, f"date {kind}, z array<double>")
+
+
+def segment_distances(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(series, t, segment, distance): from each row to the mean of each segment of its series; segments are few."""
+    means = rows.groupBy("series", F.col("label").alias("segment")).agg(*(F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)))
+    square = sum(((F.col(c) - F.col(f"_m{i}")) ** 2 for i, c in enumerate(columns)), F.lit(0.0))
+    return rows.select("series", "t", *columns).join(means, "series").select("series", "t", "segment", F.sqrt(square).alias("distance"))
+
+
+def _standardised(panel: DataFrame, columns: list[str]) -> DataFrame:
+    v = VectorAssembler(inputCols=columns, outputCol="_v").transform(panel)
+    return StandardScaler(withMean=True, inputCol="_v", outputCol="features").fit(v).transform(v)
+
+
+def centre_distances(panel: DataFrame, columns: list[str], k: int = 3, seed: int = 42) -> DataFrame:
+    """``c1`` ..: distances of the standardised row to the centres of k-means."""
+    v = _standardised(panel, columns)
+    model = KMeans(k=k, seed=seed).fit(v)
+    gap = lambda c: F.sqrt(F.aggregate(F.zip_with(vector_to_array("features"), F.array(*map(F.lit, c.tolist())), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    return model.transform(v).select(*panel.columns, *(gap(c).alias(f"c{i + 1}") for i, c in enumerate(model.clusterCenters())))
+
+
+def responsibilities(panel: DataFrame, columns: list[str], k: int = 2, seed: int = 42) -> DataFrame:
+    """``p1`` ..: the probabilities of the components of a Gaussian mixture."""
+    v = _standardised(panel, columns)
+    out = GaussianMixture(k=k, seed=seed).fit(v).transform(v).withColumn("_a", vector_to_array("probability"))
+    return out.select(*panel.columns, *(F.get("_a", F.lit(j)).alias(f"p{j + 1}") for j in range(k)))

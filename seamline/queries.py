@@ -16,8 +16,8 @@ from pyspark.sql.window import Window
 from .functions import evaluation, features, labels, scores
 from .operators import detectors, factors, frames, search, twosample
 from .operators import reduce as reductions
-from .plans import segmentation
-from .sources import panels
+from .plans import explain, segmentation
+from .sources import panels, sinks
 from .streaming import incremental
 
 SOURCES = {"AFRICA": "AFR", "AMERICA": "AME", "ASIA": "ASI", "EUROPE": "EUR", "MIDDLE EAST": "MID"}
@@ -640,4 +640,79 @@ def str_sessions(spark, d):
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
+# --- sinks, explanations, what is left of breaks ----------------------------------------------------
+
+
+@query(f"""with {DAILY}, bs as (select series, t as label from daily where t % 200 = 0 and t > 0),
+xs as (select d.series, label, d.t, value - avg(value) over (partition by d.series, label) as x, count(*) over (partition by d.series, label) as n from daily d join bs on d.series = bs.series and d.t >= label - 100 and d.t < label + 100),
+ps as (select a.series, a.label, b.t - a.t as lag, sum(a.x * b.x) as s from xs a join xs b on a.series = b.series and a.label = b.label and b.t - a.t between 0 and 40 where a.n = 200 group by all),
+rs as (select *, round(s / max(case when lag = 0 then s end) over (partition by series, label), 6) as r from ps)
+select series, label::bigint as label, coalesce(min(lag) filter (abs(r) < 0.1), max(lag))::int as lag from rs group by all""")
+def hyp_decay_lag(spark, d):
+    return features.decay_lag(daily(spark, d), _breaks(spark, d))
+
+
+@query(f"with {_LAB}, m as (select series, label as segment, avg(value) as m from lab group by all) select series, t, segment, round(abs(value - m), 4) as distance from lab join m using (series)")
+def dr_segment_distances(spark, d):
+    return reductions.segment_distances(_labels(spark, d), ["value"]).withColumn("distance", F.round("distance", 4))
+
+
+@query()
+def dr_centre_distances(spark, d):
+    return reductions.centre_distances(wide(spark, d), RATES)
+
+
+@query()
+def dr_responsibilities(spark, d):
+    return reductions.responsibilities(wide(spark, d), _EUR)
+
+
+@query(f"""with {_LAB}, w as (select *, case when lag(label) over (partition by series order by t) = label then 0 else 1 end as fresh from lab),
+r as (select *, sum(fresh) over (partition by series order by t) as run from w)
+select series, run::int as run, label || ' from ' || strftime(min(date), '%Y-%m-%d') || ' to ' || strftime(max(date), '%Y-%m-%d') as legend from r group by series, run, label""")
+def lbl_legends(spark, d):
+    return labels.legends(labels.intervals(_labels(spark, d))).select("series", "run", "legend")
+
+
+@query()
+def eva_detection(spark, d):
+    return evaluation.detection(_breaks(spark, d), labels.breaks_of(_labels(spark, d)), 20)
+
+
+def _judged(spark, d) -> DataFrame:
+    """Breaks of the quarters; those with 90 rows to both neighbours are confirmed."""
+    rows = _labels(spark, d)
+    every = labels.breaks_of(rows)
+    kept = labels.drop_short(every, rows.groupBy("series").agg(F.count(F.lit(1)).alias("n")), 90).withColumn("confirmed", F.lit(True))
+    return every.join(kept, ["series", "b"], "left").na.fill(False, ["confirmed"])
+
+
+@query(f"""with {_LAB}, w as (select *, lag(label) over (partition by series order by t) as was, count(*) over (partition by series) as n from lab), b as (select series, t::bigint as b, n from w where was <> label),
+g as (select *, coalesce(lag(b) over o, 0) as l, coalesce(lead(b) over o, n) as r from b window o as (partition by series order by b)), j as (select series, b, b - l >= 90 and r - b >= 90 as ok from g)
+select series, '{{"event":"' || case when ok then 'breakpoint_confirmed' else 'breakpoint_rejected' end || '","run_id":"run","series":"' || series || '","bkpt":' || b || '}}' as line from j union all
+select series, '{{"event":"run_complete","run_id":"run","series":"' || series || '","n_bkpts":' || count(*) filter (ok) || ',"n_invalid":' || count(*) filter (not ok) || '}}' as line from j group by series""")
+def snk_events(spark, d):
+    return sinks.event_lines(_judged(spark, d), "run")
+
+
+@query(f"""with {_RUNS}, h as (select series, b, quantile_cont(p, 0.05) as lo, quantile_cont(p, 0.95) as hi from tr join ru using (series) where abs(b - p) <= 7 group by all), n as (select series, count(*) as n from daily group by all),
+k as (select series, b, n, round(coalesce(lo, b - 7), 6) as lo, round(coalesce(hi, b + 7), 6) as hi from tr left join h using (series, b) join n using (series))
+select series, b, lo, hi, round(hi - lo, 6) as width, hi - lo > greatest(21, 0.02 * n) as low_confidence from k""")
+def snk_breaks(spark, d):
+    n = daily(spark, d).groupBy("series").agg(F.count(F.lit(1)).alias("n"))
+    return sinks.break_table(_breaks(spark, d), ens_bands(spark, d), 7, n).withColumn("width", r6("width"))
+
+
+@query()
+def exp_tree(spark, d):
+    rows = wide(spark, d).withColumn("label", F.floor((F.year("date") - 1990) / 2).cast("int"))
+    return explain.tree(rows, RATES)[1].select("date", "label", "predicted")
+
+
+@query()
+def ens_without_groups(spark, d):
+    p = wide(spark, d).withColumns({"series": F.lit("rates"), "t": F.months_between("date", F.lit("1990-01-01").cast("date")).cast("int")})
+    return explain.without_groups(p, RATES, width=15, lag=1)
+
+
 FLAGSHIP = plan_segment
