@@ -4,8 +4,10 @@ A document is the multiset of its five-word shingles (lower case, runs of word
 characters; a text of fewer words is one shingle). Each shingle of weight w owns
 Poisson processes over the dyadic weight ranges [0,1), [1,2), [2,4), ... below w; a
 point has a time, a signature slot and a unit cell within its range, and counts
-if the cell lies below w. The earliest time in each slot is the signature, so
-two slots agree with the probability of the weighted Jaccard similarity.
+if the cell lies below w. The earliest point in each slot is the signature, so
+two slots agree with the probability of the weighted Jaccard similarity. Times are
+sums of whole ticks, which no order of adding changes, and a slot holds its
+point's hash, so a text's signature does not depend on the texts beside it.
 
 Bands of slots give candidate buckets. First one pivot a bucket, the member that
 shares most buckets, is verified against the rest on the exact multisets. Members
@@ -28,6 +30,8 @@ from .common import WORD, Bounded, blocks, cut, mix, word_hashes
 
 BANDS, ROWS, BLOCK = 26, 5, 256
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Parts of a unit of time: sums below 2**17 units are exact in a float.
+_TICKS = 2.0**36
 _words = Bounded()
 
 
@@ -54,7 +58,7 @@ def shingle_bags(texts: list[str], width: int = 5) -> tuple[np.ndarray, np.ndarr
 
 
 def bag_signatures(owner: np.ndarray, item: np.ndarray, weight: np.ndarray, n: int, slots: int) -> np.ndarray:
-    """BagMinHash signatures, n x slots, of weighted items; a row without items stays infinite."""
+    """BagMinHash signatures, n x slots, of weighted items: the hash of each slot's earliest point, 0 in a row without items."""
     low, size, keep = [], [], []
     for level in range(max(1, int(weight.max(initial=0)).bit_length() + 1)):
         start = 0 if level == 0 else 1 << (level - 1)
@@ -64,7 +68,7 @@ def bag_signatures(owner: np.ndarray, item: np.ndarray, weight: np.ndarray, n: i
         keep.append(has)
         low.append(np.full(len(has), start))
         size.append(np.full(len(has), max(1, start)))
-    sig = np.full(n * slots, np.inf)
+    first, sig = np.full(n * slots, np.inf), np.zeros(n * slots, np.uint64)
     if not keep:
         return sig.reshape(n, slots)
     keep, low, size = map(np.concatenate, (keep, low, size))
@@ -75,15 +79,21 @@ def bag_signatures(owner: np.ndarray, item: np.ndarray, weight: np.ndarray, n: i
         p = int(np.clip(65_536 // len(own), 1, 64))
         at = k[:, None] + np.arange(p, dtype=np.uint64)
         h = mix(seed[:, None] + at * _GOLD)
-        times = t[:, None] + np.cumsum(-np.log(((h >> np.uint64(11)).astype(float) + 0.5) / 2**53), axis=1) / size[:, None]
+        steps = np.rint(-np.log(((h >> np.uint64(11)).astype(float) + 0.5) / 2**53) * _TICKS) / _TICKS
+        times = t[:, None] + np.cumsum(steps, axis=1)
         g = mix(h ^ _GOLD)
         slot = (g >> np.uint64(32)) % np.uint64(slots)
         cell = low[:, None] + ((g & np.uint64(0xFFFFFFFF)).astype(float) / 2**32 * size[:, None]).astype(int)
         inside = cell < w[:, None]
-        np.minimum.at(sig, (own[:, None] * slots + slot.astype(int))[inside], times[inside])
-        worst = sig.reshape(n, slots).max(axis=1)
+        into, when, point = (own[:, None] * slots + slot.astype(int))[inside], (times / size[:, None])[inside], h[inside]
+        was = first.copy()
+        np.minimum.at(first, into, when)
+        sig[first < was] = np.iinfo(np.uint64).max
+        won = when == first[into]
+        np.minimum.at(sig, into[won], point[won])  # of points at one time the smallest hash
+        worst = first.reshape(n, slots).max(axis=1)
         t, k = times[:, -1], k + np.uint64(p)
-        on = t < worst[own]
+        on = t / size <= worst[own]
         own, w, low, size, seed, t, k = own[on], w[on], low[on], size[on], seed[on], t[on], k[on]
     return sig.reshape(n, slots)
 
@@ -108,8 +118,8 @@ def _band_hashes(bands: int, rows: int, width: int):
             ids, texts = pdf["id"].to_numpy(), pdf["text"].tolist()
             for i, j in blocks(texts):
                 sig = signatures(texts[i:j], bands * rows, width)
-                some = np.isfinite(sig).all(axis=1)
-                bits = sig[some].view(np.uint64).reshape(-1, bands, rows)
+                some = sig.any(axis=1)
+                bits = sig[some].reshape(-1, bands, rows)
                 h = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=np.uint64)), bits.shape[:2])
                 for r in range(rows):
                     h = mix(h * _GOLD + bits[:, :, r])

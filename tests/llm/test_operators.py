@@ -83,6 +83,15 @@ def test_bag_signatures_are_unbiased():
     assert abs((sig[0] == sig[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.04
 
 
+def test_bag_signatures_do_not_depend_on_the_batch(words):
+    rng = random.Random(3)
+    short = [" ".join(rng.choices(words, k=k)) for k in (1, 5, 6, 14, 30, 60)] + ["again " * 40, ""]
+    alone = np.concatenate([minhash.signatures([x], 130) for x in short])
+    batch = [" ".join(rng.choices(words, k=400)) for _ in range(300)]
+    assert (minhash.signatures(short + batch, 130)[: len(short)] == alone).all()
+    assert (minhash.signatures(batch[:9] + short, 130)[9:] == alone).all()
+
+
 def test_mixing_rakes_to_targets(spark):
     rows = [(i, "x" * 10, ["en", "fr", None][i % 3], f"s{i % 4}", 10, "", 0) for i in range(240)]
     df = spark.createDataFrame(rows, DOCS)
