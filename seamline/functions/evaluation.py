@@ -68,9 +68,12 @@ def benjamini_hochberg(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     return placed.select(*tests.columns, F.coalesce(F.col("p") <= cut, F.lit(False)).alias("rejected"))
 
 
-def persistence(breaks: DataFrame, runs: DataFrame, tolerance: int) -> DataFrame:
-    """Share of the runs (series, run, b) that have a break within ``tolerance`` of each break."""
-    n = runs.groupBy("series").agg(F.countDistinct("run").alias("runs"))
+def persistence(breaks: DataFrame, runs: DataFrame, tolerance: int, total: int | None = None) -> DataFrame:
+    """Share of the runs (series, run, b) that have a break within ``tolerance`` of each break.
+
+    ``total`` is the number of runs, those without a break too; if not given, runs with a break count.
+    """
+    n = runs.groupBy("series").agg((F.countDistinct("run") if total is None else F.lit(total)).alias("runs"))
     r = runs.select("series", "run", F.col("b").alias("p"))
     hit = breaks.join(r, "series").where(F.abs(F.col("b") - F.col("p")) <= tolerance).groupBy("series", "b").agg(F.countDistinct("run").alias("hits"))
     return breaks.join(n, "series").join(hit, ["series", "b"], "left").select("series", "b", (F.coalesce("hits", F.lit(0)) / F.col("runs")).alias("persistence"))

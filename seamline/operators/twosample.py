@@ -22,6 +22,16 @@ def windows(panel: DataFrame, breaks: DataFrame, width: int = 40, lag: int = 5)
     return rows.where("side is not null").select("series", "label", "t", "side", "value")
 
 
+def rolling_windows(panel: DataFrame, width: int = 40, lag: int = 5) -> DataFrame:
+    """The samples of ``windows`` at every row with whole windows to both sides; each row goes to the 2 ``width`` labels that it serves."""
+    w = Window.partitionBy("series")
+    rows = panel.select("series", F.col("t").cast("long").alias("t"), "value", F.max("t").over(w).alias("_last"))
+    offsets = [*range(-lag - width, -lag), *range(lag, lag + width)]
+    rows = rows.withColumn("_d", F.explode(F.array(*map(F.lit, offsets)))).withColumn("label", F.col("t") - F.col("_d"))
+    rows = rows.where((F.col("label") >= lag + width) & (F.col("label") + lag + width - 1 <= F.col("_last")))
+    return rows.select("series", "label", "t", (F.col("_d") >= 0).cast("int").alias("side"), "value")
+
+
 def _pairs(samples: DataFrame) -> DataFrame:
     other = samples.select("series", "label", F.col("t").alias("t2"), F.col("side").alias("s2"), F.col("value").alias("v2"))
     return samples.join(other, ["series", "label"])

@@ -715,4 +715,86 @@ def ens_without_groups(spark, d):
     return explain.without_groups(p, RATES, width=15, lag=1)
 
 
+# --- tests, evaluation and ensembles over what the engine finds ------------------------------------
+# The queries above take every 200th row as the break; these take all rows or the engine's own breaks, and have no SQL.
+
+
+def _every_sample(spark, d) -> DataFrame:
+    return twosample.rolling_windows(daily(spark, d))
+
+
+for _name, _f in (
+    ("mmd_biased", lambda s: twosample.mmd(s, 1e-6)),
+    ("mmd_unbiased", lambda s: twosample.mmd(s, 1e-6, unbiased=True)),
+    ("mmd_linear", lambda s: twosample.mmd_linear(s, 1e-6)),
+    ("energy", scores.energy_between),
+    ("kolmogorov_smirnov", twosample.kolmogorov_smirnov),
+    ("hotelling", twosample.hotelling),
+):
+    QUERIES[f"tst_{_name}_rows"] = lambda spark, d, f=_f: f(_every_sample(spark, d))
+
+
+def _found(spark, d) -> DataFrame:
+    return search.breaks(daily(spark, d), "pelt")
+
+
+@query()
+def tst_permutation_found(spark, d):
+    return twosample.test_breaks(daily(spark, d), _found(spark, d))
+
+
+def _truth(spark, d) -> DataFrame:
+    return labels.breaks_of(_labels(spark, d))
+
+
+for _name, _f in (("nearest", evaluation.nearest), ("matched", evaluation.matched), ("hausdorff", evaluation.hausdorff), ("detection", lambda t, f: evaluation.detection(t, f, 20))):
+    QUERIES[f"eva_{_name}_found"] = lambda spark, d, f=_f: f(_truth(spark, d), _found(spark, d))
+
+
+@query()
+def eva_covering_found(spark, d):
+    return evaluation.covering(_spans(spark, d, _truth(spark, d)), _spans(spark, d, _found(spark, d)))
+
+
+def _found_pairs(spark, d) -> DataFrame:
+    found = labels.labels_of(daily(spark, d), _found(spark, d)).select("series", "t", F.col("label").alias("b"))
+    return _labels(spark, d).select("series", "t", F.col("label").alias("a")).join(found, ["series", "t"]).select("series", "a", "b")
+
+
+@query()
+def eva_adjusted_rand_found(spark, d):
+    return evaluation.adjusted_rand(_found_pairs(spark, d))
+
+
+@query()
+def eva_information_found(spark, d):
+    return evaluation.information(_found_pairs(spark, d))
+
+
+_CONFIGS = segmentation.perturbed({}, depth=[1, 3], alpha=[0.01, 0.1])
+
+
+def _planned(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Valid breaks of the base run, and of the run under each configuration."""
+    runs = segmentation.segment(daily(spark, d), configs=_CONFIGS).where("status = 'valid'").select("series", "run", "b")
+    return runs.where("run = 'base'").select("series", "b"), runs
+
+
+@query()
+def ens_persistence_found(spark, d):
+    return evaluation.persistence(*_planned(spark, d), 7, len(_CONFIGS))
+
+
+@query()
+def ens_bands_found(spark, d):
+    return evaluation.bands(*_planned(spark, d), 7)
+
+
+@query()
+def snk_breaks_found(spark, d):
+    n = daily(spark, d).groupBy("series").agg(F.count(F.lit(1)).alias("n"))
+    found, runs = _planned(spark, d)
+    return sinks.break_table(found, evaluation.bands(found, runs, 7), 7, n)
+
+
 FLAGSHIP = plan_segment

@@ -111,3 +111,21 @@ def test_precision_of_evaluation(spark):
     assert {r["b"]: r["near"] for r in evaluation.nearest(t, f).collect()} == {100: 103, 200: 250}
     assert evaluation.hausdorff(t, f).first()["distance"] == 50
     assert t.groupBy("series").agg(F.count("*")).count() == 1
+
+
+def test_rolling_windows_test_every_row(spark, step):
+    rows = [("a", t, float(v)) for t, v in enumerate(step[:, 0])]
+    panel = spark.createDataFrame(rows, "series string, t int, value double")
+    got = {r["label"]: r["stat"] for r in twosample.mmd(twosample.rolling_windows(panel), 0.1).collect()}
+    assert set(got) == set(range(45, 156))
+    k = np.exp(-0.1 * (step - step.T) ** 2)
+    for b in (45, 83, 100, 155):
+        x, y = np.arange(b - 45, b - 5), np.arange(b + 5, b + 45)
+        assert abs(got[b] - (k[np.ix_(x, x)].mean() + k[np.ix_(y, y)].mean() - 2 * k[np.ix_(x, y)].mean())) < 1e-9
+    assert abs(max(got, key=got.get) - 100) <= 5
+
+
+def test_persistence_counts_runs_without_a_break(spark):
+    breaks = spark.createDataFrame([("a", 100)], "series string, b long")
+    runs = spark.createDataFrame([("a", "base", 100), ("a", "x", 140)], "series string, run string, b long")
+    assert evaluation.persistence(breaks, runs, 7, 4).first()["persistence"] == 0.25
