@@ -74,8 +74,8 @@ RATES_SQL = f"""rates as (select date_trunc('month', l_shipdate)::date as date,
   from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by all)"""
 
 
-def wide(spark: SparkSession, d: str) -> DataFrame:
-    return panels.wide_by_source(rates(spark, d), ["EUR", "AME"], TENORS)
+def wide(spark: SparkSession, d: str, sources: tuple[str, ...] = ("EUR", "AME"), complete: bool = True) -> DataFrame:
+    return panels.wide_by_source(rates(spark, d), list(sources), TENORS, complete=complete)
 
 
 WIDE = (
@@ -206,7 +206,10 @@ def win_steps(spark, d):
 v as (select series, var_pop(value) as v, count(*) as p from l group by all), a as (select var_pop(value) as a from l)
 select round(1 / (10 * any_value(a)), 8) as sk_scale, round(1 / (2 * sum(v)), 8) as total_variance, round(1 / (10 * max(v)), 8) as max_variance, round(1 / (2 * max(v)), 8) as unscaled_max_variance from v, a""")
 def krn_bandwidths(spark, d):
-    long = frames.to_long(wide(spark, d), RATES)
+    return _bandwidths(frames.to_long(wide(spark, d), RATES))
+
+
+def _bandwidths(long: DataFrame) -> DataFrame:
     v = long.groupBy("series").agg(F.var_pop("value").alias("v"))
     every = long.agg(F.var_pop("value").alias("a"))
     v = v.agg(F.sum("v").alias("s"), F.max("v").alias("m")).join(F.broadcast(every))
@@ -797,4 +800,91 @@ def snk_breaks_found(spark, d):
     return sinks.break_table(found, evaluation.bands(found, runs, 7), 7, n)
 
 
+# --- rates of all five sources ----------------------------------------------------------------------
+# The queries above take two sources or one, as their SQL does; these take all 25 columns, or a curve a date and source.
+
+ALL_SOURCES = tuple(SOURCES.values())
+ALL_RATES = [f"{s}_{t}" for s in ALL_SOURCES for t in TENORS]
+
+
+def _all(spark, d) -> DataFrame:
+    """Months with all 25 cells, as the reductions need them."""
+    return wide(spark, d, ALL_SOURCES)
+
+
+def _all_long(spark, d) -> DataFrame:
+    """Every cell there is: (date, series, value)."""
+    return frames.to_long(wide(spark, d, ALL_SOURCES, complete=False), ALL_RATES).where("value is not null")
+
+
+def _curves(spark, d) -> DataFrame:
+    """A whole curve a row; ``date`` holds date and source, as operators keep that column."""
+    return rates(spark, d).na.drop(subset=TENORS).select(F.struct("date", "source").alias("date"), *TENORS)
+
+
+def _by_source(rows: DataFrame) -> DataFrame:
+    return rows.select("date.date", "date.source", *(c for c in rows.columns if c != "date"))
+
+
+@query()
+def src_rates_wide_all(spark, d):
+    return wide(spark, d, ALL_SOURCES, complete=False)
+
+
+@query()
+def frm_unpivot_all(spark, d):
+    return _all_long(spark, d)
+
+
+@query()
+def fea_curve_all(spark, d):
+    made = features.spreads(ALL_RATES) | features.butterflies(ALL_RATES) | features.cross_spreads(ALL_RATES)
+    return wide(spark, d, ALL_SOURCES, complete=False).select("date", *ALL_RATES, *(r6(c).alias(n) for n, c in made.items()))
+
+
+@query()
+def fea_expression_all(spark, d):
+    made = {f"{s}_belly": f"2*{{{s}:Y003p0}} - {{{s}:Y001p0}} - {{{s}:Y005p0}}" for s in ALL_SOURCES}
+    made["mean1"] = "0.2*(" + " + ".join(f"{{{s}:Y001p0}}" for s in ALL_SOURCES) + ")"
+    return wide(spark, d, ALL_SOURCES, complete=False).select("date", *(r6(features.expression(x)).alias(n) for n, x in made.items()))
+
+
+@query()
+def krn_bandwidths_all(spark, d):
+    return _bandwidths(_all_long(spark, d))
+
+
+for _name, _f in (
+    ("dr_pca", lambda p: reductions.principal_components(p, ALL_RATES, 3)),
+    ("dr_ica", lambda p: factors.independent_components(p, ALL_RATES, 3)),
+    ("dr_sparse_pca", lambda p: factors.sparse_components(p, ALL_RATES, 3)),
+    ("dr_robust_pca", lambda p: factors.robust_components(p, ALL_RATES)),
+    ("dr_kernel_pca", lambda p: factors.kernel_components(p, ALL_RATES, 3, "rbf", gamma=0.1)),
+    ("dr_dmd", lambda p: factors.dynamic_modes(p.withColumn("t", F.year("date") * 12 + F.month("date") - 1995 * 12 - 1), ALL_RATES, 12, 3, 3)),
+    ("krn_fourier", lambda p: reductions.fourier_map(p, ALL_RATES, gamma=1e-4)),
+    ("det_kmeans", lambda p: detectors.cluster(p, ALL_RATES)),
+    ("dr_centre_distances", lambda p: reductions.centre_distances(p, ALL_RATES)),
+    ("exp_tree", lambda p: explain.tree(p.withColumn("label", F.floor((F.year("date") - 1990) / 2).cast("int")), ALL_RATES)[1].select("date", "label", "predicted")),
+    ("ens_without_groups", lambda p: explain.without_groups(p.withColumns({"series": F.lit("rates"), "t": F.months_between("date", F.lit("1990-01-01").cast("date")).cast("int")}), ALL_RATES, width=15, lag=1)),
+):
+    QUERIES[f"{_name}_all"] = lambda spark, d, f=_f: f(_all(spark, d))
+
+for _name, _f in (
+    ("dr_nelson_siegel", lambda p: reductions.curve_factors(p, TENORS, _YEARS)),
+    ("dr_diebold_li", lambda p: reductions.curve_decay(p, TENORS, _YEARS, [0.02, 0.04, 0.0609, 0.08, 0.1])),
+    ("dr_fpca_smooth", lambda p: p.select("date", *(r6(c).alias(n) for n, c in reductions.smooth_across(TENORS).items()))),
+    ("dr_responsibilities", lambda p: reductions.responsibilities(p, TENORS)),
+    ("det_gaussian_mixture", lambda p: detectors.cluster(p, TENORS, 2, "gmm")),
+):
+    QUERIES[f"{_name}_all"] = lambda spark, d, f=_f: _by_source(f(_curves(spark, d)))
+
+
+@query()
+def det_rolling_correlations_all(spark, d):
+    p = rates(spark, d).na.drop(subset=TENORS).withColumnRenamed("source", "series")
+    p = p.withColumn("t", F.row_number().over(Window.partitionBy("series").orderBy("date")) - 1)
+    out = detectors.rolling_correlations(p, TENORS, 24)
+    return out.select("series", "t", *(r6(c).alias(c) for c in out.columns[2:]))
+
+
 FLAGSHIP = plan_segment

@@ -46,15 +46,15 @@ def long_panel(rows: DataFrame, series: Column, date: Column, value: Column) ->
     return out.withColumn("t", F.row_number().over(Window.partitionBy("series").orderBy("date")) - 1)
 
 
-def wide_by_source(rates: DataFrame, sources: list[str], tenors: list[str], start: str | None = None, end: str | None = None) -> DataFrame:
-    """Long rates (date, source, tenors) to one row a date with ``SOURCE_TENOR`` columns, rows with a null dropped."""
+def wide_by_source(rates: DataFrame, sources: list[str], tenors: list[str], start: str | None = None, end: str | None = None, complete: bool = True) -> DataFrame:
+    """Long rates (date, source, tenors) to one row a date with ``SOURCE_TENOR`` columns; if ``complete``, rows with a null are dropped."""
     rows = rates.where(F.col("source").isin(sources))
     if start:
         rows = rows.where(F.col("date") >= F.lit(start).cast("date"))
     if end:
         rows = rows.where(F.col("date") <= F.lit(end).cast("date"))
     picked = rows.groupBy("date").pivot("source", sources).agg(*(F.first(t, ignorenulls=True).alias(t) for t in tenors))
-    return picked.na.drop()
+    return picked.na.drop() if complete else picked
 
 
 def join_fx(panel: DataFrame, fx: DataFrame, order: Column) -> DataFrame:

@@ -129,3 +129,17 @@ def test_persistence_counts_runs_without_a_break(spark):
     breaks = spark.createDataFrame([("a", 100)], "series string, b long")
     runs = spark.createDataFrame([("a", "base", 100), ("a", "x", 140)], "series string, run string, b long")
     assert evaluation.persistence(breaks, runs, 7, 4).first()["persistence"] == 0.25
+
+
+def test_rates_of_all_sources(spark):
+    from seamline import queries
+
+    d = "/root/testdata/sf0.001"
+    every = {(r["date"], r["source"]): r for r in queries.rates(spark, d).collect()}
+    assert {s for _, s in every} == set(queries.ALL_SOURCES) and len(queries.ALL_RATES) == 25
+    got = {r["date"]: r for r in queries.QUERIES["src_rates_wide_all"](spark, d).collect()}
+    assert set(got) == {m for m, _ in every}
+    for (m, s), r in every.items():
+        assert [got[m][f"{s}_{t}"] for t in queries.TENORS] == [r[t] for t in queries.TENORS]
+    whole = {k for k, r in every.items() if None not in (r[t] for t in queries.TENORS)}
+    assert {(r["date"], r["source"]) for r in queries.QUERIES["dr_nelson_siegel_all"](spark, d).collect()} == whole
