@@ -36,10 +36,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: a short lineage that outlives executors."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/seamline/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return Scratch(df.sparkSession).cut(df, tag)
+
+
+class Scratch:
+    """A folder of its own within the shared one, for tables that are needed only until a result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.at = spark, f"{shared_dir(spark)}/seamline/{uuid.uuid4().hex}"
+
+    def cut(self, df: DataFrame, tag: str) -> DataFrame:
+        at = f"{self.at}/{tag}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def clear(self) -> None:
+        """Delete the folder; nothing that reads its tables may run any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.at)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -51,19 +65,22 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 class Bounded(dict):
-    """A cache for one worker: ``fill`` computes what is missing, all of it goes when ``most`` is passed."""
+    """A cache for one worker: ``fill`` computes what is missing, all of it goes when ``most`` keys or ``chars`` characters of keys are passed."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 400_000, chars: int = 16_000_000):
         super().__init__()
-        self.most = most
+        self.most, self.chars, self.held = most, chars, 0
 
     def need(self, keys: Iterable, fill: Callable[[list], Iterable]) -> None:
         new = list(filterfalse(self.__contains__, keys))
-        if len(self) + len(new) > self.most and self:
+        more = sum(map(len, new))
+        if self and (len(self) + len(new) > self.most or self.held + more > self.chars):
             self.clear()
             new = list(keys)
+            self.held, more = 0, sum(map(len, new))
         if new:
             self.update(zip(new, fill(new), strict=True))
+            self.held += more
 
 
 def word_hashes(words: list[str]) -> list[int]:
@@ -83,7 +100,7 @@ def blocks(texts: list, chars: int = 1_500_000) -> Iterable[tuple[int, int]]:
     """Ranges of ``texts`` of about ``chars`` characters each, to bound what a step holds at once."""
     start = size = 0
     for i, x in enumerate(texts):
-        size += len(x) if x else 0
+        size += 0 if x is None else len(x)
         if size >= chars:
             yield start, i + 1
             start, size = i + 1, 0

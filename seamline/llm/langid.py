@@ -1,6 +1,6 @@
 """Language identification: known words first, shorter and shorter character n-grams for the rest.
 
-The model holds, for the most frequent words of a bounded sample, their log
+The model holds, for the words of a bounded sample of documents, their log
 frequency in each language, and the same for the character n-grams of those
 words. A known word adds its own log frequencies. An unseen word adds the mean
 of its known n-grams of the longest order that has any, from five characters down to one.
@@ -9,7 +9,6 @@ of its known n-grams of the longest order that has any, from five characters dow
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, blocks
+from .common import Bounded, blocks, free_name
 
 LETTERS = re.compile(r"[^\W\d_]+")
 SMOOTH = 0.1
@@ -45,33 +44,37 @@ def _logs(counts: np.ndarray) -> np.ndarray:
     return np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * (len(counts) + 1)))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 20_000, max_words: int = 60_000, longest: int = 5) -> Model:
-    """Learn from about ``max_docs`` documents (a hash of the id picks them) and their ``max_words`` most frequent words.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 5_000, longest: int = 5) -> Model:
+    """Learn from about ``max_docs`` documents (a hash of the id picks them), all of their words.
 
     Rows with a null language or text teach nothing; without any row the model knows no language.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     known = sampled(known, F.col("id"), max_docs)
     words = known.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
-    top = words.groupBy("lang", "word").count().orderBy(F.desc("count"), "word", "lang").limit(max_words).collect()
+    # as many as the sampled documents have; the sort makes the model the same in every run
+    top = words.groupBy("lang", "word").count().orderBy("word", "lang").toPandas()
     prior = dict(known.groupBy("lang").count().collect())
     langs = sorted(prior)
-    at = {x: i for i, x in enumerate(langs)}
-    by_word: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(langs)))
-    by_gram: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(langs)))
-    for lang, word, n in top:
-        by_word[word][at[lang]] += n
+    at, vocabulary = pd.factorize(top["word"])
+    word_counts = np.zeros((len(vocabulary), len(langs)))
+    word_counts[at, np.searchsorted(langs, top["lang"]).astype(int) if langs else []] = top["count"]
+    grams_at: dict[str, int] = {}
+    for word in vocabulary:
         for g in _grams(word, range(1, longest + 1)):
-            by_gram[g][at[lang]] += n
-    words_at = {w: i for i, w in enumerate(by_word)}
-    orders = np.array([len(g) for g in by_gram], int)
-    counts = np.array(list(by_gram.values())).reshape(len(by_gram), len(langs))
-    logs = np.zeros(counts.shape)
-    for n in range(1, longest + 1):
-        if (orders == n).any():
-            logs[orders == n] = _logs(counts[orders == n])
+            grams_at.setdefault(g, len(grams_at))
+    gram_counts = np.zeros((len(grams_at), len(langs)))
+    for i in range(0, len(vocabulary), 10_000):
+        own = [[grams_at[g] for g in _grams(word, range(1, longest + 1))] for word in vocabulary[i : i + 10_000]]
+        times, grams = [len(x) for x in own], np.concatenate(own)
+        for k in range(len(langs)):
+            gram_counts[:, k] += np.bincount(grams, np.repeat(word_counts[i : i + 10_000, k], times), len(grams_at))
+    orders = np.array([len(g) for g in grams_at], int)
+    gram_logs = np.zeros(gram_counts.shape)
+    for n in np.unique(orders):
+        gram_logs[orders == n] = _logs(gram_counts[orders == n])
     share = np.array([prior[x] for x in langs], float)
-    return Model(langs, words_at, _logs(np.array(list(by_word.values())).reshape(len(by_word), len(langs))), {g: i for i, g in enumerate(by_gram)}, logs, np.log(share / max(1.0, share.sum())), longest)
+    return Model(langs, {w: i for i, w in enumerate(vocabulary)}, _logs(word_counts), grams_at, gram_logs, np.log(share / max(1.0, share.sum())), longest)
 
 
 def _grams(word: str, orders) -> Iterator[str]:
@@ -129,15 +132,13 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_out: st
             parts = [predict(shared.value, texts[i:j], cache) for i, j in blocks(texts)]
             yield pd.DataFrame({"lang": [x for p in parts for x in p[0]], "score": np.concatenate([p[1] for p in parts] or [np.zeros(0)])})
 
-    got = "_identified"
-    while got in docs.columns:
-        got = "_" + got
+    got = free_name(docs, "_identified")
     out = docs.withColumn(got, told(F.col(text_col)))
     return out.withColumns({lang_out: F.col(f"{got}.lang"), score_out: F.col(f"{got}.score")}).drop(got)
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """Drop the rows whose text has no language (``und``) or one below ``least``; columns stay as they are."""
-    lang, score = "_lang_pred", "_lang_score"
+    """Drop the rows whose text has no language (``und``) or one below ``least``; columns stay as they are, whatever their names."""
+    lang, score = free_name(docs, "_lang_pred"), free_name(docs, "_lang_score")
     told = identify(docs, model, text_col, lang, score)
     return told.where((F.col(lang) != "und") & (F.col(score) >= least)).select(*docs.columns)
