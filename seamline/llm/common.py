@@ -10,7 +10,8 @@ from itertools import filterfalse
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
 
@@ -56,6 +57,24 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def perhaps_in(rows: DataFrame, ids: DataFrame, column: str = "id", most_bits: int = 1 << 27) -> DataFrame:
+    """The rows whose ``column`` may be in the first column of ``ids``: all that are, and about one in twenty of the others.
+
+    A bitmap of hashes, of ``most_bits`` (16 MB) at most whatever the tables' size, is broadcast, so rows without a partner
+    drop out before a join moves them. Where it would be too full to tell much, all rows pass.
+    """
+    bits = max(1 << 15, 1 << (16 * ids.count()).bit_length())
+    if bits > 8 * most_bits:
+        return rows
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(min(bits, most_bits))) + 1
+    bucket, bit = free_name(rows, "_bucket"), free_name(rows, "_bits")
+    maps = ids.select(place(F.col(ids.columns[0])).alias("at")).groupBy(F.bitmap_bucket_number("at").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias(bit))
+    at = F.bitmap_bit_position(place(F.col(column)))
+    byte = F.conv(F.hex(F.substring(F.col(bit), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    told = rows.withColumn(bucket, F.bitmap_bucket_number(place(F.col(column)))).join(F.broadcast(maps), bucket)
+    return told.where(F.call_function("shiftright", byte, F.pmod(at, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1).select(*rows.columns)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or a variant of it that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}
@@ -64,6 +83,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def sampled(rows: DataFrame, key: Column, most: int) -> DataFrame:
+    """About ``most`` of the rows, picked by a hash of ``key``; all of them if there are fewer."""
+    n = rows.count()
+    return rows if n <= most else rows.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+
+
 class Bounded(dict):
     """A cache for one worker: ``fill`` computes what is missing, all of it goes when ``most`` keys or ``chars`` characters of keys are passed."""
 

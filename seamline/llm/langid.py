@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, blocks, free_name
+from .common import Bounded, blocks, free_name, sampled
 
 LETTERS = re.compile(r"[^\W\d_]+")
 SMOOTH = 0.1
@@ -34,12 +34,6 @@ class Model:
     longest: int
 
 
-def sampled(rows: DataFrame, key: Column, most: int) -> DataFrame:
-    """About ``most`` of the rows, picked by a hash of ``key``; all of them if there are fewer."""
-    n = rows.count()
-    return rows if n <= most else rows.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < int(most / n * (1 << 30)))
-
-
 def _logs(counts: np.ndarray) -> np.ndarray:
     return np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * (len(counts) + 1)))
 

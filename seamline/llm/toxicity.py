@@ -18,8 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Bounded, blocks
-from .langid import sampled
+from .common import WORD, Bounded, blocks, free_name, sampled
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 20, 8, 8, (1, 2, 3)
 PAD = max(WIDTHS) - 1
@@ -37,27 +36,38 @@ class Model:
     thresholds: np.ndarray  # of the logit, by language
 
 
-def word_buckets(words: list[str]) -> list[tuple[int, int, int]]:
+def word_keys(words: list[str]) -> list[int]:
+    """The three buckets of each word in one integer, 20 bits a bucket."""
     h = xxhash.xxh3_64_intdigest
-    return [(h(w) % BUCKETS, h("4" + w[:4]) % BUCKETS, h("5" + w[:5]) % BUCKETS) for w in words]
+    return [h(w) % BUCKETS | h("4" + w[:4]) % BUCKETS << 20 | h("5" + w[:5]) % BUCKETS << 40 for w in words]
 
 
-def _split(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+def _unpacked(keys: np.ndarray) -> np.ndarray:
+    return np.stack([keys & BUCKETS - 1, keys >> 20 & BUCKETS - 1, keys >> 40], axis=1)
 
 
-def fit(texts: list[str], toxic: list[int], langs: list[str], epochs: int = 6, rate: float = 0.05, seed: int = 7) -> Model:
-    """Train on the given texts; every fifth one is set aside for the thresholds."""
+def key_lists(texts: list[str | None], cache: Bounded | None = None) -> list[np.ndarray]:
+    """The words of each text as keys; all that the classifier ever sees of it."""
+    cache = Bounded() if cache is None else cache
+    split = [WORD.findall(x.lower()) if x else [] for x in texts]
+    cache.need(set().union(*split), word_keys)
+    return [np.fromiter(map(cache.__getitem__, s), np.int64, len(s)) for s in split]
+
+
+def fit(texts: list[np.ndarray], toxic: list[int], langs: list[str], epochs: int = 6, rate: float = 0.05, seed: int = 7) -> Model:
+    """Train on texts given as ``key_lists``; every fifth one is set aside for the thresholds.
+
+    Without any text, or any of one label, the model is still whole: it then scores all texts near that which it saw,
+    and low if it saw none.
+    """
     rng = np.random.default_rng(seed)
-    split = [_split(x) for x in texts]
-    vocabulary = sorted(set().union(*split))
-    at = {w: i for i, w in enumerate(vocabulary)}
-    buckets = np.array(word_buckets(vocabulary), int).reshape(-1, 3)
+    vocabulary = np.unique(np.concatenate([np.zeros(0, np.int64), *map(np.unique, texts)]))
+    buckets = _unpacked(vocabulary)
     seen = np.unique(buckets)
     rows = np.zeros(BUCKETS, np.int32)
     rows[seen] = np.arange(1, len(seen) + 1)
     feats = rows[buckets]
-    docs = [np.fromiter(map(at.__getitem__, s), int, len(s)) for s in split]
+    docs = [np.searchsorted(vocabulary, x).astype(np.int32) for x in texts]
     y = np.array(toxic, float)
     order = rng.permutation(len(docs))
     hold, learn = order[::5], np.array([i for k, i in enumerate(order) if k % 5 or len(order) < 10], int)
@@ -129,10 +139,14 @@ def fit(texts: list[str], toxic: list[int], langs: list[str], epochs: int = 6, r
             constant -= rate * d / np.sqrt(past_c)
 
     model = Model(rows, embed, filters, bias, out, constant, profile.astype(np.float32), np.zeros(len(names), np.float32))
-    z, guess = logits(model, split)
+    z, guess = [np.zeros(0)], [np.zeros(0, int)]
+    for i, j in blocks([texts[k] for k in hold], 250_000):
+        for own, part in zip((z, guess), logits(model, [texts[k] for k in hold[i:j]]), strict=True):
+            own.append(part)
+    z, guess = np.concatenate(z), np.concatenate(guess)
     for k in range(len(names)):
-        own = hold[(guess[hold] == k)]
-        model.thresholds[k] = _threshold(z[own], y[own], weight[own])
+        own = guess == k
+        model.thresholds[k] = _threshold(z[own], y[hold][own], weight[hold][own])
     return model
 
 
@@ -148,21 +162,17 @@ def _threshold(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     return float(cuts[np.argmin(np.abs(cuts))])
 
 
-def logits(model: Model, split: list[list[str]], cache: Bounded | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Logit and guessed language number of each list of words."""
-    cache = Bounded() if cache is None else cache
-    vocabulary = list(set().union(*split))
-    cache.need(vocabulary, word_buckets)
-    at = {w: i + 1 for i, w in enumerate(vocabulary)}
-    feats = np.zeros((len(vocabulary) + 1, 3), int)
-    if vocabulary:
-        feats[1:] = model.rows[np.array([cache[w] for w in vocabulary])]
+def logits(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Logit and guessed language number of each text, given as ``key_lists``."""
+    if not texts:
+        return np.zeros(0), np.zeros(0, int)
+    vocabulary, at = np.unique(np.concatenate(texts), return_inverse=True)
+    feats = np.vstack([np.zeros((1, 3), int), model.rows[_unpacked(vocabulary)]])
     x, profile = model.embed[feats].sum(axis=1), model.profile[feats[:, 0]]
-    lengths = np.array([len(s) + 1 for s in split])
-    starts = np.concatenate([[0], np.cumsum(lengths + PAD)[:-1]]).astype(int)
-    ids = np.zeros(int((lengths + PAD).sum()) + PAD, np.int32)
-    for s, start in zip(split, starts, strict=True):
-        ids[start : start + len(s)] = [at[w] for w in s]
+    sizes = np.array([len(t) for t in texts])
+    starts = np.concatenate([[0], np.cumsum(sizes + 1 + PAD)[:-1]]).astype(int)
+    ids = np.zeros(int((sizes + 1 + PAD).sum()) + PAD, np.int32)
+    ids[np.arange(len(at)) + np.repeat(np.arange(len(texts)) * (1 + PAD), sizes)] = at + 1
     total, h = len(ids) - PAD, []
     for w, f, b in zip(WIDTHS, model.filters, model.bias, strict=True):
         r = (x @ f[0])[ids[:total]]
@@ -176,25 +186,32 @@ def logits(model: Model, split: list[list[str]], cache: Bounded | None = None) -
 
 def scores(model: Model, texts: list[str | None], cache: Bounded | None = None) -> np.ndarray:
     """Between 0 and 1, half at the threshold of the language that the words suggest."""
-    z, guess = logits(model, [_split(x) for x in texts], cache)
+    z, guess = logits(model, key_lists(texts, cache))
     return 1 / (1 + np.exp(-np.clip(z - model.thresholds[guess], -30, 30)))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", max_docs: int = 6_000) -> Model:
     """Fit on about ``max_docs`` labelled documents, up to half of them toxic; a hash of the id picks them.
 
-    Ids, labels and texts that are null teach nothing; a repeated label counts once. ``lang_col``
-    only groups the rows for the language guess and the thresholds.
+    Ids, labels and texts that are null teach nothing; an id whose labels differ counts as toxic. ``lang_col``
+    only groups the rows for the language guess and the thresholds. The executors turn the texts into word keys, eight
+    bytes a word, and these are what the driver collects.
     """
-    given = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").dropDuplicates(["id"])
+    given = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     picked = None
     for k in (1, 0):
         part = sampled(given.where(F.col("y") == k), F.col("id"), max_docs // 2)
         picked = part if picked is None else picked.union(part)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null")
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.drop(columns="text").assign(keys=[x.tobytes() for x in key_lists(pdf["text"].tolist())])
+
     # at most about max_docs ids, whatever the size of the tables
-    got = texts.join(F.broadcast(picked), "id").orderBy("id", "text").collect()
-    return fit([r["text"] for r in got], [r["y"] for r in got], [r["lang"] for r in got])
+    own = texts.join(F.broadcast(picked), "id").select("id", "y", "lang", "text")
+    got = own.mapInPandas(keyed, f"id {docs.schema[id_col].dataType.simpleString()}, y int, lang string, keys binary").orderBy("id", "keys").collect()
+    return fit([np.frombuffer(r["keys"], np.int64) for r in got], [r["y"] for r in got], [r["lang"] for r in got])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
@@ -212,5 +229,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """Drop the rows that score ``least`` or more; columns stay as they are."""
-    return score(docs, model, text_col, "_toxicity").where(F.col("_toxicity") < least).select(*docs.columns)
+    """Drop the rows that score ``least`` or more; columns stay as they are, whatever their names."""
+    own = free_name(docs, "_toxicity")
+    return score(docs, model, text_col, own).where(F.col(own) < least).select(*docs.columns)

@@ -103,14 +103,14 @@ def test_mixing_rakes_to_targets(spark):
     assert mixing.mix(df.limit(0), {"source": F.col("source")}, F.col("n_chars"), {"source": 1.0}, 0.5, F.col("doc_id")).count() == 0
     cells = spark.createDataFrame([("a", "x", 60), ("a", "y", 40), ("b", "x", 20), ("b", "y", 80)], "p string, q string, tokens long")
     want = {"p": spark.createDataFrame([("a", 0.7), ("b", 0.3)], "value string, target double"), "q": spark.createDataFrame([("x", 0.5), ("y", 0.5)], "value string, target double")}
-    raked = {(r["p"], r["q"]): r["weight"] for r in mixing.rake(cells, want, 30).collect()}
+    raked = {(r["p"], r["q"]): r["weight"] for r in mixing.rake(cells, want).collect()}
     assert abs(raked["a", "x"] + raked["a", "y"] - 0.7) < 1e-3 and abs(raked["a", "x"] + raked["b", "x"] - 0.5) < 1e-6
 
 
 def test_toxicity_learns_and_scores_anything(spark, words):
     rng = random.Random(2)
     texts = [" ".join(rng.choices(words, k=60) + (["nastyword"] if i % 4 == 0 else [])) for i in range(400)]
-    model = toxicity.fit(texts, [int(i % 4 == 0) for i in range(400)], ["en"] * 400)
+    model = toxicity.fit(toxicity.key_lists(texts), [int(i % 4 == 0) for i in range(400)], ["en"] * 400)
     fresh = [" ".join(rng.choices(words, k=80)) for _ in range(40)]
     s = toxicity.scores(model, [*fresh, *(x + " nastyword ok" for x in fresh), None, "", "!"])
     assert ((s[:40] < 0.5).mean() > 0.9) and ((s[40:80] >= 0.5).mean() > 0.9) and s[-3] == s[-2] == s[-1]
@@ -148,7 +148,7 @@ def test_neighbours_have_the_recall_and_the_ties(spark):
     rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(600, None), (601, [0.0] * 16), (602, [float("nan")] * 16), (603, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = {}
-    for r in ann.nearest(df, df.where("vec_id % 50 = 0"), block=200).collect():
+    for r in ann.nearest(df, df.where("vec_id % 50 = 0"), cell=100, asked=3).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
     x = v.astype(float)
     hits = 0
