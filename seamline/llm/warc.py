@@ -37,19 +37,18 @@ def digest32(hexadecimal: str) -> str:
     return base64.b32encode(bytes.fromhex(hexadecimal)).decode()
 
 
-def record(page_id: int, url: str | None, payload: bytes, sha1: str, refers_to: int | None) -> bytes:
-    """One WARC 1.1 record; a revisit has no payload of its own but tells its length."""
+def record(page_id: int, url: str | None, payload: bytes, size: int, sha1: str, refers_to: int | None) -> bytes:
+    """One WARC 1.1 record; a revisit has no payload of its own but tells its size."""
     head = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
         ("WARC-Record-ID", f"<urn:page:{page_id}>"),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("WARC-Target-URI", " ".join((url or "").split())),
         ("WARC-Payload-Digest", f"sha1:{digest32(sha1)}"),
-        ("WARC-Payload-Length", str(len(payload))),
+        ("WARC-Payload-Length", str(size)),
     ]
     if refers_to is not None:
         head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
-        payload = b""
     head.append(("Content-Length", str(len(payload))))
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + payload + b"\r\n\r\n"
 
@@ -121,13 +120,18 @@ class BundleReader:
 
 
 def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
-    """(page_id, url, html, sha1, refers_to) of each page: the largest id of a payload is the one referred to."""
+    """(page_id, url, html, size, sha1, refers_to) of each page: the largest id of a payload is the one referred to.
+
+    What revisits what is told from ids, digests and sizes alone; pages then meet it by their own id and digest, so
+    copies of one payload stay apart. The html of a revisit is null.
+    """
     html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"))
-    last = rows.groupBy("sha1").agg(F.max("page_id").alias("last"))
-    own = rows.join(last, "sha1")
-    again = (F.col("page_id") != F.col("last")) & (F.octet_length("html") >= least)
-    return own.select("page_id", "url", "html", "sha1", F.when(again, F.col("last")).alias("refers_to"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("size"), F.sha1(html.cast("binary")).alias("sha1"))
+    keys = cut(rows.select("page_id", "sha1", "size").where(F.col("size") >= least), "keys")
+    last = keys.groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("least <> refers_to").drop("least")
+    again = cut(keys.join(last, "sha1").where("page_id <> refers_to").select("page_id", "sha1", "refers_to").distinct(), "revisits")
+    own = rows.join(again, ["page_id", "sha1"], "left")
+    return own.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "size", "sha1", "refers_to")
 
 
 def write_archive(planned: DataFrame, folder: str) -> DataFrame:
@@ -151,12 +155,12 @@ def write_archive(planned: DataFrame, folder: str) -> DataFrame:
         for pdf in batches:
             refers = pdf["refers_to"].astype("Int64").tolist()
             ids = pdf["page_id"].astype("Int64").tolist()
-            for page, url, html, sha1, to in zip(ids, pdf["url"], pdf["html"], pdf["sha1"], refers, strict=True):
+            for page, url, html, size, sha1, to in zip(ids, pdf["url"], pdf["html"], pdf["size"], pdf["sha1"], refers, strict=True):
                 if writer is None:
                     name, rows = uuid.uuid4().hex, []
                     writer = BundleWriter(store.open_output_stream(f"{base}/{name}.part", compression=None))
                 page, to = (None if x is pd.NA else x for x in (page, to))
-                place = writer.add(record(page, url, html.encode(), sha1, to))
+                place = writer.add(record(page, url, (html or "").encode(), size, sha1, to))
                 rows.append((page, f"{name}.warc.zst", *place))
                 if writer.total >= BUNDLE:
                     yield close()
@@ -188,6 +192,8 @@ def read_archive(index: DataFrame, folder: str) -> DataFrame:
                         yield _records(parse(reader.frame(k)), by_frame[k])
 
     places = index.groupBy("bundle").agg(F.collect_list(F.struct("frame", "offset")).alias("places"))  # as many as one bundle holds
+    # a number of readers of our own, as the few small rows that name the bundles would all go to one task
+    places = places.repartition(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bundle")
     return places.mapInPandas(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
