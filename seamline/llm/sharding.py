@@ -71,7 +71,7 @@ def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
     """Add ``rank``, the place of a row in the order of all, from 0, and ``total``.
 
     The rows are dealt to partitions by ranges of the order and written once; a rank is the
-    number of rows in earlier partitions plus the place within its own. The order should be unique.
+    number of rows in earlier partitions plus the place within its own. Rows that tie in the order are equal.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
@@ -86,12 +86,18 @@ def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
 def shard(docs: DataFrame, dims: list[Column], bits: int, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, place, shard, slot) of each row, shards differing by a row at most.
 
-    The order is the place on the curve, then the text's CRC-32, the id and a hash of the whole text. A null text counts
-    as empty; repeated rows each get a slot of their own. Columns other than those in ``dims`` are not looked at.
+    Equal texts are one group; it stands where its first row on the curve stands (the smallest id of those), so only the
+    border of a shard can part it. The order is the group's place on the curve, that row's id, the text's digest, and
+    the row's own id. A null text counts as empty; null ids come first; repeated rows each get a slot
+    of their own. An empty table gives no row. Columns other than those in ``dims`` are not looked at, whatever their names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), hilbert(dims, bits).alias("place"))
-    told = ranked(rows, ["place", "text_crc32", "id", "size"])
+    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text)).alias("same"), hilbert(dims, bits).alias("place"))
+    rows = cut(rows, "placed")
+    groups = rows.groupBy("same").agg(F.min(F.struct("place", "id")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = rows.join(cut(groups.drop("n"), "groups"), "same", "left")
+    rows = rows.select("id", "size", "text_crc32", "same", F.coalesce("lead.place", "place").alias("place"), F.when(F.col("lead").isNotNull(), F.col("lead.id")).otherwise(F.col("id")).alias("first"))
+    told = ranked(rows, ["place", "first", "same", "id"])
     told = told.withColumn("shard", F.expr(f"cast((rank * {shards}) div total as int)"))
     told = told.withColumn("slot", F.expr(f"rank - (shard * total + {shards - 1}) div {shards}"))
     return told.select(F.col("id").alias(id_col), "size", "text_crc32", "place", "shard", "slot")
