@@ -68,19 +68,19 @@ def likeness(a: str, b: str, samples: int) -> Column:
     return F.expr(f"({' + '.join(same)}) / {float(samples)}D")
 
 
-def _stretch(key: Column, bounds: list[int]) -> Column:
-    """How many of the sorted ``bounds`` are at or below the key, by bisection."""
+def _stretch(key: Column, text: Column, bounds: list[int]) -> Column:
+    """How many of the sorted ``bounds`` are at or below the key, by bisection; null keys have 16 stretches below 0, by a hash of the text."""
     bits = max(1, len(bounds).bit_length())
     padded = F.lit([*bounds, *[2**63 - 1] * ((1 << bits) - len(bounds))]) if bounds else F.lit([2**63 - 1] * 2)
     step = lambda at, k: F.when(F.element_at(padded, (at + k).cast("int")) <= key, at + k).otherwise(at)
     found = F.aggregate(F.lit([1 << k for k in reversed(range(bits))]), F.lit(0), step)
-    return F.when(key.isNull(), F.lit(-1)).otherwise(found)
+    return F.when(key.isNull(), (-9 - F.shiftright(F.xxhash64(text), 60)).cast("int")).otherwise(found)
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(stretch, rn, id, text, next_id, next_text): each text and the next one by descending id.
+    """(stretch, rn, id, text, next_stretch, next_rn, next_text): each text and the next one by descending id.
 
-    After the last comes the first. Null ids come last; rows with equal ids follow by a hash of
+    (stretch, rn) names a row. After the last comes the first. Null ids come last; rows with equal ids follow by a hash of
     their texts. Ids are cut into stretches at approximate quantiles, four to a shuffle partition,
     so no task sees the whole order; the row after a stretch is looked up among the stretches' first rows.
     """
@@ -89,18 +89,19 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = base.agg(F.percentile_approx("id", [k / n for k in range(1, n)], 10 * max(1000, n))).first()[0]
     # never null, but said here, so that all readers of the shuffled texts agree and it is made once
-    base = base.withColumn("stretch", _stretch(F.col("id"), sorted(set(cuts or [])))).where("stretch is not null")
+    base = base.withColumn("stretch", _stretch(F.col("id"), F.col("text"), sorted(set(cuts or [])))).where("stretch is not null")
     order = Window.partitionBy("stretch").orderBy(F.desc_nulls_last("id"), F.xxhash64("text"), "text")
-    rows = base.select("*", F.row_number().over(order).alias("rn"), F.lead(F.struct("id", "text")).over(order).alias("then"))
+    rows = base.select("*", F.row_number().over(order).alias("rn"), F.lead("text").over(order).alias("then"))
     ends = cut(base.groupBy("stretch").agg(F.max("id").alias("id")), "ends")
     round_ = Window.partitionBy(F.lit(1)).orderBy(F.desc("stretch"))  # one row a stretch
-    first = F.first("id").over(round_.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    ends = ends.select("stretch", F.when(F.lead(F.lit(1)).over(round_).isNull(), first).otherwise(F.lead("id").over(round_)).alias("id"))
-    heads = F.broadcast(ends).join(base.select("id", "text"), ends["id"].eqNullSafe(base["id"])).select("stretch", base["id"], "text")
-    heads = heads.groupBy("stretch").agg(F.min_by(F.struct("id", "text"), F.struct(F.xxhash64("text"), "text")).alias("head"))
+    first = F.first(F.struct("stretch", "id")).over(round_.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ends = ends.select("stretch", F.coalesce(F.lead(F.struct("stretch", "id")).over(round_), first).alias("to"))
+    ends = ends.select("stretch", F.col("to.stretch").alias("next_stretch"), F.col("to.id").alias("next_id"))
+    heads = F.broadcast(ends).join(base.withColumnRenamed("stretch", "of"), (F.col("next_stretch") == F.col("of")) & F.col("next_id").eqNullSafe(F.col("id")))
+    heads = heads.groupBy("stretch", "next_stretch").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("head"))
     out = rows.join(cut(heads, "heads"), "stretch", "left")
-    after = F.when(F.col("then").isNull(), F.col("head")).otherwise(F.col("then"))
-    return out.select("stretch", "rn", "id", "text", after["id"].alias("next_id"), after["text"].alias("next_text"))
+    last = F.col("then").isNull()
+    return out.select("stretch", "rn", "id", "text", F.when(last, F.col("next_stretch")).otherwise(F.col("stretch")).alias("next_stretch"), F.when(last, 1).otherwise(F.col("rn") + 1).alias("next_rn"), F.coalesce("then", "head").alias("next_text"))
 
 
 def spaced(text: Column) -> Column:
@@ -113,12 +114,13 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     One row for each row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     A term is a run of characters between spaces and signs. A null text is an empty one; texts without a term have
     the zero fingerprint and are alike. Repeated rows
-    and ids keep a row each. Other columns are not looked at.
+    and ids keep a row each, and the next row is one row, also where ids repeat. Other columns are not looked at, whatever
+    their names. The standard error of a likeness s is sqrt(s (1 - s) / ``samples``). An empty table gives no row.
     """
     third = "cast(floor(length(text) / 3) as int)"
     rows = with_next(docs, id_col, text_col).withColumn("edited", F.expr(f"concat(left(text, length(text) - {third}), left(next_text, {third}))"))
     keys = ["stretch", "rn"]
-    told = rows.select(*keys, "id", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    told = rows.select(*keys, "id", "next_stretch", "next_rn", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     # both texts share all words before the one that the cut falls into, so these are split once
     parts = rows.select(*keys, *(spaced(F.expr(x)).alias(n) for n, x in (("head", f"left(text, length(text) - {third})"), ("own", f"right(text, {third})"), ("new", f"left(next_text, {third})"))))
     parts = parts.withColumn("tail", F.substring_index("head", " ", -1))
@@ -132,9 +134,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     signed = signed.select(*keys, fingerprint("w", samples).alias("fingerprint"), fingerprint("e", samples).alias("edited_fingerprint"))
     none = F.lit("0" * 8 * samples)
     told = told.join(signed, keys, "left").withColumns({c: F.coalesce(c, none) for c in ("fingerprint", "edited_fingerprint")})
-    told = cut(told.drop(*keys), "fingerprints")
-    next_ = told.groupBy(F.col("id").alias("next_id")).agg(F.min("fingerprint").alias("next_fingerprint"))
-    out = told.join(next_, told["next_id"].eqNullSafe(next_["next_id"]), "left")
+    told = cut(told, "fingerprints")
+    then = told.select(F.col("stretch").alias("next_stretch"), F.col("rn").alias("next_rn"), F.col("fingerprint").alias("next_fingerprint"))
+    out = told.join(then, ["next_stretch", "next_rn"])
     return out.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness("fingerprint", "edited_fingerprint", samples).alias("near_edited"),
