@@ -31,8 +31,7 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed(docs: DataFrame, share: float = MIX_SHARE) -> DataFrame:
     dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.register(F.col("text"))}
-    tokens = F.when(F.length("text") > 0, F.length("text") - F.length(F.translate("text", " ", "")) + 1).otherwise(0)
-    return mixing.mix(docs, dims, tokens, MIX_POWERS, share, F.col("doc_id"))
+    return mixing.mix(docs, dims, mixing.words(F.col("text")), MIX_POWERS, share, F.col("doc_id"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +39,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.round("mix_weight", 6).alias("weight"), F.round("mix_probability", 6).alias("probability"), F.col("mix_keep").alias("sampled"))
 
 
-def _ipf_sql(sweeps: int = 12, rounds: int = 8) -> str:
+def _ipf_sql(sweeps: int = 18, rounds: int = 8) -> str:
     """The same raking and calibration as SQL, a step a common table expression."""
     steps = [
         """docs as (select doc_id, coalesce(source, '(none)') as source, coalesce(lang, '(none)') as lang,
@@ -49,7 +48,7 @@ def _ipf_sql(sweeps: int = 12, rounds: int = 8) -> str:
        when length(regexp_replace(text, '[^A-Z]', '', 'g')) * 2 >= length(text) then 'shouting'
        when length(regexp_replace(text, '[^0-9]', '', 'g')) * 10 >= length(text) then 'figures'
        when length(text) < 600 then 'brief' when length(text) < 4000 then 'article' else 'long' end as topic,
-  case when length(text) > 0 then length(text) - length(replace(text, ' ', '')) + 1 else 0 end as tokens from documents)""",
+  coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+')), 0) as tokens from documents)""",
         "cells as (select source, lang, topic, sum(tokens)::bigint as tokens from docs group by all)",
     ]
     for d, p in MIX_POWERS.items():
@@ -133,6 +132,4 @@ n as (select vec_id, e, sqrt(list_inner_product(e, e)) as norm from v),
 s as (select q.vec_id as query_id, n.vec_id, list_inner_product(q.e, n.e) / (q.norm * n.norm) as score from n join n q on q.vec_id % 50 = 0 and q.vec_id <> n.vec_id)
 select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s
 qualify rank <= 5""",
-    "op10_warc": None,
 }
-ORACLE = {k: v for k, v in ORACLE.items() if v}
