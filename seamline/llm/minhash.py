@@ -10,11 +10,13 @@ sums of whole ticks, which no order of adding changes, and a slot holds its
 point's hash, so a text's signature does not depend on the texts beside it.
 
 Bands of slots give candidate buckets. First one pivot a bucket, the member that
-shares most buckets, is verified against the rest on the exact multisets. Members
-whose class then differs from that of most of their bucket are compared with
-all of it, block by block, each pair in the first bucket that it shares; so no link
-between different texts is lost, and a bucket of mutual copies costs one
-check a member. Classes are the connected components of the links.
+shares most buckets, is held against the rest. Members whose class then differs
+from that of most of their bucket are held against all of it, block by block, each pair
+in the first bucket that it shares; so no link between different texts is lost, and a
+bucket of mutual copies costs one check a member. A pair is first held against each
+other by a byte of each slot, and the texts move for those pairs alone whose slots agree
+about as often as the threshold asks (4.5 standard deviations of leeway); these are told by the
+exact multisets. Classes are the connected components of the links.
 """
 
 from __future__ import annotations
@@ -25,10 +27,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import WORD, Bounded, blocks, cut, mix, word_hashes
+from .common import WORD, Bounded, Scratch, blocks, cut, free_name, mix, perhaps_in, word_hashes
 
-BANDS, ROWS, BLOCK = 26, 5, 256
+BANDS, ROWS = 26, 5
+#: Documents in a block: of texts, of signatures; and the pairs of a pivot that go to one task.
+BLOCK, SKETCHES, SPREAD = 256, 2048, 4096
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Parts of a unit of time: sums below 2**17 units are exact in a float.
 _TICKS = 2.0**36
@@ -112,18 +117,44 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(both / (a[1].sum() + b[1].sum() - both))
 
 
-def _band_hashes(bands: int, rows: int, width: int):
+def _signed(bands: int, rows: int, width: int):
+    """Band hashes of each text and a byte of each of its slots, nulls where it has no word; copies near each other are signed once."""
+
+    def sign(texts: list[str]) -> Iterator[tuple[bytes, bytes] | None]:
+        for i, j in blocks(texts):
+            sig = signatures(texts[i:j], bands * rows, width)
+            bits = sig.reshape(-1, bands, rows)
+            h = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=np.uint64)), bits.shape[:2])
+            for r in range(rows):
+                h = mix(h * _GOLD + bits[:, :, r])
+            for some, own, slots in zip(sig.any(axis=1), h.astype(np.int64), (sig & np.uint64(255)).astype(np.uint8), strict=True):
+                yield (own.tobytes(), slots.tobytes()) if some else None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Bounded(20_000)
         for pdf in batches:
-            ids, texts = pdf["id"].to_numpy(), pdf["text"].tolist()
-            for i, j in blocks(texts):
-                sig = signatures(texts[i:j], bands * rows, width)
-                some = sig.any(axis=1)
-                bits = sig[some].reshape(-1, bands, rows)
-                h = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=np.uint64)), bits.shape[:2])
-                for r in range(rows):
-                    h = mix(h * _GOLD + bits[:, :, r])
-                yield pd.DataFrame({"id": ids[i:j][some], "bands": list(h.astype(np.int64))})
+            texts = dict(zip(pdf["same"], pdf["text"], strict=True))
+            texts.pop(None, None)
+            known.need(texts, lambda new: sign([texts[x] for x in new]))
+            got = [known.get(x) for x in pdf["same"]]
+            yield pdf[["id", "same"]].assign(bands=[x and np.frombuffer(x[0], np.int64) for x in got], sketch=[x and x[1] for x in got])
+
+    return run
+
+
+def least_agreement(threshold: float, slots: int) -> float:
+    return threshold - 4.5 * (threshold * (1 - threshold) / slots) ** 0.5
+
+
+def _alike(least: float):
+    """The pairs of (pivot, other) whose sketches agree in a share of ``least``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x, y = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(len(pdf), -1) for c in ("x", "y"))
+                pdf = pdf[(x == y).mean(axis=1) >= least]
+            yield pdf[["pivot", "salt", "other"]]
 
     return run
 
@@ -148,24 +179,50 @@ def _verified(width: int, threshold: float):
     return run
 
 
-def _compared(width: int, threshold: float):
-    """Links between the documents of two blocks of a bucket that differ in their label, each in the first bucket it shares."""
+def _stacked(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return np.stack(rows["bands"]), np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), -1)
+
+
+def _candidates(odd: pd.DataFrame, every: pd.DataFrame, least: float) -> Iterator[np.ndarray]:
+    """For each row of ``odd`` a mask of ``every``: another label, alike sketches, and no earlier bucket in common."""
+    (x, u), (y, v) = _stacked(odd), _stacked(every)
+    band = int(np.flatnonzero(x[0] == odd["bucket"].iat[0])[0])
+    labels = every["label"].to_numpy()
+    for r in range(len(odd)):
+        want = labels != odd["label"].iat[r]
+        if want.any():
+            want &= ((v == u[r]).mean(axis=1) >= least) & ~(y[:, :band] == x[r, :band]).any(axis=1)
+        yield want
+
+
+def _suspects(least: float):
+    """The rows of two blocks of a bucket that have a candidate in the other one."""
+
+    def run(odd: pd.DataFrame, every: pd.DataFrame) -> pd.DataFrame:
+        found: set[int] = set()
+        if len(odd) and len(every):
+            ids, own = every["id"].to_numpy(), odd["id"].to_numpy()
+            for r, want in enumerate(_candidates(odd, every, least)):
+                if want.any():
+                    found.update([int(own[r]), *ids[want].tolist()])
+        return pd.DataFrame({"bucket": odd["bucket"].iat[0] if found else 0, "id": sorted(found)}).astype("int64")
+
+    return run
+
+
+def _compared(width: int, threshold: float, least: float):
+    """Links between the documents of two blocks of a bucket, by their texts."""
 
     def run(odd: pd.DataFrame, every: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
         if len(odd) and len(every):
-            bucket = odd["bucket"].iat[0]
-            x, y = np.stack(odd["bands"]), np.stack(every["bands"])
-            band = int(np.flatnonzero(x[0] == bucket)[0])
             owner, item, count = shingle_bags(every["text"].tolist(), width)
             sizes = np.bincount(owner, count, len(every))
             mine, what, many = shingle_bags(odd["text"].tolist(), width)
-            edge = np.searchsorted(mine, np.arange(len(odd) + 1))
-            ids, labels = every["id"].to_numpy(), every["label"].to_numpy()
-            for r in range(len(odd)):
+            edge, ids = np.searchsorted(mine, np.arange(len(odd) + 1)), every["id"].to_numpy()
+            for r, want in enumerate(_candidates(odd, every, least)):
                 s = slice(edge[r], edge[r + 1])
                 total = many[s].sum()
-                want = (labels != odd["label"].iat[r]) & ~(y[:, :band] == x[r, :band]).any(axis=1)
                 want &= np.minimum(sizes, total) >= threshold * np.maximum(sizes, total) - 1e-9
                 if not want.any():
                     continue
@@ -181,7 +238,18 @@ def _compared(width: int, threshold: float):
     return run
 
 
-def components(links: DataFrame) -> DataFrame:
+def _by_blocks(rest: DataFrame, size: int, held: list[str], run, schema: str) -> DataFrame:
+    """Deal the rows of each bucket to blocks of about ``size``, and give ``run`` each block of odd rows with each block of all."""
+    counts = rest.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / size).alias("blocks"), F.ceil(F.count_if(F.col("label") != F.col("most")) / size).alias("odd_blocks"))
+    rest = rest.join(counts.where("odd_blocks > 0"), "bucket")
+    unit = lambda own, other: [F.pmod(F.xxhash64("id"), F.col(own)).alias(own[:-1]), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other[:-1])]
+    odd = rest.where("label <> most").select(*(F.col(c).alias(c) for c in held), *unit("odd_blocks", "blocks"))
+    every = rest.select(*held, *unit("blocks", "odd_blocks"))
+    keys = ["bucket", "block", "odd_block"]
+    return odd.groupBy(*keys).cogroup(every.groupBy(*keys)).applyInPandas(run, schema)
+
+
+def components(links: DataFrame, cut=cut) -> DataFrame:
     """Smallest node of each connected component: (id, label) for every node of ``links(a, b)``.
 
     Minimum labels pass along the links and jump to their own label's label, so
@@ -200,72 +268,105 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _repeats(rows: DataFrame, id_col: str) -> bool:
+    return not rows.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each row of ``docs``: (id, class_id), class_id being the smallest id of its class.
 
     Equal texts, empty ones too, are one class. A null text, and a text without a word
     character, is alone but for its exact copies (a null has none); a null id has a
-    null class. Rows that repeat an id count as one document. Other columns of
+    null class. Rows that repeat an id are one document with all of their texts, and so of one class. Other columns of
     ``docs`` are not looked at, whatever their names. An empty table gives no row.
     With the default bands a pair at the threshold is missed with probability 3e-5.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    keyed = cut(base.select("id", F.md5("text").alias("same")), "keys")
-    first = keyed.where("same is not null and id is not null").groupBy("same").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    first = cut(first, "first")
-    named = base.where("text is not null and id is not null")
-
-    signed = named.mapInPandas(_band_hashes(bands, rows, width), "id long, bands array<long>").join(first.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    signed = cut(signed, "signed")
-    slots = signed.select("id", F.explode("bands").alias("bucket"))
+    scratch = Scratch(docs.sparkSession)
+    keep, least = scratch.cut, least_agreement(threshold, bands * rows)
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.unhex(F.md5(text_col)).alias("same"))
+    signed = keep(base.mapInPandas(_signed(bands, rows, width), "id long, same binary, bands array<long>, sketch binary"), "signed")
+    repeated = _repeats(signed, "id")
+    once = (lambda df: df.dropDuplicates(["id", "same"])) if repeated else (lambda df: df)
+    keyed = signed.select("id", "same")
+    first = keep(keyed.where("same is not null and id is not null").groupBy("same").agg(F.min("id").alias("id")), "first")
+    nodes = keep(once(signed.where("bands is not null").join(first, ["same", "id"])), "nodes")
+
+    slots = nodes.select("id", F.explode("bands").alias("bucket"))
     full = slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut(slots.join(full, "bucket"), "members")
+    members = keep(slots.join(full, "bucket"), "members")
     shares = members.groupBy("id").agg(F.sum("n").alias("shared"))
     pivot = members.join(shares, "id").groupBy("bucket").agg(F.max(F.struct("shared", (-F.col("id")).alias("a"))).alias("top"))
-    pairs = cut(members.join(pivot.select("bucket", (-F.col("top.a")).alias("a")), "bucket").where("id <> a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), F.col("a").alias("pivot")).distinct(), "pairs")
-    texts = cut(named.join(shares.select("id"), "id", "left_semi").select("id", "text"), "texts")
-
-    one = pairs.groupBy("a", "b").agg(F.min("pivot").alias("pivot")).select("pivot", F.expr("case when pivot = a then b else a end").alias("other"))
-    told = (
-        one.join(texts.select(F.col("id").alias("other"), F.col("text").alias("text_b")), "other")
-        .join(texts.select(F.col("id").alias("pivot"), F.col("text").alias("text_a")), "pivot")
-        .select(F.col("pivot").alias("a"), "text_a", F.col("other").alias("b"), "text_b")
-        .mapInPandas(_verified(width, threshold), "a long, b long, linked boolean")
-    )
-    links = cut(told.where("linked").select("a", "b"), "links")
-    labels = components(links)
+    pairs = members.join(pivot.select("bucket", (-F.col("top.a")).alias("a")), "bucket").where("id <> a")
+    pairs = pairs.groupBy(F.least("a", "id").alias("x"), F.greatest("a", "id").alias("y")).agg(F.min("a").alias("pivot"))
+    pairs = keep(pairs.select("pivot", F.expr("case when pivot = x then y else x end").alias("other")), "pairs")
+
+    # a pivot with many pairs is copied, so that its pairs can go to many tasks
+    loads = keep(pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / SPREAD).alias("salts")).where("salts > 1"), "loads")
+    spread = pairs.join(loads, "pivot", "left").select("pivot", F.pmod(F.xxhash64("other"), F.coalesce("salts", F.lit(1))).alias("salt"), "other")
+
+    def copied(rows: DataFrame, column: str) -> DataFrame:
+        """``column`` of the pivots, a row for each of their salts."""
+        salts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")
+        return rows.withColumnRenamed("id", "pivot").join(loads, "pivot", "left").select("pivot", salts, F.col(column).alias("x"))
+
+    other = lambda rows, column: rows.select(F.col("id").alias("other"), F.col(column).alias("y"))
+    slim = nodes.select("id", "sketch")
+    near = spread.join(other(perhaps_in(slim, pairs.select("other")), "sketch"), "other").join(copied(perhaps_in(slim, pairs.select("pivot")), "sketch"), ["pivot", "salt"])
+    near = keep(near.select("pivot", "salt", "other", "x", "y").mapInPandas(_alike(least), "pivot long, salt long, other long").distinct(), "near")
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """(id, text, ...) of the documents in ``ids``."""
+        wanted = keep(perhaps_in(nodes.select("id", "same"), ids).join(ids, "id"), "wanted")
+        return keep(once(perhaps_in(base, wanted.select("id")).join(wanted, ["id", "same"])).select(*ids.columns, "text"), "texts")
+
+    ends = near.select(F.col("pivot").alias("id"), F.lit(True).alias("turned")).union(near.select("other", F.lit(False)))
+    texts = texts_of(keep(ends.groupBy("id").agg(F.max("turned").alias("turned")), "ends"))
+    told = near.join(other(texts, "text"), "other").join(copied(texts.where("turned"), "text"), ["pivot", "salt"])
+    told = told.select(F.col("pivot").alias("a"), F.col("x").alias("text_a"), F.col("other").alias("b"), F.col("y").alias("text_b"))
+    links = told.mapInPandas(_verified(width, threshold), "a long, b long, linked boolean").where("linked").select("a", "b")
+    if repeated:  # the texts of one document belong together
+        own = keyed.join(first.withColumnRenamed("id", "a"), "same").select("id", "a").distinct()
+        links = links.union(own.join(own.groupBy("id").agg(F.min("a").alias("b")), "id").where("a <> b").select("a", "b"))
+    links = keep(links, "links")
+    labels = components(links, keep)
 
     # what is left: members outside the class of most of their bucket, against all the bucket
-    placed = members.where("n > 2").join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"))
-    placed = cut(placed, "placed")
+    placed = keep(members.where("n > 2").join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label")), "placed")
     most = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n"))
     most = most.groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("top"), F.max("n").alias("n")).where("top.m < n")
-    most = most.select("bucket", F.col("top.label").alias("most"), F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("top.m")) / BLOCK).alias("odd_blocks"))
-    rest = cut(placed.join(most, "bucket"), "rest")
-    if not rest.isEmpty():
-        rest = rest.join(signed, "id").join(texts.dropDuplicates(["id"]), "id")
-        unit = lambda own, other: [F.pmod(F.xxhash64("id"), F.col(own)).alias(own[:-1]), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other[:-1])]
-        held = ["bucket", "id", "label", "bands", "text"]
-        odd = cut(rest.where("label <> most"), "odd").select(*held, *unit("odd_blocks", "blocks"))
-        every = rest.select(*held, *unit("blocks", "odd_blocks"))
-        keys = ["bucket", "block", "odd_block"]
-        found = odd.groupBy(*keys).cogroup(every.groupBy(*keys)).applyInPandas(_compared(width, threshold), "a long, b long")
-        links = cut(links.union(found), "links")
-        labels = components(links)
+    rest = keep(placed.join(most.select("bucket", F.col("top.label").alias("most")), "bucket").select("bucket", "id", "label", "most"), "rest")
+    held = ["bucket", "id", "label", "bands", "sketch"]
+    signs = perhaps_in(nodes.select("id", "bands", "sketch"), rest.select("id").distinct())
+    suspects = keep(_by_blocks(rest.join(signs, "id"), SKETCHES, held, _suspects(least), "bucket long, id long").distinct(), "suspects")
+    if not suspects.isEmpty():
+        doubtful = keep(suspects.select("id").distinct(), "doubtful_ids")
+        signs = perhaps_in(nodes.select("id", "bands", "sketch"), doubtful)
+        rest = rest.join(suspects, ["bucket", "id"], "left_semi").join(signs, "id").join(texts_of(doubtful), "id")
+        found = _by_blocks(keep(rest, "doubtful"), BLOCK, [*held, "text"], _compared(width, threshold, least), "a long, b long")
+        labels = components(keep(links.union(found), "links"), keep)
 
     classes = first.join(labels, "id", "left").select("same", F.coalesce("label", "id").alias("class_id"))
-    return keyed.join(classes, "same", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"))
+    out = keyed.where("same is not null").join(classes, "same", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
+    lone = keyed.where("same is null").select("id", F.col("id").alias("class_id"))
+    if repeated:  # a null text goes with the other texts of its id
+        lone = lone.alias("l").join(out.groupBy("id").agg(F.min("class_id").alias("c")), "id", "left").select("id", F.coalesce("c", "class_id").alias("class_id"))
+    out = cut(out.union(lone).select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id")), "classes")
+    scratch.clear()
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one document of each near-duplicate class, that of the smallest id.
 
-    Columns are unchanged. Rows with a null id stay; of rows that repeat an id, one stays.
+    Columns are unchanged, whatever their names. Rows with a null id stay; of rows that repeat an id, that with the
+    smallest digest of its text stays, and of equal texts one.
     """
     classes = near_duplicates(docs, id_col, text_col, **how)
     rest = cut(classes.where(F.col(id_col) != F.col("class_id")).select(id_col).distinct(), "rest")
     kept = docs.join(rest, id_col, "left_anti").select(*docs.columns)
-    if not docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
-        named, null = kept.where(F.col(id_col).isNotNull()), kept.where(F.col(id_col).isNull())
-        kept = named.dropDuplicates([id_col]).unionByName(null)
+    if _repeats(docs, id_col):
+        nth = free_name(docs, "_nth")
+        order = Window.partitionBy(id_col).orderBy(F.md5(text_col).asc_nulls_last(), F.xxhash64(*docs.columns))
+        named = kept.where(F.col(id_col).isNotNull()).withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1)
+        kept = named.drop(nth).unionByName(kept.where(F.col(id_col).isNull()))
     return kept
