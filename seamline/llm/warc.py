@@ -191,9 +191,9 @@ def read_archive(index: DataFrame, folder: str) -> DataFrame:
                     for k in sorted(by_frame):
                         yield _records(parse(reader.frame(k)), by_frame[k])
 
-    places = index.groupBy("bundle").agg(F.collect_list(F.struct("frame", "offset")).alias("places"))  # as many as one bundle holds
-    # a number of readers of our own, as the few small rows that name the bundles would all go to one task
-    places = places.repartition(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bundle")
+    places = index.groupBy("bundle").agg(F.sort_array(F.collect_list(F.struct("frame", "offset"))).alias("places"))  # as many as one bundle holds
+    # dealt in turn to a number of readers, as the few small rows that name the bundles would all go to one task
+    places = places.repartition(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return places.mapInPandas(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
