@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterable
 from itertools import filterfalse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +59,17 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded_batches(rows: DataFrame, most: int = 1_000) -> DataFrame:
+    """``rows`` as they are, in a session whose Arrow batches hold at most ``most`` of them: texts are long, and a batch lies in memory on both sides.
+
+    A session that sets another number than Spark's own keeps it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if rows.sparkSession.conf.get(key) == "10000":
+        rows.sparkSession.conf.set(key, str(most))
+    return rows
+
+
 def perhaps_in(rows: DataFrame, ids: DataFrame, column: str = "id", most_bits: int = 1 << 27) -> DataFrame:
     """The rows whose ``column`` may be in the first column of ``ids``: all that are, and about one in twenty of the others.
 
@@ -131,3 +144,19 @@ def blocks(texts: list, chars: int = 1_500_000) -> Iterable[tuple[int, int]]:
             start, size = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def spans(texts: pa.Array, chars: int = 1_500_000) -> Iterable[tuple[int, int]]:
+    """``blocks`` of an Arrow array, so that few texts at a time become Python strings."""
+    sizes, start = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)), 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + chars, "right")))
+        yield start, stop
+        start = stop
+
+
+def slices(batches: Iterable[pa.RecordBatch], text: str) -> Iterable[pa.RecordBatch]:
+    """Arrow batches in parts of bounded text."""
+    for batch in batches:
+        for i, j in spans(batch.column(text)):
+            yield batch.slice(i, j - i)

@@ -14,10 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, blocks, free_name, sampled
+from .common import Bounded, bounded_batches, free_name, sampled, spans
 
 LETTERS = re.compile(r"[^\W\d_]+")
 SMOOTH = 0.1
@@ -38,7 +39,7 @@ def _logs(counts: np.ndarray) -> np.ndarray:
     return np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * (len(counts) + 1)))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 5_000, longest: int = 5) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 4_000, longest: int = 5) -> Model:
     """Learn from about ``max_docs`` documents (a hash of the id picks them), all of their words.
 
     Rows with a null language or text teach nothing; without any row the model knows no language.
@@ -95,17 +96,24 @@ def word_scores(model: Model, words: list[str]) -> list[np.ndarray]:
 
 def predict(model: Model, texts: list[str | None], cache: Bounded | None = None) -> tuple[list[str], np.ndarray]:
     """Language and its posterior share for each text; ``und`` and 0 where there is no letter or no language is known."""
-    cache = Bounded() if cache is None else cache
-    langs, scores = [], np.zeros(len(texts))
+    cache = Bounded(50_000) if cache is None else cache
     split = [LETTERS.findall(x.lower()) if x else [] for x in texts]
-    cache.need(set().union(*split), lambda new: word_scores(model, new))
+    vocabulary = list(set().union(*split))
+    known = np.fromiter((model.words.get(w, -1) for w in vocabulary), np.int64, len(vocabulary))
+    fresh = [vocabulary[i] for i in np.flatnonzero(known < 0)]
+    cache.need(fresh, lambda new: word_scores(model, new))
+    logs = np.zeros((len(vocabulary), len(model.langs)))
+    logs[known >= 0] = model.word_logs[known[known >= 0]]
+    if fresh:
+        logs[known < 0] = [cache[w] for w in fresh]
+    at = {w: i for i, w in enumerate(vocabulary)}
+    langs, scores = ["und"] * len(texts), np.zeros(len(texts))
     for i, words in enumerate(split):
         if not model.langs or not any(c.isalpha() for w in words for c in w):
-            langs.append("und")
             continue
-        total = model.prior + np.sum([cache[w] for w in words], axis=0)
+        total = model.prior + logs[np.fromiter(map(at.__getitem__, words), np.int64, len(words))].sum(axis=0)
         best = int(np.argmax(total))
-        langs.append(model.langs[best])
+        langs[i] = model.langs[best]
         scores[i] = 1 / np.exp(total - total[best]).sum()
     return langs, scores
 
@@ -118,16 +126,16 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_out: st
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
-    def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        cache = Bounded()
+    @F.arrow_udf("lang string, score double")
+    def told(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        cache = Bounded(50_000)
         for texts in batches:
-            texts = texts.tolist()
-            parts = [predict(shared.value, texts[i:j], cache) for i, j in blocks(texts)]
-            yield pd.DataFrame({"lang": [x for p in parts for x in p[0]], "score": np.concatenate([p[1] for p in parts] or [np.zeros(0)])})
+            parts = [predict(shared.value, texts[i:j].to_pylist(), cache) for i, j in spans(texts)]
+            langs, scores = pa.array([x for p in parts for x in p[0]], pa.string()), np.concatenate([p[1] for p in parts] or [np.zeros(0)])
+            yield pa.StructArray.from_arrays([langs, pa.array(scores, pa.float64())], ["lang", "score"])
 
     got = free_name(docs, "_identified")
-    out = docs.withColumn(got, told(F.col(text_col)))
+    out = bounded_batches(docs).withColumn(got, told(F.col(text_col)))
     return out.withColumns({lang_out: F.col(f"{got}.lang"), score_out: F.col(f"{got}.score")}).drop(got)
 
 

@@ -25,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, Bounded, Scratch, blocks, cut, free_name, mix, perhaps_in, word_hashes
+from .common import WORD, Bounded, Scratch, blocks, bounded_batches, cut, free_name, mix, perhaps_in, slices, word_hashes
 
 BANDS, ROWS = 26, 5
 #: Documents in a block: of texts, of signatures; and the pairs of a pivot that go to one task.
@@ -37,7 +38,7 @@ BLOCK, SKETCHES, SPREAD = 256, 2048, 4096
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Parts of a unit of time: sums below 2**17 units are exact in a float.
 _TICKS = 2.0**36
-_words = Bounded()
+_words = Bounded(150_000)
 
 
 def shingle_bags(texts: list[str], width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,14 +131,16 @@ def _signed(bands: int, rows: int, width: int):
             for some, own, slots in zip(sig.any(axis=1), h.astype(np.int64), (sig & np.uint64(255)).astype(np.uint8), strict=True):
                 yield (own.tobytes(), slots.tobytes()) if some else None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Bounded(20_000)
-        for pdf in batches:
-            texts = dict(zip(pdf["same"], pdf["text"], strict=True))
+        for part in slices(batches, "text"):
+            same = part.column("same").to_pylist()
+            texts = dict(zip(same, part.column("text").to_pylist(), strict=True))
             texts.pop(None, None)
             known.need(texts, lambda new: sign([texts[x] for x in new]))
-            got = [known.get(x) for x in pdf["same"]]
-            yield pdf[["id", "same"]].assign(bands=[x and np.frombuffer(x[0], np.int64) for x in got], sketch=[x and x[1] for x in got])
+            got = [known.get(x) for x in same]
+            own = pa.array([x and np.frombuffer(x[0], np.int64) for x in got], pa.list_(pa.int64())), pa.array([x and x[1] for x in got], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("same"), *own], ["id", "same", "bands", "sketch"])
 
     return run
 
@@ -283,8 +286,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     scratch = Scratch(docs.sparkSession)
     keep, least = scratch.cut, least_agreement(threshold, bands * rows)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.unhex(F.md5(text_col)).alias("same"))
-    signed = keep(base.mapInPandas(_signed(bands, rows, width), "id long, same binary, bands array<long>, sketch binary"), "signed")
+    base = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.unhex(F.md5(text_col)).alias("same"))
+    signed = keep(base.mapInArrow(_signed(bands, rows, width), "id long, same binary, bands array<long>, sketch binary"), "signed")
     repeated = _repeats(signed, "id")
     once = (lambda df: df.dropDuplicates(["id", "same"])) if repeated else (lambda df: df)
     keyed = signed.select("id", "same")

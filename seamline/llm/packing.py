@@ -21,14 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, blocks
+from .common import Bounded, blocks, bounded_batches
 
 #: White space as the tokenizer's pattern means it, in Unicode's property White_Space.
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2000))) + "-" + "".join(map(chr, (0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _ODD = re.compile(r"\s\s| \Z")
 _PAIR = re.compile(r"\s\s")
 _CHUNK = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-_heads, _tails = Bounded(200_000), Bounded(1_000_000)
+_heads, _tails = Bounded(50_000), Bounded(300_000)
 
 
 @cache
@@ -122,7 +122,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                         rows.append((key, k, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])))
                 yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    return bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 class BestFit:

@@ -14,11 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Bounded, blocks, free_name, sampled
+from .common import WORD, Bounded, blocks, bounded_batches, free_name, sampled, spans
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 20, 8, 8, (1, 2, 3)
 PAD = max(WIDTHS) - 1
@@ -202,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for k in (1, 0):
         part = sampled(given.where(F.col("y") == k), F.col("id"), max_docs // 2)
         picked = part if picked is None else picked.union(part)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null")
+    texts = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null")
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -218,14 +219,13 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     """``docs`` with the toxicity of each whole text, 0 to 1. Null and empty texts score as no words; ``out`` replaces a column of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def told(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cache = Bounded()
+    @F.arrow_udf("double")
+    def told(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        cache = Bounded(100_000)
         for texts in batches:
-            texts = texts.tolist()
-            yield pd.Series(np.concatenate([scores(shared.value, texts[i:j], cache) for i, j in blocks(texts)] or [np.zeros(0)]))
+            yield pa.array(np.concatenate([scores(shared.value, texts[i:j].to_pylist(), cache) for i, j in spans(texts)] or [np.zeros(0)]), pa.float64())
 
-    return docs.withColumn(out, told(F.col(text_col)))
+    return bounded_batches(docs).withColumn(out, told(F.col(text_col)))
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
