@@ -20,8 +20,18 @@ def nearest(truth: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.groupBy("series", "b").agg(F.min_by("p", F.struct(F.abs(F.col("b") - F.col("p")), "p")).alias("near"))
 
 
-def hausdorff(truth: DataFrame, found: DataFrame) -> DataFrame:
-    return nearest(truth, found).groupBy("series").agg(F.max(F.abs(F.col("b") - F.col("near"))).alias("distance"))
+def hausdorff(truth: DataFrame, found: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
+    """(series, distance): the largest distance from a true break to its nearest found one.
+
+    With ``lengths`` (series, n) every series has a row: 0 without any break, its length where one side alone is empty.
+    """
+    out = nearest(truth, found).groupBy("series").agg(F.max(F.abs(F.col("b") - F.col("near"))).alias("distance"))
+    if lengths is None:
+        return out
+    some = truth.select("series").distinct().withColumn("t", F.lit(True)).join(found.select("series").distinct().withColumn("f", F.lit(True)), "series", "full")
+    every = lengths.select("series", "n").join(some, "series", "left").join(out, "series", "left")
+    alone = F.coalesce("t", F.lit(False)) != F.coalesce("f", F.lit(False))
+    return every.select("series", F.when(alone, F.col("n")).otherwise(F.coalesce("distance", F.lit(0))).cast("long").alias("distance"))
 
 
 def covering(truth: DataFrame, found: DataFrame) -> DataFrame:
@@ -47,8 +57,8 @@ def adjusted_rand(pairs: DataFrame) -> DataFrame:
     return out.select("series", F.when(top == 0, 1.0).otherwise((F.col("s") - expected) / top).alias("ari"))
 
 
-def information(pairs: DataFrame) -> DataFrame:
-    """Homogeneity, completeness, V-measure and normalised mutual information (arithmetic mean)."""
+def information(pairs: DataFrame, beta: float = 1.0) -> DataFrame:
+    """Homogeneity, completeness, V-measure (completeness counts ``beta`` times) and normalised mutual information (arithmetic mean)."""
     cells = contingency(pairs)
     of = lambda *k: Window.partitionBy("series", *k)
     cells = cells.withColumns({"na": F.sum("n").over(of("a")), "nb": F.sum("n").over(of("b")), "total": F.sum("n").over(of())})
@@ -57,7 +67,7 @@ def information(pairs: DataFrame) -> DataFrame:
     out = mutual.join(side("a"), "series").join(side("b"), "series")
     out = out.withColumns({"homogeneity": F.when(F.col("h_a") == 0, 1.0).otherwise(F.col("mi") / F.col("h_a")), "completeness": F.when(F.col("h_b") == 0, 1.0).otherwise(F.col("mi") / F.col("h_b"))})
     h, c = F.col("homogeneity"), F.col("completeness")
-    return out.select("series", "homogeneity", "completeness", F.when(h + c == 0, 0.0).otherwise(2 * h * c / (h + c)).alias("v"), F.when(F.col("h_a") + F.col("h_b") == 0, 1.0).otherwise(2 * F.col("mi") / (F.col("h_a") + F.col("h_b"))).alias("nmi"))
+    return out.select("series", "homogeneity", "completeness", F.when(beta * h + c == 0, 0.0).otherwise((1 + beta) * h * c / (beta * h + c)).alias("v"), F.when(F.col("h_a") + F.col("h_b") == 0, 1.0).otherwise(2 * F.col("mi") / (F.col("h_a") + F.col("h_b"))).alias("nmi"))
 
 
 def benjamini_hochberg(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -68,24 +78,81 @@ def benjamini_hochberg(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     return placed.select(*tests.columns, F.coalesce(F.col("p") <= cut, F.lit(False)).alias("rejected"))
 
 
-def persistence(breaks: DataFrame, runs: DataFrame, tolerance: int, total: int | None = None) -> DataFrame:
-    """Share of the runs (series, run, b) that have a break within ``tolerance`` of each break.
+def persistence(breaks: DataFrame, runs: DataFrame, tolerance: int, total: int | None = None, low: float | None = None) -> DataFrame:
+    """Share of the runs (series, run, b) that have a break within ``tolerance`` of each break: (series, b, persistence).
 
-    ``total`` is the number of runs, those without a break too; if not given, runs with a break count.
+    ``total`` is the number of runs that ended well, those without a break too; if not given, runs with a break count. With
+    ``low``, columns ``runs`` and ``low``, whether the share is below it, follow.
     """
-    n = runs.groupBy("series").agg((F.countDistinct("run") if total is None else F.lit(total)).alias("runs"))
-    r = runs.select("series", "run", F.col("b").alias("p"))
-    hit = breaks.join(r, "series").where(F.abs(F.col("b") - F.col("p")) <= tolerance).groupBy("series", "b").agg(F.countDistinct("run").alias("hits"))
-    return breaks.join(n, "series").join(hit, ["series", "b"], "left").select("series", "b", (F.coalesce("hits", F.lit(0)) / F.col("runs")).alias("persistence"))
-
-
-def bands(breaks: DataFrame, runs: DataFrame, tolerance: int, level: float = 0.9) -> DataFrame:
-    """Quantiles of the runs' breaks within ``tolerance`` of each break; without any, the tolerance itself."""
-    r = runs.select("series", F.col("b").alias("p"))
-    near = breaks.join(r, "series").where(F.abs(F.col("b") - F.col("p")) <= tolerance)
-    got = near.groupBy("series", "b").agg(F.percentile("p", (1 - level) / 2).alias("lo"), F.percentile("p", (1 + level) / 2).alias("hi"))
-    out = breaks.join(got, ["series", "b"], "left")
-    return out.select("series", "b", F.coalesce("lo", (F.col("b") - tolerance).cast("double")).alias("lo"), F.coalesce("hi", (F.col("b") + tolerance).cast("double")).alias("hi"))
+    n = runs.groupBy("series").agg((F.countDistinct("run") if total is None else F.lit(total).cast("long")).alias("runs"))
+    hit = _near(breaks, runs, tolerance, "run").groupBy("series", "b").agg(F.countDistinct("run").alias("hits"))
+    out = breaks.select("series", "b").join(n, "series").join(hit, ["series", "b"], "left").select("series", "b", (F.coalesce("hits", F.lit(0)) / F.col("runs")).alias("persistence"), "runs")
+    return out.drop("runs") if low is None else out.withColumn("low", F.col("persistence") < low)
+
+
+def _near(breaks: DataFrame, runs: DataFrame, tolerance: int, *held: str) -> DataFrame:
+    """(series, b, p, ...): the runs' breaks within ``tolerance`` of each break; each break names the rows it looks at, so the join is by equality."""
+    want = breaks.select("series", "b").distinct().withColumn("p", F.explode(F.sequence(F.col("b") - tolerance, F.col("b") + tolerance)))
+    return want.join(runs.select("series", F.col("b").cast("long").alias("p"), *held), ["series", "p"])
+
+
+def bands(breaks: DataFrame, runs: DataFrame, tolerance: int, lengths: DataFrame, level: float = 0.9) -> DataFrame:
+    """(series, b, lo, hi): quantiles of the nearest break of each run, if within twice ``tolerance``; without any, the tolerance itself.
+
+    Ends are whole rows within the series (``lengths``: series, n), and hold the break.
+    """
+    near = _near(breaks, runs, 2 * tolerance, "run").groupBy("series", "b", "run").agg(F.min_by("p", F.struct(F.abs(F.col("p") - F.col("b")), "p")).alias("p"))
+    got = near.groupBy("series", "b").agg(F.percentile("p", (1 - level) / 2).alias("l"), F.percentile("p", (1 + level) / 2).alias("h"))
+    out = breaks.select("series", "b").join(got, ["series", "b"], "left").join(lengths, "series")
+    b, n = F.col("b"), F.col("n")
+    none = F.col("l").isNull()  # said first, as least and greatest pass over nulls
+    lo = F.when(none, F.greatest(F.lit(1), b - tolerance)).otherwise(F.greatest(F.lit(0), F.least(F.floor("l"), b)))
+    hi = F.when(none, F.least(n - 2, b + tolerance)).otherwise(F.least(n - 1, F.greatest(F.floor("h"), b)))
+    return out.select("series", "b", lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
+
+
+def _paired(gain: np.ndarray) -> list[tuple[int, int]]:
+    """Rows and columns matched one to one for the largest total, by successive shortest paths with potentials."""
+    turned = gain.shape[0] > gain.shape[1]
+    cost = -(gain.T if turned else gain).astype(float)
+    n, m = cost.shape
+    u, v, match = np.zeros(n), np.zeros(m), np.full(m, -1)
+    for row in range(n):
+        best, came, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+        at, col, reach = row, -1, 0.0
+        while at >= 0:
+            step = reach + cost[at] - u[at] - v
+            closer = ~done & (step < best)
+            best[closer], came[closer] = step[closer], col
+            col = int(np.where(done, np.inf, best).argmin())
+            reach, done[col] = best[col], True
+            at = match[col]
+        u[row] += reach
+        for j in np.flatnonzero(done):
+            if j != col:
+                u[match[j]] += reach - best[j]
+            v[j] -= reach - best[j]
+        while col >= 0:
+            back = came[col]
+            match[col] = row if back < 0 else match[back]
+            col = back
+    pairs = [(int(match[j]), j) for j in range(m) if match[j] >= 0]
+    return sorted((j, i) if turned else (i, j) for i, j in pairs)
+
+
+def temporal_hamming(pairs: DataFrame) -> DataFrame:
+    """(series, hamming, annotation_error, accuracy) of labels (series, a, b), b's labels renamed one to one for the best agreement with a.
+
+    A label of b without a partner agrees nowhere. The group of a series is its contingency table, labels by labels.
+    """
+    kind = pairs.schema["series"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        table = pdf.pivot_table(index="a", columns="b", values="n", fill_value=0).to_numpy(float)
+        total, right = float(pdf["n"].sum()), sum(table[i, j] for i, j in _paired(table))
+        return pd.DataFrame([(pdf["series"].iat[0], total - right, 1 - right / total, right / total)], columns=["series", "hamming", "annotation_error", "accuracy"])
+
+    return contingency(pairs).groupBy("series").applyInPandas(run, f"series {kind}, hamming double, annotation_error double, accuracy double")
 
 
 def _assigned(truth: list[int], found: list[int]) -> list[tuple[int, int]]:

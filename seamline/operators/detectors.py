@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.features import rolling
+from ..functions.features import ewma, filled, rolling
 
 
 def cluster(panel: DataFrame, columns: list[str], k: int = 3, method: str = "kmeans", seed: int = 42) -> DataFrame:
@@ -21,6 +21,13 @@ def cluster(panel: DataFrame, columns: list[str], k: int = 3, method: str = "kme
     return model.transform(v).select(*panel.columns, F.col("prediction").alias("label"))
 
 
+def covariance_regimes(wide: DataFrame, columns: list[str], window: int = 40, k: int = 2, least: int = 10, seed: int = 42) -> DataFrame:
+    """Clusters of the rolling correlations of every two columns, short runs given away: (series, t, label); rows before the first whole window have none."""
+    c = rolling_correlations(wide, columns, window).na.drop()
+    names = [x for x in c.columns if x not in ("series", "t")]
+    return smoothed(cluster(c, names, k, seed=seed).select("series", "t", "label"), least)
+
+
 def gaussian_hmm(x: np.ndarray, states: int = 3, rounds: int = 30, seed: int = 0, floor: float = 1e-2) -> np.ndarray:
     """Most likely path of a hidden Markov model with diagonal Gaussian states, fitted by Baum and Welch."""
     n, p = x.shape
@@ -88,18 +95,22 @@ def jump_model(x: np.ndarray, states: int = 3, penalty: float = 5.0, rounds: int
 
 
 def dwell(labels: np.ndarray, least: int) -> np.ndarray:
-    """Runs shorter than ``least`` take their neighbours' label where those agree or at an edge, left to right."""
-    labels = labels.copy()
-    a = 0
-    while a < len(labels):
-        b = a
-        while b < len(labels) and labels[b] == labels[a]:
-            b += 1
-        left, right = labels[a - 1] if a else None, labels[b] if b < len(labels) else None
-        if b - a < least and (left is not None or right is not None) and (left is None or right is None or left == right):
-            labels[a:b] = right if left is None else left
-        a = b
-    return labels
+    """Give short runs away: from the left, a run of fewer than ``least`` rows joins the label to both its sides, or the one it has at an end.
+
+    Works on the list of runs; a run that was given away counts with the one before it from then on.
+    """
+    starts = np.flatnonzero(np.diff(labels, prepend=np.nan) != 0)
+    values, sizes = labels[starts], np.diff(np.append(starts, len(labels)))
+    out: list[list] = []  # [label, rows]
+    for k, (label, size) in enumerate(zip(values, sizes, strict=True)):
+        sides = {x for x in (out[-1][0] if out else None, values[k + 1] if k + 1 < len(values) else None) if x is not None}
+        if size < least and len(sides) == 1:
+            label = sides.pop()
+        if out and out[-1][0] == label:
+            out[-1][1] += size
+        else:
+            out.append([label, size])
+    return np.repeat([x for x, _ in out], [n for _, n in out]) if out else labels
 
 
 def garch_volatility(x: np.ndarray, alpha: float = 0.1, beta: float = 0.85) -> np.ndarray:
@@ -141,13 +152,36 @@ def detect(panel: DataFrame, method: str, columns: list[str] | None = None, **kn
     return panel.select("series", "t", "date", *columns).groupBy("series").applyInPandas(run, f"series string, t int, date {kind}, label int")
 
 
-def volatility_levels(panel: DataFrame, window: int = 20, states: int = 2) -> DataFrame:
-    """Quantile bins of the log of the rolling mean squared difference: (series, t, date, label)."""
+def smoothed(labels: DataFrame, least: int) -> DataFrame:
+    """``dwell`` for each series of labels (series, t, label): only the runs go to Python, one group a series."""
+    w = Window.partitionBy("series").orderBy("t")
+    runs = labels.withColumn("_new", F.when(F.lag("label").over(w).eqNullSafe(F.col("label")), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
+    sizes = runs.groupBy("series", "_run", "label").agg(F.count(F.lit(1)).alias("n"))
+    kinds = {f.name: f.dataType.simpleString() for f in sizes.schema}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_run")
+        after = dwell(np.repeat(pdf["label"].to_numpy(), pdf["n"]), least)
+        return pdf[["series", "_run"]].assign(label=after[np.cumsum(pdf["n"]) - pdf["n"]])
+
+    told = sizes.groupBy("series").applyInPandas(run, f"series {kinds['series']}, _run {kinds['_run']}, label {kinds['label']}")
+    return runs.drop("label", "_new").join(told, ["series", "_run"]).select(*labels.columns)
+
+
+def volatility_levels(panel: DataFrame, window: int = 20, states: int = 2, least: int = 1) -> DataFrame:
+    """Quantile bins of the log of a volatility: (series, t, date, label), runs shorter than ``least`` given away.
+
+    The volatility is half the rolling mean of squared differences, with gaps filled from the left and then from the right, and half
+    their exponential mean of the same span.
+    """
     w = Window.partitionBy("series").orderBy("t")
-    p = panel.withColumn("r", F.col("value") - F.lag("value").over(w)).where("r is not null")
-    p = p.withColumn("lv", F.log(rolling(F.col("r") * F.col("r"), window, F.avg, 3) + 1e-12)).where("lv is not null")
+    p = panel.withColumn("r", F.col("value") - F.lag("value").over(w)).where("r is not null").withColumn("value", F.col("r") * F.col("r"))
+    p = ewma(p.select("series", "t", "date", "value"), window)
+    p = p.withColumn("_m", rolling(F.col("value"), window, F.avg, 3))
+    p = p.withColumn("lv", F.log(0.5 * filled(F.col("_m")) + 0.5 * F.col("ewma") + 1e-12))
     cuts = p.groupBy("series").agg(F.percentile("lv", [k / states for k in range(1, states)]).alias("cuts"))
-    return p.join(cuts, "series").select("series", "t", "date", F.expr("size(filter(cuts, c -> lv >= c))").cast("int").alias("label"))
+    out = p.join(cuts, "series").select("series", "t", "date", F.expr("size(filter(cuts, c -> lv >= c))").cast("int").alias("label"))
+    return out if least < 2 else smoothed(out, least)
 
 
 def rolling_correlations(wide: DataFrame, columns: list[str], window: int = 40) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.features import nelson_siegel
+from ..functions.features import loadings, nelson_siegel
 
 
 def principal_components(panel: DataFrame, columns: list[str], k: int) -> DataFrame:
@@ -25,6 +25,18 @@ def principal_components(panel: DataFrame, columns: list[str], k: int) -> DataFr
     return out.select(*panel.columns, *((F.get("_a", F.lit(j)) * signs[j]).alias(f"pc{j + 1}") for j in range(k)))
 
 
+def raw(panel: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns as they are."""
+    return panel.select("date", *columns)
+
+
+def rank_of(panel: DataFrame, columns: list[str], threshold: float, rule: str = "explained") -> int:
+    """Number of components of a panel by ``rank_for``; Spark sums the covariances."""
+    cov = panel.agg(F.array(*(F.covar_samp(a, b) for a in columns for b in columns))).first()[0]
+    values = np.linalg.eigvalsh(np.array([x or 0.0 for x in cov]).reshape(len(columns), -1))[::-1]
+    return min(len(columns), rank_for(np.maximum(values, 0), threshold, rule))
+
+
 def rank_for(eigenvalues: np.ndarray, threshold: float, rule: str = "explained") -> int:
     """Number of components: by explained variance, by entropy, or by the singular-value threshold."""
     v = np.asarray(eigenvalues, float)
@@ -47,18 +59,20 @@ def curve_factors(panel: DataFrame, columns: list[str], years: list[float], deca
     return panel.select("date", *(term(r).alias(n) for n, r in zip(("level", "slope", "curvature"), matrix, strict=True)))
 
 
-def curve_decay(panel: DataFrame, columns: list[str], years: list[float], decays: list[float]) -> DataFrame:
-    """For each row the decay of the grid whose curve fits it best: (date, decay, sse)."""
+#: Decays tried for each curve.
+DECAYS = [0.01, 0.03, 0.0609, 0.1, 0.2, 0.3, 0.5, 0.8, 1.0]
+
+
+def curve_decay(panel: DataFrame, columns: list[str], years: list[float], decays: list[float] | None = None) -> DataFrame:
+    """For each row the decay of the grid whose curve fits it best, the first of equal ones, and its factors: (date, level, slope, curvature, decay, sse)."""
     fits = []
-    tau = np.array(years)
-    for d in decays:
-        x = tau * 12 * d
-        load = np.stack([np.ones(len(x)), (1 - np.exp(-x)) / x, (1 - np.exp(-x)) / x - np.exp(-x)], axis=1)
-        resid = np.eye(len(x)) - load @ np.linalg.pinv(load)
-        parts = [sum((F.col(c) * float(w) for c, w in zip(columns, row, strict=True)), F.lit(0.0)) for row in resid]
-        fits.append(F.struct(F.round(sum((p * p for p in parts), F.lit(0.0)), 6).alias("sse"), F.lit(d).alias("decay")))
+    dot = lambda row: sum((F.col(c) * float(w) for c, w in zip(columns, row, strict=True)), F.lit(0.0))
+    for d in decays or DECAYS:
+        load, inverse = np.array(loadings(years, d)), np.array(nelson_siegel(years, d))
+        rest = [dot(row) for row in np.eye(len(years)) - load @ inverse]
+        fits.append(F.struct(sum((p * p for p in rest), F.lit(0.0)).alias("sse"), F.lit(d).alias("decay"), *(dot(row).alias(n) for row, n in zip(inverse, ("level", "slope", "curvature"), strict=True))))
     best = F.array_min(F.array(*fits))
-    return panel.select("date", best["decay"].alias("decay"), best["sse"].alias("sse"))
+    return panel.select("date", *(best[c].alias(c) for c in ("level", "slope", "curvature", "decay", "sse")))
 
 
 def smooth_across(columns: list[str], width: int = 3) -> dict:

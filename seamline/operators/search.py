@@ -1,9 +1,10 @@
-"""Candidate breaks. The single-split searches are window sums; the sequential ones run as numpy kernels, a series a group."""
+"""Candidate breaks: splits and intervals as window sums and joins; a few sequential kernels in numpy, a series a group."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import written
+
 
 def _prefixes(panel: DataFrame) -> DataFrame:
     run, whole = Window.partitionBy("series").orderBy("t").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("series")
@@ -22,7 +25,7 @@ def cusum_split(panel: DataFrame, min_size: int = 10) -> DataFrame:
     """The split with the largest scaled difference of means, the first of equal ones: (series, b, stat)."""
     p = _prefixes(panel).where((F.col("t") >= min_size) & (F.col("_n") - F.col("t") >= min_size))
     left, right = F.col("_s") / F.col("t"), (F.col("_all") - F.col("_s")) / (F.col("_n") - F.col("t"))
-    p = p.withColumn("stat", F.round(F.sqrt(F.col("t") * (F.col("_n") - F.col("t")) / F.col("_n")) * F.abs(left - right), 6))
+    p = p.withColumn("stat", F.sqrt(F.col("t") * (F.col("_n") - F.col("t")) / F.col("_n")) * F.abs(left - right))
     top = p.groupBy("series").agg(F.max(F.struct("stat", (-F.col("t")).alias("b"))).alias("x"))
     return top.select("series", (-F.col("x.b")).cast("long").alias("b"), "x.stat")
 
@@ -32,10 +35,139 @@ def best_split(panel: DataFrame, min_size: int = 10, jump: int = 5) -> DataFrame
     p = _prefixes(panel).where((F.col("t") % jump == 0) & (F.col("t") >= min_size) & (F.col("_n") - F.col("t") >= min_size))
     rest = F.col("_all") - F.col("_s")
     gain = F.col("_s") * F.col("_s") / F.col("t") + rest * rest / (F.col("_n") - F.col("t")) - F.col("_all") * F.col("_all") / F.col("_n")
-    top = p.withColumn("gain", F.round(gain, 4)).groupBy("series").agg(F.max(F.struct("gain", (-F.col("t")).alias("b"))).alias("x"))
+    top = p.withColumn("gain", gain).groupBy("series").agg(F.max(F.struct("gain", (-F.col("t")).alias("b"))).alias("x"))
     return top.select("series", (-F.col("x.b")).cast("long").alias("b"), "x.gain")
 
 
+def edges_of(panel: DataFrame, columns: list[str]) -> DataFrame:
+    """(series, t, sums) for t from 0 to the series' length: the columns' sums over the rows before t."""
+    run = Window.partitionBy("series").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    before = panel.select("series", F.col("t").cast("long").alias("t"), F.array(*(F.coalesce(F.sum(c).over(run), F.lit(0.0)).cast("double") for c in columns)).alias("sums"))
+    whole = panel.groupBy("series").agg(F.count(F.lit(1)).alias("t"), F.array(*(F.sum(c).cast("double") for c in columns)).alias("sums"))
+    return before.union(whole)
+
+
+def split_gains(edges: DataFrame, segments: DataFrame, columns: list[str], margin: int = 0) -> DataFrame:
+    """(..., b, gain) of every split of segments (..., series, lo, hi, min_size, jump) on their jump grid: how much two constants beat one.
+
+    A segment meets the sums at its ends and at its candidates alone, by equality of series and row.
+    """
+    at = lambda name: edges.select("series", F.col("t").alias(name), F.col("sums").alias(f"_s_{name}"))
+    own = segments.join(at("lo"), ["series", "lo"]).join(at("hi"), ["series", "hi"])
+    least = F.greatest("min_size", F.lit(margin + 1))
+    first = F.col("lo") + (F.ceil(least / F.col("jump")) * F.col("jump")).cast("long")
+    own = own.withColumn("_last", F.col("hi") - least).where(first <= F.col("_last"))
+    own = own.withColumn("b", F.explode(F.sequence(first, F.col("_last"), F.col("jump").cast("long")))).join(at("b"), ["series", "b"])
+    part = lambda i: (F.col("_s_b")[i] - F.col("_s_lo")[i], F.col("_s_hi")[i] - F.col("_s_b")[i], F.col("_s_hi")[i] - F.col("_s_lo")[i])
+    nl, nr = F.col("b") - F.col("lo"), F.col("hi") - F.col("b")
+    gain = reduce(lambda x, y: x + y, (l * l / nl + r * r / nr - w * w / (nl + nr) for l, r, w in map(part, range(len(columns)))))
+    return own.withColumn("gain", gain).drop("_s_lo", "_s_hi", "_s_b", "_last")
+
+
+def _top(gains: DataFrame, *key: str) -> DataFrame:
+    return gains.groupBy(*key).agg(F.max(F.struct("gain", (-F.col("b")).alias("_b"))).alias("_top")).select(*key, (-F.col("_top._b")).alias("b"), "_top.gain")
+
+
+def best_split_rbf(panel: DataFrame, gamma: float = 1.0, min_size: int = 10, jump: int = 5) -> DataFrame:
+    """The split on the jump grid with the least Gaussian-kernel cost of both parts: (series, b, cost).
+
+    The cost of a part is its length less its kernel's sum over the length. Sums over all pairs before and after a row come
+    from the pairs of rows, each once, grouped by its later and by its earlier row; gamma d^2 is held within [0.01, 100].
+    Pairs are quadratic in a series' rows: use it on segments, not on long series.
+    """
+    v = panel.select("series", F.col("t").cast("long").alias("i"), F.col("value").alias("v"))
+    w = panel.select("series", F.col("t").cast("long").alias("j"), F.col("value").alias("w"))
+    k = F.exp(-F.least(F.lit(1e2), F.greatest(F.lit(1e-2), gamma * (F.col("v") - F.col("w")) * (F.col("v") - F.col("w")))))
+    pairs = v.join(w, "series").where("i < j").select("series", "i", "j", (2 * k).alias("k"))
+    both = pairs.select("series", F.explode(F.array(F.struct(F.col("j").alias("t"), F.col("k").alias("late"), F.lit(0.0).alias("early")), F.struct(F.col("i").alias("t"), F.lit(0.0).alias("late"), F.col("k").alias("early")))).alias("x"))
+    sums = both.groupBy("series", "x.t").agg((F.sum("x.late") + 1).alias("late"), (F.sum("x.early") + 1).alias("early"))
+    run, whole = Window.partitionBy("series").orderBy("t"), Window.partitionBy("series")
+    told = sums.withColumns({
+        "before": F.sum("late").over(run.rowsBetween(Window.unboundedPreceding, -1)),
+        "after": F.sum("early").over(run.rowsBetween(0, Window.unboundedFollowing)),
+        "n": F.count(F.lit(1)).over(whole),
+    })
+    told = told.where((F.col("t") % jump == 0) & (F.col("t") >= min_size) & (F.col("n") - F.col("t") >= min_size))
+    cost = F.col("n") - F.col("before") / F.col("t") - F.col("after") / (F.col("n") - F.col("t"))
+    top = told.withColumn("cost", cost).groupBy("series").agg(F.min(F.struct("cost", "t")).alias("x"))
+    return top.select("series", F.col("x.t").alias("b"), "x.cost")
+
+
+def binary_splits(panel: DataFrame, n_breaks: int | None = None, columns: list[str] | None = None, min_size: int = 10, jump: int = 5) -> DataFrame:
+    """Binary segmentation, a job a round: (series, b, round, gain); each round splits that segment of a series which gains most.
+
+    Without ``n_breaks`` a series has one break for each 50 rows, one at least. Only the halves of a round's split are searched anew.
+    """
+    columns = columns or ["value"]
+    edges = written(edges_of(panel, columns), "edges")
+    lengths = edges.groupBy("series").agg(F.max("t").alias("hi"))
+    most = n_breaks or max(1, (lengths.agg(F.max("hi")).first()[0] or 0) // 50)
+    want = lengths.select("series", (F.lit(n_breaks) if n_breaks else F.greatest(F.lit(1), F.floor(F.col("hi") / 50))).alias("want"))
+    knobs = [F.lit(min_size).alias("min_size"), F.lit(jump).alias("jump")]
+    fresh = lengths.select("series", F.lit(0).cast("long").alias("lo"), "hi", *knobs)
+    known, out = None, []
+    for k in range(1, most + 1):
+        best = _top(split_gains(edges, fresh, columns), "series", "lo", "hi")
+        known = written(best if known is None else known.union(best), "segments")
+        pick = known.groupBy("series").agg(F.max_by(F.struct("lo", "hi", "b", "gain"), F.struct("gain", (-F.col("lo")).alias("first"))).alias("x")).join(want, "series").where(F.col("want") >= k)
+        pick = written(pick.select("series", "x.lo", "x.hi", "x.b", "x.gain"), "round")
+        if pick.isEmpty():
+            break
+        out.append(pick.select("series", "b", F.lit(k).alias("round"), "gain"))
+        known = known.join(pick.select("series", "lo", "hi"), ["series", "lo", "hi"], "left_anti")
+        halves = F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("b").alias("z")), F.struct(F.col("b").alias("a"), F.col("hi").alias("z")))).alias("x")
+        fresh = pick.select("series", halves).select("series", F.col("x.a").alias("lo"), F.col("x.z").alias("hi"), *knobs)
+    return reduce(DataFrame.union, out) if out else panel.select("series", F.col("t").cast("long").alias("b"), F.lit(1).alias("round"), F.lit(0.0).alias("gain")).limit(0)
+
+
+def random_spans(panel: DataFrame, intervals: int = 200, seed: int = 42) -> DataFrame:
+    """(series, k, lo, hi): intervals whose ends an MD5 of series and number draws."""
+    n = panel.groupBy("series").agg(F.count(F.lit(1)).alias("n"))
+    each = n.select("series", "n", F.explode(F.sequence(F.lit(1), F.lit(intervals))).alias("k"))
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), "series", F.col("k").cast("string")))
+    end = lambda at: F.conv(F.substring(h, at, 13), 16, 10).cast("long") % (F.col("n") + 1)
+    return each.select("series", "k", F.least(end(1), end(14)).alias("lo"), F.greatest(end(1), end(14)).alias("hi"))
+
+
+def span_splits(panel: DataFrame, spans: DataFrame, min_size: int = 10) -> DataFrame:
+    """(series, lo, hi, b, stat): the best split of each interval by the scaled difference of its means."""
+    edges = edges_of(panel, ["value"])
+    own = spans.select("series", "lo", "hi", F.lit(min_size).alias("min_size"), F.lit(1).alias("jump")).distinct()
+    top = _top(split_gains(edges, own, ["value"]), "series", "lo", "hi")
+    return top.select("series", "lo", "hi", "b", F.sqrt(F.greatest(F.lit(0.0), F.col("gain"))).alias("stat"))
+
+
+def noise_limits(panel: DataFrame) -> DataFrame:
+    """(series, limit): the deviation of the differences, from their median absolute deviation, times sqrt(2 ln n)."""
+    w = Window.partitionBy("series").orderBy("t")
+    d = panel.select("series", (F.col("value") - F.lag("value").over(w)).alias("d"))
+    mid = d.groupBy("series").agg(F.percentile("d", 0.5).alias("mid"), F.count(F.lit(1)).alias("n"))
+    mad = d.join(mid, "series").groupBy("series").agg(F.percentile(F.abs(F.col("d") - F.col("mid")), 0.5).alias("mad"), F.max("n").alias("n"))
+    return mad.select("series", (1.4826 / math.sqrt(2) * F.col("mad") * F.sqrt(2 * F.log(F.greatest("n", F.lit(2))))).alias("limit"))
+
+
+def wild_splits(panel: DataFrame, intervals: int = 200, min_size: int = 10, seed: int = 42) -> DataFrame:
+    """Wild binary segmentation, a job a level: (series, b, level, stat).
+
+    The best split of every random interval is found once. A segment takes the best among the intervals within it and itself, if it passes the
+    noise limit, and opens both halves.
+    """
+    pool = written(span_splits(panel, random_spans(panel, intervals, seed), min_size), "pool")
+    limits = written(noise_limits(panel), "limits")
+    open_ = panel.groupBy("series").agg(F.count(F.lit(1)).alias("hi")).select("series", F.lit(0).cast("long").alias("lo"), "hi")
+    level, out = 1, []
+    while True:
+        inside = pool.select("series", "b", "stat", F.col("lo").alias("a"), F.col("hi").alias("z")).join(open_, "series").where("a >= lo and z <= hi").select("series", "lo", "hi", "b", "stat")
+        best = inside.unionByName(span_splits(panel, open_, min_size)).groupBy("series", "lo", "hi").agg(F.max(F.struct("stat", (-F.col("b")).alias("first"))).alias("x"))
+        best = best.join(limits, "series").where(F.col("x.stat") > F.col("limit"))
+        best = written(best.select("series", "lo", "hi", (-F.col("x.first")).alias("b"), "x.stat"), "level")
+        out.append(best.select("series", "b", F.lit(level).alias("level"), "stat"))
+        if best.isEmpty():
+            return reduce(DataFrame.union, out)
+        halves = F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("b").alias("z")), F.struct(F.col("b").alias("a"), F.col("hi").alias("z")))).alias("x")
+        open_, level = best.select("series", halves).select("series", F.col("x.a").alias("lo"), F.col("x.z").alias("hi")).where(F.col("hi") - F.col("lo") >= 2 * min_size), level + 1
+
+
 def window_gain(panel: DataFrame, width: int = 40) -> DataFrame:
     """Gain of a split at each row over half a window to either side: (series, t, gain)."""
     h = width // 2
@@ -70,18 +202,6 @@ def pelt(x: np.ndarray, penalty: float | None = None, min_size: int = 10) -> lis
     return sorted(out)
 
 
-def binary_segmentation(x: np.ndarray, n_breaks: int = 3, min_size: int = 10) -> list[int]:
-    cost, parts, out = _cost(x), [(0, len(x))], []
-    for _ in range(n_breaks):
-        found = [(cost(a, b) - cost(a, t) - cost(t, b), -t, a, b) for a, b in parts for t in range(a + min_size, b - min_size + 1)]
-        if not found:
-            break
-        _, t, a, b = max(found)
-        parts = [p for p in parts if p != (a, b)] + [(a, -t), (-t, b)]
-        out.append(-t)
-    return sorted(out)
-
-
 def bottom_up(x: np.ndarray, n_breaks: int = 3, step: int = 5) -> list[int]:
     cost, edges = _cost(x), [*range(0, len(x) - step + 1, step), len(x)]
     while len(edges) - 2 > n_breaks:
@@ -90,59 +210,40 @@ def bottom_up(x: np.ndarray, n_breaks: int = 3, step: int = 5) -> list[int]:
     return edges[1:-1]
 
 
-def _cusum(x: np.ndarray, a: int, b: int, min_size: int) -> tuple[int, float]:
-    n, t = b - a, np.arange(a + min_size, b - min_size + 1)
-    if not len(t):
-        return -1, 0.0
-    s = np.vstack([np.zeros(x.shape[1]), x[a:b].cumsum(axis=0)])
-    k = (t - a)[:, None]
-    stat = np.sqrt(k[:, 0] * (n - k[:, 0]) / n) * np.sqrt(((s[t - a] / k - (s[-1] - s[t - a]) / (n - k)) ** 2).sum(axis=1))
-    return int(t[stat.argmax()]), float(stat.max())
-
+def online_bayes(x: np.ndarray, hazard: float = 0.01, threshold: float = 0.4, min_size: int = 10, drop: float = 1e-12) -> list[int]:
+    """Run lengths under Gaussian margins with normal-inverse-gamma priors; a break where the run length 0 has ``threshold`` of the mass.
 
-def wild_binary_segmentation(x: np.ndarray, intervals: int = 200, min_size: int = 10, seed: int = 42) -> list[int]:
-    rng = np.random.default_rng(seed)
-    n = len(x)
-    d = np.diff(x, axis=0)
-    scale = 1.4826 * float(np.median(np.abs(d - np.median(d, axis=0)))) / math.sqrt(2) if n > 1 else 0.0
-    limit = scale * math.sqrt(2 * math.log(max(n, 2)) * x.shape[1])
-    spans = np.sort(rng.integers(0, n + 1, (intervals, 2)), axis=1) if n else np.zeros((0, 2), int)
-    out, parts = [], [(0, n)]
-    while parts:
-        a, b = parts.pop()
-        own = [(a, b), *((int(s), int(e)) for s, e in spans if s >= a and e <= b and e - s >= 2 * min_size)]
-        t, stat = max((_cusum(x, *s, min_size) for s in own), key=lambda y: y[1])
-        if t > 0 and stat > limit:
-            out.append(t)
-            parts += [(a, t), (t, b)]
-    return sorted(out)
-
-
-def online_bayes(x: np.ndarray, hazard: float = 0.01, threshold: float = 0.4, max_run: int = 250, min_size: int = 10) -> list[int]:
-    """Run-length posterior under Gaussian margins with normal-inverse-gamma priors; a break where short runs take over."""
-    x = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-12)
-    p = x.shape[1]
+    A change is weighed by the prior's own prediction of the row, so only rows that fit no running segment raise it. Each row is scaled by the rows
+    before it alone. Run lengths with less than ``drop`` of the mass are forgotten.
+    """
+    p, out, last = x.shape[1], [], 0
+    centre, scale = x[0].astype(float), np.ones(p)
     post = np.ones(1)
     mu, kappa, alpha, beta = np.zeros((1, p)), np.ones((1, 1)), np.ones((1, 1)), np.ones((1, p))
-    out, last = [], 0
-    for t, row in enumerate(x):
+    for t, raw in enumerate(x):
+        if t == min_size:  # the first rows give the unit
+            centre, scale = x[:t].mean(axis=0), x[:t].std(axis=0) + 1e-12
+        row = (raw - centre) / scale
+        if t < min_size:
+            continue
         var = beta * (kappa + 1) / (alpha * kappa)
-        logs = (-0.5 * np.log(2 * np.pi * var) - (row - mu) ** 2 / (2 * var)).sum(axis=1)
-        like = post * np.exp(logs - logs.max())
-        grow, change = like * (1 - hazard), like.sum() * hazard
-        post = np.concatenate([[change], grow])[: max_run + 1]
-        post /= post.sum()
+        like = np.exp((-0.5 * np.log(2 * np.pi * var) - (row - mu) ** 2 / (2 * var)).sum(axis=1))
+        prior = float(np.exp((-0.5 * np.log(4 * np.pi) - row**2 / 4).sum()))
+        grow, change = post * like * (1 - hazard), prior * hazard
+        post = np.concatenate([[change], grow])
+        post /= post.sum() + 1e-300
         new = beta + kappa * (row - mu) ** 2 / (2 * (kappa + 1))
-        mu, beta = np.vstack([np.zeros((1, p)), (kappa * mu + row) / (kappa + 1)])[: max_run + 1], np.vstack([np.ones((1, p)), new])[: max_run + 1]
-        kappa, alpha = np.vstack([[[1.0]], kappa + 1])[: max_run + 1], np.vstack([[[1.0]], alpha + 0.5])[: max_run + 1]
-        short = post[: min_size + 1].sum()
-        if t - last >= min_size and t > min_size and short >= threshold:
-            out.append(t - int(post[: min_size + 1].argmax()))
+        mu, beta = np.vstack([np.zeros((1, p)), (kappa * mu + row) / (kappa + 1)]), np.vstack([np.ones((1, p)), new])
+        kappa, alpha = np.vstack([[[1.0]], kappa + 1]), np.vstack([[[1.0]], alpha + 0.5])
+        if post[0] >= threshold and t - last >= min_size:
+            out.append(t)
             last = t
-    return [b for b in dict.fromkeys(out) if 0 < b < len(x)]
+        keep = post >= drop
+        post, mu, beta, kappa, alpha = post[keep], mu[keep], beta[keep], kappa[keep], alpha[keep]
+    return [b for b in out if 0 < b < len(x)]
 
 
-KERNELS = {"pelt": pelt, "binseg": binary_segmentation, "bottomup": bottom_up, "wbs": wild_binary_segmentation, "bocpd": online_bayes}
+KERNELS = {"pelt": pelt, "bottomup": bottom_up, "bocpd": online_bayes}
 
 
 def breaks(panel: DataFrame, method: str, columns: list[str] | None = None, **knobs) -> DataFrame:
@@ -155,3 +256,28 @@ def breaks(panel: DataFrame, method: str, columns: list[str] | None = None, **kn
         return pd.DataFrame({"series": pdf["series"].iat[0], "b": np.array(found, "int64")})
 
     return panel.select("series", "t", *columns).groupBy("series").applyInPandas(run, "series string, b long")
+
+
+def candidates(panel: DataFrame, method: str = "dynp", kernel: str = "l2", n_breaks: int | None = None, gamma: float = 1.0, min_size: int = 10, width: int = 40, **knobs) -> DataFrame:
+    """Candidate breaks (series, b) of a named search, those at the very ends left out.
+
+    ``dynp`` with one break, by the ``l2`` or ``rbf`` cost; ``binseg``, ``wbs``, ``cusum`` and ``window`` (rows whose gain is
+    the largest within half a width); ``pelt``, ``bottomup`` and ``bocpd`` in numpy, a series a group.
+    """
+    if method == "dynp":
+        found = best_split_rbf(panel, gamma, min_size) if kernel == "rbf" else best_split(panel, min_size)
+    elif method == "binseg":
+        found = binary_splits(panel, n_breaks, min_size=min_size)
+    elif method == "wbs":
+        found = wild_splits(panel, min_size=min_size, **knobs)
+    elif method == "cusum":
+        found = cusum_split(panel, min_size)
+    elif method == "window":
+        near = Window.partitionBy("series").orderBy("t").rowsBetween(-(width // 2), width // 2)
+        found = window_gain(panel, width).withColumn("top", F.max("gain").over(near)).where("gain = top").select("series", F.col("t").alias("b"))
+    elif method in KERNELS:
+        found = breaks(panel, method, **knobs)
+    else:
+        raise ValueError(f"unknown search {method!r}")
+    n = panel.groupBy("series").agg(F.count(F.lit(1)).alias("n"))
+    return found.join(n, "series").where((F.col("b") > 0) & (F.col("b") < F.col("n") - 1)).select("series", F.col("b").cast("long").alias("b")).distinct()

@@ -15,11 +15,14 @@ from pyspark.sql.window import Window
 
 
 def windows(panel: DataFrame, breaks: DataFrame, width: int = 40, lag: int = 5) -> DataFrame:
-    """(series, label, t, side, value) of the rows [b-lag-w, b-lag) and [b+lag, b+lag+w); label is the break."""
-    b = breaks.select("series", F.col("b").alias("label"))
-    rows = panel.join(b, "series").withColumn("_d", F.col("t") - F.col("label"))
-    rows = rows.withColumn("side", F.when((F.col("_d") >= -lag - width) & (F.col("_d") < -lag), 0).when((F.col("_d") >= lag) & (F.col("_d") < lag + width), 1))
-    return rows.where("side is not null").select("series", "label", "t", "side", "value")
+    """(series, label, t, side, value) of the rows [b-lag-w, b-lag) and [b+lag, b+lag+w); label is the break.
+
+    Each break names the rows that it needs, and these meet the panel by series and row.
+    """
+    offsets = [*range(-lag - width, -lag), *range(lag, lag + width)]
+    want = breaks.select("series", F.col("b").alias("label"), F.explode(F.array(*map(F.lit, offsets))).alias("_d")).withColumn("t", (F.col("label") + F.col("_d")).cast(panel.schema["t"].dataType))
+    rows = want.join(panel.select("series", "t", "value"), ["series", "t"])
+    return rows.select("series", "label", "t", (F.col("_d") >= 0).cast("int").alias("side"), "value")
 
 
 def rolling_windows(panel: DataFrame, width: int = 40, lag: int = 5) -> DataFrame:
@@ -74,6 +77,15 @@ def hotelling(samples: DataFrame) -> DataFrame:
     return g.select("series", "label", (F.col("n0") * F.col("n1") / (F.col("n0") + F.col("n1")) * gap * gap / pooled).alias("stat"))
 
 
+def median_gammas(rows: DataFrame, key: list[str], columns: list[str], order: str = "t") -> DataFrame:
+    """(key, gamma): 1 / (2 m^2), m the median distance of all pairs of a key's rows, those of a row with itself too; for samples, as pairs are quadratic."""
+    x = F.array(*(F.col(c).cast("double") for c in columns))
+    a, b = rows.select(*key, x.alias("_x")), rows.select(*key, x.alias("_y"))
+    d = F.sqrt(F.aggregate(F.zip_with("_x", "_y", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v))
+    mid = F.greatest(F.percentile(d, 0.5), F.lit(1e-8))
+    return a.join(b, key).groupBy(*key).agg((1 / (2 * mid * mid)).alias("gamma"))
+
+
 def median_gamma(x: np.ndarray) -> float:
     """1 / (2 median^2) over all pairwise distances, the zeros of the diagonal among them."""
     d = np.sqrt(np.maximum(0, ((x[:, None] - x[None]) ** 2).sum(axis=2)))
@@ -88,15 +100,37 @@ def _distance(x: np.ndarray) -> np.ndarray:
     return -np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
 
 
-def permutation_test(left: np.ndarray, right: np.ndarray, kind: str = "mmd", rounds: int = 50, seed: int = 0) -> tuple[float, float]:
-    """Statistic and p value; both statistics are a kernel's within-means less twice its cross-mean."""
-    x, n = np.vstack([left, right]), len(left)
-    k = _gram(x) if kind == "mmd" else _distance(x)
+def _within(k: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
+    return float(k[np.ix_(a, a)].mean() + k[np.ix_(b, b)].mean() - 2 * k[np.ix_(a, b)].mean())
+
+
+def _unbiased(k: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
+    mean = lambda i: (k[np.ix_(i, i)].sum() - k[i, i].sum()) / max(1, len(i) * (len(i) - 1))
+    return float(mean(a) + mean(b) - 2 * k[np.ix_(a, b)].mean())
+
+
+def _linear(k: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
+    n = min(len(a), len(b)) // 2 * 2
+    a1, a2, b1, b2 = a[:n:2], a[1:n:2], b[:n:2], b[1:n:2]
+    return float((k[a1, a2] + k[b1, b2] - k[a1, b2] - k[a2, b1]).mean()) if n else 0.0
 
-    def stat(order: np.ndarray) -> float:
-        a, b = order[:n], order[n:]
-        return float(k[np.ix_(a, a)].mean() + k[np.ix_(b, b)].mean() - 2 * k[np.ix_(a, b)].mean())
 
+#: Statistics that a permutation test judges: the kernel of the pooled rows, and the statistic of two index lists.
+PERMUTED = {"mmd": (_gram, _within), "mmd_unbiased": (_gram, _unbiased), "mmd_linear": (_gram, _linear), "energy": (_distance, _within)}
+#: Other names: (kind, rounds or None for those given).
+ALIASES = {"mmd_no_ts": ("mmd", None), "mmd_ts": ("mmd", None), "mmd_perm": ("mmd", 100), "mmd_biased": ("mmd", None)}
+KINDS = (*PERMUTED, "mcusum", "hotelling", "ks", *ALIASES)
+
+
+def permutation_test(left: np.ndarray, right: np.ndarray, kind: str = "mmd", rounds: int = 50, seed: int = 0) -> tuple[float, float]:
+    """Statistic and p value, the share of shuffles that reach it, the given order counted as one."""
+    x, n = np.vstack([left, right]), len(left)
+    if kind == "mcusum":
+        stat = lambda order: crosier(x[order[:n]], x[order[n:]])
+    else:
+        kernel, of = PERMUTED[kind]
+        k = kernel(x)
+        stat = lambda order: of(k, order[:n], order[n:])
     rng = np.random.default_rng(seed)
     own = stat(np.arange(len(x)))
     above = sum(stat(rng.permutation(len(x))) >= own - 1e-12 for _ in range(rounds))
@@ -104,10 +138,10 @@ def permutation_test(left: np.ndarray, right: np.ndarray, kind: str = "mmd", rou
 
 
 def crosier(left: np.ndarray, right: np.ndarray, slack: float = 0.5) -> float:
-    """Largest norm of the multivariate CUSUM of the right rows, whitened by the left ones."""
+    """Largest norm of the multivariate CUSUM of all rows, whitened by the left ones."""
     centre = left.mean(axis=0)
-    cov = np.atleast_2d(np.cov(left.T)) + 1e-6 * np.eye(left.shape[1])
-    z = (right - centre) @ np.linalg.inv(np.linalg.cholesky(cov)).T
+    values, vectors = np.linalg.eigh(np.atleast_2d(np.cov(left.T)) + 1e-6 * np.eye(left.shape[1]))
+    z = (np.vstack([left, right]) - centre) @ (vectors / np.sqrt(np.maximum(values, 1e-8)) @ vectors.T)
     c, most = np.zeros(left.shape[1]), 0.0
     for row in z:
         s = c + row
@@ -117,16 +151,88 @@ def crosier(left: np.ndarray, right: np.ndarray, slack: float = 0.5) -> float:
     return most
 
 
-def test_breaks(panel: DataFrame, breaks: DataFrame, kind: str = "mmd", width: int = 40, lag: int = 5, rounds: int = 50, alpha: float = 0.05) -> DataFrame:
-    """(series, b, stat, p, accepted): each break is a task of its own; fewer than five rows to a side reject."""
+def _leading(x: np.ndarray, most: int) -> np.ndarray:
+    """Scores of at most ``most`` principal components."""
+    c = x - x.mean(axis=0)
+    u, s, _ = np.linalg.svd(c, full_matrices=False)
+    return (u * s)[:, :most]
+
+
+def hotelling_test(left: np.ndarray, right: np.ndarray, most: int = 5) -> tuple[float, float]:
+    """T squared with the pooled covariance and its tail by the F law; more columns than ``most`` are reduced to as many components."""
+    n, m = len(left), len(right)
+    x = np.vstack([left, right])
+    target = max(1, min(most, x.shape[1], n - 1, m - 1))
+    if x.shape[1] > target:
+        x = _leading(x, target)
+    a, b, p = x[:n], x[n:], x.shape[1]
+    cov = ((n - 1) * np.atleast_2d(np.cov(a.T)) + (m - 1) * np.atleast_2d(np.cov(b.T))) / (n + m - 2) + 1e-6 * np.eye(p)
+    gap = a.mean(axis=0) - b.mean(axis=0)
+    t2 = max(0.0, float(n * m / (n + m) * gap @ np.linalg.pinv(cov) @ gap))
+    rest = n + m - p - 1
+    return t2, f_tail(rest / (p * (n + m - 2)) * t2, p, rest) if rest > 0 and t2 > 0 else 1.0
+
+
+def ks_tail(gap: float, n: int, m: int) -> float:
+    """Exact chance of a gap of two empirical distributions at least this large, by the lattice paths that stay within it."""
+    at, most = np.arange(m + 1), gap - 1e-9
+    ways = (at / m < most).cumprod().astype(float)
+    for i in range(1, n + 1):
+        # each step keeps the share of paths: i of the next i + j steps came from the left sample
+        inside, row = np.abs(i / n - at / m) < most, np.zeros(m + 1)
+        for j in range(m + 1):
+            if inside[j]:
+                row[j] = ways[j] * i / (i + j) + (row[j - 1] * j / (i + j) if j else 0.0)
+        ways = row
+    return float(min(1.0, max(0.0, 1 - ways[m])))
+
+
+def ks_test(left: np.ndarray, right: np.ndarray, most: int = 3) -> tuple[float, float]:
+    """Largest gap and smallest p value over at most three components of the pooled rows, without correction."""
+    n, m = len(left), len(right)
+    x = _leading(np.vstack([left, right]), most)
+    gaps = []
+    for col in x.T:
+        grid = np.sort(col)
+        gaps.append(float(np.abs(np.searchsorted(np.sort(col[:n]), grid, "right") / n - np.searchsorted(np.sort(col[n:]), grid, "right") / m).max()))
+    return max(gaps), min(ks_tail(g, n, m) for g in gaps)
+
+
+def two_sample(left: np.ndarray, right: np.ndarray, kind: str = "mmd", rounds: int = 50) -> tuple[float, float]:
+    """Statistic and p value of a named test; fewer than five rows to a side give (0, 1)."""
+    if kind not in KINDS:
+        raise ValueError(f"unknown test {kind!r}")
+    if min(len(left), len(right)) < 5:
+        return 0.0, 1.0
+    kind, fixed = ALIASES.get(kind, (kind, None))
+    if kind == "hotelling":
+        return hotelling_test(left, right)
+    return ks_test(left, right) if kind == "ks" else permutation_test(left, right, kind, fixed or rounds)
+
+
+def test_samples(samples: DataFrame) -> DataFrame:
+    """(series, run, label, stat, p) of samples (series, run, label, t, side, x, kind, rounds); each break is a task of its own."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
-        a, b = (pdf.loc[pdf["side"] == s, ["value"]].to_numpy(float) for s in (0, 1))
-        stat, p = permutation_test(a, b, kind, rounds) if min(len(a), len(b)) >= 5 else (0.0, 1.0)
-        return pd.DataFrame({"series": pdf["series"].iat[0], "b": [pdf["label"].iat[0]], "stat": [stat], "p": [p], "accepted": [p < alpha]})
+        a, b = (np.array(pdf.loc[pdf["side"] == s, "x"].tolist(), float) for s in (0, 1))
+        stat, p = two_sample(a, b, pdf["kind"].iat[0], int(pdf["rounds"].iat[0]))
+        return pd.DataFrame({"series": pdf["series"].iat[0], "run": pdf["run"].iat[0], "label": [pdf["label"].iat[0]], "stat": [stat], "p": [p]})
 
-    return windows(panel, breaks, width, lag).groupBy("series", "label").applyInPandas(run, "series string, b long, stat double, p double, accepted boolean")
+    return samples.groupBy("series", "run", "label").applyInPandas(run, "series string, run string, label long, stat double, p double")
+
+
+def differences(panel: DataFrame, columns: tuple[str, ...] = ("value",)) -> DataFrame:
+    """First differences of each series, its first row left out."""
+    w = Window.partitionBy("series").orderBy("t")
+    return panel.withColumns({c: F.col(c) - F.lag(c).over(w) for c in columns}).where(F.col(columns[0]).isNotNull())
+
+
+def test_breaks(panel: DataFrame, breaks: DataFrame, kind: str = "mmd", width: int = 40, lag: int = 5, rounds: int = 50, alpha: float = 0.05) -> DataFrame:
+    """(series, b, stat, p, accepted) of each break by a named test; ``mmd_ts`` and ``mmd_perm`` look at differences. A break without rows to both sides gives no row."""
+    rows = differences(panel) if kind in ("mmd_ts", "mmd_perm") else panel
+    near = windows(rows, breaks, width, lag).select("series", F.lit("").alias("run"), "label", "t", "side", F.array("value").alias("x"), F.lit(kind).alias("kind"), F.lit(rounds).alias("rounds"))
+    return test_samples(near).select("series", F.col("label").alias("b"), "stat", "p", (F.col("p") < alpha).alias("accepted"))
 
 
 def f_tail(x: float, d1: int, d2: int) -> float:

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +47,14 @@ def without_groups(panel: DataFrame, columns: list[str], tolerance: int = 5, **k
     runs = reduce(DataFrame.union, (found(cols).select(key(F.lit(name)).alias("series"), "b") for name, cols in left.items()))
     every = panel.select("series").distinct().withColumn("run", F.explode(F.array(*map(F.lit, left)))).select(key(F.col("run")).alias("series"))
     return every.join(detection(base, runs, tolerance), "series", "left").na.fill(1.0).withColumnRenamed("series", "run")
+
+
+def leaf_masses(model: DecisionTreeClassificationModel, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(leaf, label, mass): the rows of each regime that end in each leaf, a leaf being told by its distribution."""
+    v = VectorAssembler(inputCols=columns, outputCol="_v").transform(rows)
+    return model.transform(v).groupBy(vector_to_array("rawPrediction").alias("leaf"), "label").agg(F.count(F.lit(1)).alias("mass"))
+
+
+def in_basis_points(rows: DataFrame, columns: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rates in percent as basis points, a hundred times; columns in ``keep`` stay."""
+    return rows.withColumns({c: F.col(c) * 100 for c in columns if c not in keep})

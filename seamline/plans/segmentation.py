@@ -1,58 +1,69 @@
-"""Recursive segmentation of many series, level by level, and what is built on it."""
+"""Recursive segmentation of many series, one Spark job a level, and what is built on it.
+
+Prefix sums of every series are made once. Each level finds the best split of all open segments of all series
+and configurations, tests it on the windows beside it, and opens both halves of the accepted ones. A prefix of a
+series, a trailing window or a regime is a segment to start from, so replays and refinements share the sums.
+"""
 
 from __future__ import annotations
 
-import numpy as np
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators.search import _cost
-from ..operators.twosample import permutation_test
-
-
-def split_and_test(x: np.ndarray, depth: int = 2, width: int = 40, lag: int = 5, alpha: float = 0.05, rounds: int = 50, min_size: int = 10, jump: int = 5, kind: str = "mmd") -> list[tuple]:
-    """Best split of a segment, accepted by a permutation test on the windows beside it, then of both halves: (b, level, stat, p, status)."""
-    out: list[tuple] = []
+from ..operators.search import edges_of, split_gains
+from ..operators.twosample import test_samples
+from ..sources.scratch import written
 
-    def go(a: int, b: int, level: int) -> None:
-        if level > depth or b - a < 30:
-            return
-        cost = _cost(x[a:b])
-        grid = [t for t in range(jump, b - a, jump) if min(t, b - a - t) >= min_size]
-        if not grid:
-            return
-        t = a + min(grid, key=lambda k: cost(0, k) + cost(k, b - a))
-        left, right = x[max(a, t - lag - width) : max(a, t - lag)], x[min(b, t + lag) : min(b, t + lag + width)]
-        stat, p = permutation_test(left, right, kind, rounds) if min(len(left), len(right)) >= 5 else (0.0, 1.0)
-        ok = p < alpha
-        out.append((t, level, stat, p, "valid" if ok else "invalid"))
-        if ok:
-            go(a, t, level + 1)
-            go(t, b, level + 1)
+#: Knobs of a segmentation. ``depth`` levels, the first is 1; windows of ``width`` rows from ``lag`` rows off the break,
+#: of which at most ``samples`` (both sides together, the nearest) are compared.
+BASE = {"depth": 2, "width": 40, "lag": 5, "samples": 80, "alpha": 0.05, "rounds": 50, "min_size": 10, "jump": 5, "kind": "mmd"}
+LEAST, MARGIN = 30, 5
 
-    go(0, len(x), 0)
-    return sorted(out)
 
+def _knobs(configs: dict[str, dict]) -> F.col:
+    unknown = {k for c in configs.values() for k in c} - set(BASE)
+    if unknown:
+        raise KeyError(f"unknown knobs {sorted(unknown)}")
+    each = [F.struct(F.lit(name).alias("run"), *(F.lit((BASE | c)[k]).cast({int: "int", float: "double", str: "string"}[type(BASE[k])]).alias(k) for k in BASE)) for name, c in configs.items()]
+    return F.explode(F.array(*each)).alias("k")
 
-SCHEMA = "series string, run string, b long, level int, stat double, p double, status string"
 
+def segment(panel: DataFrame, columns: list[str] | None = None, configs: dict[str, dict] | None = None, spans: DataFrame | None = None) -> DataFrame:
+    """Breaks of every series under every configuration: (series, run, b, level, stat, p, status).
 
-def segment(panel: DataFrame, columns: list[str] | None = None, configs: dict[str, dict] | None = None) -> DataFrame:
-    """Breaks of every series under every configuration, each pair of them a task: (series, run, b, level, stat, p, status)."""
+    Segments shorter than 30 rows, and splits within 5 rows of an end, are passed over; a test with fewer than five rows to a side
+    rejects. ``spans`` (series, span, lo, hi) are segments to start from instead of the whole series; ``run`` is
+    then the span's name, and with several configurations both names.
+    """
     columns, configs = columns or ["value"], configs or {"base": {}}
-    runs = F.explode(F.lit(list(configs))).alias("run")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        found = split_and_test(pdf[columns].to_numpy(float), **configs[pdf["run"].iat[0]])
-        out = pd.DataFrame(found, columns=["b", "level", "stat", "p", "status"])
-        out.insert(0, "run", pdf["run"].iat[0])
-        out.insert(0, "series", pdf["series"].iat[0])
-        return out
-
-    return panel.select("series", "t", *columns, runs).groupBy("series", "run").applyInPandas(one, SCHEMA)
+    edges = written(edges_of(panel, columns), "edges")
+    if spans is None:
+        spans = edges.groupBy("series").agg(F.max("t").cast("long").alias("hi")).select("series", F.lit("").alias("span"), F.lit(0).cast("long").alias("lo"), "hi")
+    name = F.concat_ws(" ", F.when(F.col("span") != "", F.col("span")), F.when((F.col("span") == "") | F.lit(len(configs) > 1), F.col("k.run")))
+    open_ = spans.select("series", "span", F.col("lo").cast("long"), F.col("hi").cast("long"), _knobs(configs)).select("series", name.alias("run"), "lo", "hi", *(f"k.{k}" for k in BASE))
+    rows = panel.select("series", F.col("t").cast("long").alias("t"), F.array(*(F.col(c).cast("double") for c in columns)).alias("x"))
+    key, levels = ["series", "run"], []
+    for level in range(1, max(BASE["depth"], *(c.get("depth", 0) for c in configs.values())) + 1):
+        open_ = open_.where((F.col("hi") - F.col("lo") >= LEAST) & (F.col("depth") >= level))
+        best = split_gains(edges, open_, columns, MARGIN).groupBy(*key, "lo", "hi").agg(F.max_by("b", F.struct("gain", (-F.col("b")).alias("first"))).alias("b"))
+        best = written(open_.join(best, [*key, "lo", "hi"]), "best")
+        reach = F.least("width", F.floor(F.col("samples") / 2).cast("int"))
+        near = best.select(*key, "lo", "hi", "b", "kind", "rounds", "lag", reach.alias("reach")).withColumn("d", F.explode(F.flatten(F.array(F.sequence(-F.col("lag") - F.col("reach"), -F.col("lag") - 1), F.sequence(F.col("lag"), F.col("lag") + F.col("reach") - 1)))))
+        near = near.withColumn("t", F.col("b") + F.col("d")).where((F.col("t") >= F.col("lo")) & (F.col("t") < F.col("hi")))
+        near = near.join(rows, ["series", "t"]).select(*key, F.col("b").alias("label"), "t", (F.col("d") >= 0).cast("int").alias("side"), "x", "kind", "rounds")
+        told = test_samples(near).withColumnRenamed("label", "b")
+        found = best.join(told, [*key, "b"], "left").withColumns({"stat": F.coalesce("stat", F.lit(0.0)), "p": F.coalesce("p", F.lit(1.0))})
+        found = written(found.withColumns({"level": F.lit(level), "status": F.when(F.col("p") < F.col("alpha"), "valid").otherwise("invalid")}), "level")
+        levels.append(found.select(*key, "b", "level", "stat", "p", "status"))
+        if found.where("status = 'valid'").isEmpty():
+            break
+        halves = F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("b").alias("z")), F.struct(F.col("b").alias("a"), F.col("hi").alias("z")))).alias("half")
+        open_ = found.where("status = 'valid'").select(*key, halves, *BASE).select(*key, F.col("half.a").alias("lo"), F.col("half.z").alias("hi"), *BASE)
+    return reduce(DataFrame.union, levels)
 
 
 def perturbed(base: dict, **ranges: list) -> dict[str, dict]:
@@ -60,44 +71,77 @@ def perturbed(base: dict, **ranges: list) -> dict[str, dict]:
     return {"base": base} | {f"{k}={v}": base | {k: v} for k, values in ranges.items() for v in values}
 
 
+def grid(**ranges: list) -> dict[str, dict]:
+    """Every combination of the knobs' values, a configuration each."""
+    out: dict[str, dict] = {"": {}}
+    for k, values in ranges.items():
+        out = {f"{name} {k}={v}".strip(): c | {k: v} for name, c in out.items() for v in values}
+    return out
+
+
 def block_bootstrap(panel: DataFrame, block: int, samples: int, seed: int = 0) -> DataFrame:
-    """Circular block resamples of each series: (series, sample, t, value), each block's start drawn by a hash."""
+    """Circular block resamples of each series: (series, sample, t, value), each block's start drawn by a hash (MD5)."""
     n = panel.groupBy("series").agg(F.count(F.lit(1)).alias("n"))
     slots = n.select("series", "n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample")).select("*", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("t"))
-    start = F.pmod(F.xxhash64(F.lit(seed), "series", "sample", F.floor(F.col("t") / block)), F.col("n"))
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), "series", F.col("sample").cast("string"), F.floor(F.col("t") / block).cast("string")))
+    start = F.conv(F.substring(drawn, 1, 13), 16, 10).cast("long") % F.col("n")
     slots = slots.withColumn("src", ((start + F.col("t") % block) % F.col("n")).cast("int"))
     source = panel.select("series", F.col("t").alias("src"), "value")
     return slots.join(source, ["series", "src"]).select("series", "sample", "t", "value")
 
 
-def consensus(runs: DataFrame, tolerance: int, share: float = 0.5) -> DataFrame:
-    """Breaks (series, run, b) grouped greedily around their running median, kept with enough of the runs: (series, b, support)."""
+def consensus(runs: DataFrame, tolerance: int, share: float = 0.5, how: str = "majority", total: int | None = None) -> DataFrame:
+    """Distinct breaks of runs (series, run, b) grouped greedily around their running median: (series, b, support).
+
+    ``how`` keeps those with ``share`` of the runs (majority), all of them (intersection) or any (union). ``total`` counts the runs,
+    those without a break too. The breaks of one series are few; its median is rounded half to even.
+    """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        total, groups = pdf["run"].nunique(), []
-        for b in sorted(pdf["b"]):
-            if groups and abs(b - np.median(groups[-1])) <= tolerance:
+        n, groups = total or pdf["run"].nunique(), []
+        for b in sorted(set(pdf["b"])):
+            if groups and b - pd.Series(groups[-1]).median() <= tolerance:
                 groups[-1].append(b)
             else:
                 groups.append([b])
         rows = []
         for g in groups:
-            mid = int(np.median(g))
-            support = pdf.loc[(pdf["b"] - mid).abs() <= tolerance, "run"].nunique() / total
-            if support >= share:
-                rows.append((pdf["series"].iat[0], mid, support))
+            mid = round(float(pd.Series(g).median()))
+            hits = pdf.loc[(pdf["b"] - mid).abs() <= tolerance, "run"].nunique()
+            if {"union": hits >= 1, "intersection": hits == n}.get(how, hits / n >= share):
+                rows.append((pdf["series"].iat[0], mid, hits / n))
         return pd.DataFrame(rows, columns=["series", "b", "support"])
 
     return runs.groupBy("series").applyInPandas(one, "series string, b long, support double")
 
 
+def panel_breaks(panel: DataFrame, groups: dict[str, list[str]], tolerance: int = 5, share: float = 0.5, how: str = "majority", **knobs) -> tuple[DataFrame, DataFrame]:
+    """Segment a wide panel by each group of columns: (series, run, b) of all groups, and their consensus.
+
+    A group without columns, or with columns that the panel lacks, is passed over.
+    """
+    groups = {g: c for g, c in groups.items() if c and not set(c) - set(panel.columns)}
+    if not groups:
+        raise ValueError("no group of columns can be segmented")
+    runs = [segment(panel, cols, {"base": knobs}).where("status = 'valid'").select("series", F.lit(g).alias("run"), "b") for g, cols in groups.items()]
+    every = written(reduce(DataFrame.union, runs), "panel")
+    return every, consensus(every, tolerance, share, how, len(groups))
+
+
+def prefix_runs(panel: DataFrame, shares: tuple[float, ...] = (0.6, 0.8), columns: list[str] | None = None, **knobs) -> DataFrame:
+    """Valid breaks of the first part of each series: (series, run, b), a run a share."""
+    n = panel.groupBy("series").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.explode(F.array(*(F.struct(F.lit(f"first {s:g}").alias("span"), F.floor(F.col("n") * s).alias("hi")) for s in shares))).alias("part")
+    spans = n.select("series", parts).select("series", "part.span", F.lit(0).alias("lo"), "part.hi")
+    return segment(panel, columns, {"base": knobs}, spans).where("status = 'valid'").select("series", "run", "b")
+
+
 def refine(panel: DataFrame, labels: DataFrame, worst: int = 1, **knobs) -> DataFrame:
-    """Segment anew the ``worst`` regimes of each series by within-regime variance; breaks are rows of the whole series."""
+    """Segment anew the ``worst`` regimes of each series by within-regime variance; a regime is a run of one label, breaks are rows of the whole series."""
+    w = Window.partitionBy("series").orderBy("t")
     rows = panel.join(labels.select("series", "t", "label"), ["series", "t"])
-    loss = rows.groupBy("series", "label").agg(F.var_pop("value").alias("loss"), F.min("t").alias("first"))
-    bad = loss.withColumn("k", F.row_number().over(Window.partitionBy("series").orderBy(F.desc("loss"), "label"))).where(F.col("k") <= worst)
-    part = rows.join(bad.select("series", "label", "first"), ["series", "label"])
-    own = part.select(F.concat_ws("|", "series", F.col("label").cast("string")).alias("series"), (F.col("t") - F.col("first")).alias("t"), "value")
-    found = segment(own, configs={"refine": knobs})
-    key = bad.select(F.concat_ws("|", "series", F.col("label").cast("string")).alias("key"), F.col("series").alias("own"), "first")
-    return found.join(key, found["series"] == key["key"]).select(F.col("own").alias("series"), (F.col("b") + F.col("first")).alias("b"), "level", "stat", "p", "status")
+    rows = rows.withColumn("_new", F.when(F.lag("label").over(w).eqNullSafe(F.col("label")), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
+    loss = rows.groupBy("series", "_run").agg(F.var_pop("value").alias("loss"), F.min("t").alias("lo"), (F.max("t") + 1).alias("hi"))
+    bad = loss.withColumn("k", F.row_number().over(Window.partitionBy("series").orderBy(F.desc("loss"), "lo"))).where(F.col("k") <= worst)
+    found = segment(panel, configs={"base": knobs}, spans=bad.select("series", F.concat(F.lit("regime "), F.col("lo").cast("string")).alias("span"), "lo", "hi"))
+    return found.select("series", "b", "level", "stat", "p", "status")

@@ -6,6 +6,7 @@ price by region and month, a column a line number as tenor) and ``hourly`` (mean
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,16 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .functions import evaluation, features, labels, scores
+from .functions import evaluation, features, hyper, insights, labels, scores
 from .operators import detectors, factors, frames, search, twosample
 from .operators import reduce as reductions
 from .plans import explain, segmentation
 from .sources import panels, sinks
+from .sources.scratch import written
 from .streaming import incremental
 
 SOURCES = {"AFRICA": "AFR", "AMERICA": "AME", "ASIA": "ASI", "EUROPE": "EUR", "MIDDLE EAST": "MID"}
 TENORS = [f"Y00{k}p0" for k in range(1, 6)]
-RATES = [f"{s}_{t}" for s in ("EUR", "AME") for t in TENORS]
+RATES = [f"{s}_{t}" for s in SOURCES.values() for t in TENORS]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -74,18 +76,33 @@ RATES_SQL = f"""rates as (select date_trunc('month', l_shipdate)::date as date,
   from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by all)"""
 
 
-def wide(spark: SparkSession, d: str, sources: tuple[str, ...] = ("EUR", "AME"), complete: bool = True) -> DataFrame:
+def wide(spark: SparkSession, d: str, sources: tuple[str, ...] = tuple(SOURCES.values()), complete: bool = True) -> DataFrame:
     return panels.wide_by_source(rates(spark, d), list(sources), TENORS, complete=complete)
 
 
+def stored(spark: SparkSession, d: str) -> DataFrame:
+    """``wide``, written once, for operators that pass over it again and again or add many columns to it."""
+    return written(wide(spark, d), "rates")
+
+
+def curves(spark: SparkSession, d: str) -> DataFrame:
+    """A whole curve a row; ``date`` holds date and source, as operators keep that column."""
+    return rates(spark, d).na.drop(subset=TENORS).select(F.struct("date", "source").alias("date"), *TENORS)
+
+
+def by_source(rows: DataFrame) -> DataFrame:
+    return rows.select("date.date", "date.source", *(c for c in rows.columns if c != "date"))
+
+
 WIDE = (
     RATES_SQL
-    + ",\nwide as (select e.date, "
-    + ", ".join(f"{a}.{t} as {s}_{t}" for a, s in (("e", "EUR"), ("a", "AME")) for t in TENORS)
-    + " from rates e join rates a on e.date = a.date and e.source = 'EUR' and a.source = 'AME' where "
-    + " and ".join(f"{a}.{t} is not null" for a in "ea" for t in TENORS)
+    + ",\nwide0 as (select date, "
+    + ", ".join(f"max(case when source = '{s}' then {t} end) as {s}_{t}" for s in SOURCES.values() for t in TENORS)
+    + " from rates group by date), wide as (select * from wide0 where "
+    + " and ".join(f"{c} is not null" for c in RATES)
     + ")"
 )
+CURVES = RATES_SQL + ",\ncurves as (select * from rates where " + " and ".join(f"{t} is not null" for t in TENORS) + ")"
 
 
 def hourly(spark: SparkSession, d: str) -> DataFrame:
@@ -160,14 +177,18 @@ def _sql(parts: dict[str, str]) -> str:
     return ", ".join(f"{v} as {k}" for k, v in parts.items())
 
 
-def _feature_sql() -> str:
+def _feature_parts() -> dict[str, str]:
     out = {}
-    for s in ("EUR", "AME"):
+    for s in SOURCES.values():
         own = [f"{s}_{t}" for t in TENORS]
         out |= {f"{a}_minus_{b}": f"{a} - {b}" for i, a in enumerate(own) for b in own[i + 1 :]}
         out |= {f"fly_{a}_{m}_{b}": f"2 * {m} - {a} - {b}" for a, m, b in zip(own, own[1:], own[2:])}
-    out |= {f"AME_EUR_{t}_spd": f"AME_{t} - EUR_{t}" for t in TENORS}
-    return _sql({k: f"round({v}, 6)" for k, v in out.items()})
+    names = sorted(SOURCES.values())
+    return out | {f"{a}_{b}_{t}_spd": f"{a}_{t} - {b}_{t}" for i, a in enumerate(names) for b in names[i + 1 :] for t in TENORS}
+
+
+def _feature_sql() -> str:
+    return _sql({k: f"round({v}, 6)" for k, v in _feature_parts().items()})
 
 
 @query(f"with {WIDE} select date, {', '.join(RATES)}, {_feature_sql()} from wide")
@@ -176,9 +197,10 @@ def fea_curve(spark, d):
     return wide(spark, d).select("date", *RATES, *(r6(c).alias(n) for n, c in made.items()))
 
 
-@query(f"with {WIDE} select date, round(2*EUR_Y003p0 - EUR_Y001p0 - EUR_Y005p0, 6) as belly, round(0.5*(EUR_Y001p0 + AME_Y001p0), 6) as mean1 from wide")
+@query(f"with {WIDE} select date, {', '.join(f'round(2*{s}_Y003p0 - {s}_Y001p0 - {s}_Y005p0, 6) as {s}_belly' for s in SOURCES.values())}, round(0.2*({' + '.join(f'{s}_Y001p0' for s in SOURCES.values())}), 6) as mean1 from wide")
 def fea_expression(spark, d):
-    made = {"belly": "2*{EUR:Y003p0} - {EUR:Y001p0} - {EUR:Y005p0}", "mean1": "0.5*({EUR:Y001p0} + {AME:Y001p0})"}
+    made = {f"{s}_belly": f"2*{{{s}:Y003p0}} - {{{s}:Y001p0}} - {{{s}:Y005p0}}" for s in SOURCES.values()}
+    made["mean1"] = "0.2*(" + " + ".join(f"{{{s}:Y001p0}}" for s in SOURCES.values()) + ")"
     return wide(spark, d).select("date", *(r6(features.expression(x)).alias(n) for n, x in made.items()))
 
 
@@ -204,26 +226,25 @@ def win_steps(spark, d):
 
 @query(f"""with {WIDE}, l as (select * from (unpivot wide on {', '.join(RATES)} into name series value value)),
 v as (select series, var_pop(value) as v, count(*) as p from l group by all), a as (select var_pop(value) as a from l)
-select round(1 / (10 * any_value(a)), 8) as sk_scale, round(1 / (2 * sum(v)), 8) as total_variance, round(1 / (10 * max(v)), 8) as max_variance, round(1 / (2 * max(v)), 8) as unscaled_max_variance from v, a""")
+select round(1 / (25 * any_value(a)), 8) as sk_scale, round(1 / (2 * sum(v)), 8) as total_variance, round(1 / (25 * max(v)), 8) as max_variance, round(1 / (2 * max(v)), 8) as unscaled_max_variance from v, a""")
 def krn_bandwidths(spark, d):
     return _bandwidths(frames.to_long(wide(spark, d), RATES))
 
 
 def _bandwidths(long: DataFrame) -> DataFrame:
-    v = long.groupBy("series").agg(F.var_pop("value").alias("v"))
-    every = long.agg(F.var_pop("value").alias("a"))
-    v = v.agg(F.sum("v").alias("s"), F.max("v").alias("m")).join(F.broadcast(every))
-    r8 = lambda c, n: F.round(1 / c, 8).alias(n)
-    return v.select(r8(10 * F.col("a"), "sk_scale"), r8(2 * F.col("s"), "total_variance"), r8(10 * F.col("m"), "max_variance"), r8(2 * F.col("m"), "unscaled_max_variance"))
+    # the variance of all cells from those of the series, so that one pass does
+    v = long.groupBy("series").agg(F.var_pop("value").alias("v"), F.avg("value").alias("m"), F.count("value").alias("n"))
+    n, m = F.sum("n"), F.sum(F.col("n") * F.col("m")) / F.sum("n")
+    every = F.sum(F.col("n") * (F.col("v") + F.col("m") * F.col("m"))) / n - m * m
+    p = F.count(F.lit(1))
+    r8 = lambda c, name: F.round(1 / c, 8).alias(name)
+    return v.agg(r8(p * every, "sk_scale"), r8(2 * F.sum("v"), "total_variance"), r8(p * F.max("v"), "max_variance"), r8(2 * F.max("v"), "unscaled_max_variance"))
 
 
 @query(f"""with {DAILY}, c as (select series, count(*) as n, greatest(-0.99, least(0.99, corr(value, was))) as rho from (select *, lag(value) over (partition by series order by t) as was from daily) group by series)
 select series, round(n * (1 - rho) / (1 + rho), 4) as ess, greatest(20, least(120, round(0.1 * n * (1 - rho) / (1 + rho) / 2)))::int as width from c""")
 def hyp_ess_window(spark, d):
-    w = Window.partitionBy("series").orderBy("t")
-    c = daily(spark, d).withColumn("was", F.lag("value").over(w)).groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.lit(-0.99), F.least(F.lit(0.99), F.corr("value", "was"))).alias("rho"))
-    ess = F.col("n") * (1 - F.col("rho")) / (1 + F.col("rho"))
-    return c.select("series", F.round(ess, 4).alias("ess"), F.greatest(F.lit(20), F.least(F.lit(120), F.round(0.1 * ess / 2))).cast("int").alias("width"))
+    return hyper.ess_window(daily(spark, d)).withColumn("ess", F.round("ess", 4))
 
 
 # --- search and tests -------------------------------------------------------------------------
@@ -232,16 +253,16 @@ _PREFIX = """x as (select *, coalesce(sum(value) over (partition by series order
 sum(value) over (partition by series) as a, count(*) over (partition by series) as n from daily)"""
 
 
-@query(f"""with {DAILY}, {_PREFIX}, g as (select series, t, round(sqrt(t * (n - t) / n::double) * abs(s / t - (a - s) / (n - t)), 6) as stat from x where t >= 10 and n - t >= 10)
-select series, t::bigint as b, stat from g qualify row_number() over (partition by series order by stat desc, t) = 1""")
+@query(f"""with {DAILY}, {_PREFIX}, g as (select series, t, sqrt(t * (n - t) / n::double) * abs(s / t - (a - s) / (n - t)) as stat from x where t >= 10 and n - t >= 10)
+select series, t::bigint as b, round(stat, 6) as stat from g qualify row_number() over (partition by series order by stat desc, t) = 1""")
 def sch_cusum(spark, d):
-    return search.cusum_split(daily(spark, d))
+    return search.cusum_split(daily(spark, d)).withColumn("stat", r6("stat"))
 
 
-@query(f"""with {DAILY}, {_PREFIX}, g as (select series, t, round(s * s / t + (a - s) * (a - s) / (n - t) - a * a / n, 4) as gain from x where t % 5 = 0 and t >= 10 and n - t >= 10)
-select series, t::bigint as b, gain from g qualify row_number() over (partition by series order by gain desc, t) = 1""")
+@query(f"""with {DAILY}, {_PREFIX}, g as (select series, t, s * s / t + (a - s) * (a - s) / (n - t) - a * a / n as gain from x where t % 5 = 0 and t >= 10 and n - t >= 10)
+select series, t::bigint as b, round(gain, 3) as gain from g qualify row_number() over (partition by series order by gain desc, t) = 1""")
 def sch_best_split(spark, d):
-    return search.best_split(daily(spark, d))
+    return search.best_split(daily(spark, d)).withColumn("gain", F.round("gain", 3))
 
 
 @query(f"""with {DAILY}, g as (select series, t, avg(value) over l as l, avg(value) over r as r, count(value) over l as nl, count(value) over r as nr from daily
@@ -315,6 +336,16 @@ def tst_permutation(spark, d):
     return twosample.test_breaks(daily(spark, d), _breaks(spark, d))
 
 
+@query()
+def sch_binseg(spark, d):
+    return search.binary_splits(hourly(spark, d), 3).select("series", "b")
+
+
+@query()
+def sch_wbs(spark, d):
+    return search.wild_splits(hourly(spark, d)).select("series", "b")
+
+
 for _name in search.KERNELS:
 
     def _run(spark, d, name=_name):
@@ -326,73 +357,95 @@ for _name in search.KERNELS:
 # --- reductions and detectors -------------------------------------------------------------------
 
 _YEARS = [1.0, 2.0, 3.0, 4.0, 5.0]
-_EUR = RATES[:5]
+#: Level, slope and curvature of five yearly rates at a decay of 0.0609: the least-squares solution, worked out in decimals of 60 digits.
+_FACTORS = {
+    "level": [229.27988937649366, -134.35016910740012, -237.83746041644608, -103.60220665193248, 247.509946799285],
+    "slope": [-227.38630520998734, 134.27283707521426, 236.96292071342643, 103.00358904982342, -246.85304162847677],
+    "curvature": [-266.17077970925243, 148.01934828994797, 268.63495208159355, 120.97086353809101, -271.4543842003801],
+}
 
 
 def _dot(row) -> str:
-    return " + ".join(f"({w!r}::double) * {c}" for c, w in zip(_EUR, row, strict=True))
+    return " + ".join(f"({w!r}::double) * {c}" for c, w in zip(TENORS, row, strict=True))
 
 
-@query(f"with {WIDE} select date, {', '.join(f'round({_dot(r)}, 4) as {n}' for n, r in zip(('level', 'slope', 'curvature'), features.nelson_siegel(_YEARS), strict=True))} from wide")
+@query(f"with {CURVES} select date, source, {', '.join(f'round({_dot(r)}, 2) as {n}' for n, r in _FACTORS.items())} from curves")
 def dr_nelson_siegel(spark, d):
-    out = reductions.curve_factors(wide(spark, d), _EUR, _YEARS)
-    return out.select("date", *(F.round(c, 4).alias(c) for c in ("level", "slope", "curvature")))
-
-
-@query()
+    out = by_source(reductions.curve_factors(curves(spark, d), TENORS, _YEARS))
+    return out.select("date", "source", *(F.round(c, 2).alias(c) for c in ("level", "slope", "curvature")))
+
+
+def _rest_sql(decay: float) -> str:
+    """What a curve leaves: the squares along two axes at right angles to the three shapes, found by taking the shapes out of unit vectors."""
+    shapes = [[1.0] * 5, [-math.expm1(-decay * y) / (decay * y) for y in _YEARS], [math.exp(-decay * y) for y in _YEARS]]
+    base: list[list[float]] = []
+    for v in shapes + [[float(i == k) for i in range(5)] for k in (0, 2, 4, 1, 3)]:
+        for _ in range(3):
+            for u in base:
+                along = math.fsum(x * y for x, y in zip(u, v))
+                v = [y - along * x for x, y in zip(u, v)]
+        size = math.sqrt(math.fsum(x * x for x in v))
+        if size > 1e-9:
+            base.append([x / size for x in v])
+    return " + ".join(f"pow({_dot(u)}, 2)" for u in base[3:5])
+
+
+@query(f"""with {CURVES}, f as (select date, source, unnest([{', '.join(f"{{'sse': {_rest_sql(x)}, 'decay': {x}::double}}" for x in reductions.DECAYS)}]) as f from curves)
+select date, source, min(f).decay as decay, round(min(f).sse, 4) as sse from f group by all""")
 def dr_diebold_li(spark, d):
-    return reductions.curve_decay(wide(spark, d), _EUR, _YEARS, [0.02, 0.04, 0.0609, 0.08, 0.1])
+    out = by_source(reductions.curve_decay(curves(spark, d), TENORS, _YEARS))
+    return out.select("date", "source", "decay", F.round("sse", 4).alias("sse"))
 
 
-@query(f"with {WIDE} select date, {', '.join(f'round(({_EUR[max(i - 1, 0)]} + {c} + {_EUR[min(i + 1, 4)]}) / 3, 6) as {c}' for i, c in enumerate(_EUR))} from wide")
+@query(f"with {CURVES} select date, source, {', '.join(f'round(({TENORS[max(i - 1, 0)]} + {c} + {TENORS[min(i + 1, 4)]}) / 3, 6) as {c}' for i, c in enumerate(TENORS))} from curves")
 def dr_fpca_smooth(spark, d):
-    return wide(spark, d).select("date", *(r6(c).alias(n) for n, c in reductions.smooth_across(_EUR).items()))
+    return by_source(curves(spark, d).select("date", *(r6(c).alias(n) for n, c in reductions.smooth_across(TENORS).items())))
 
 
 @query()
 def dr_pca(spark, d):
-    return reductions.principal_components(wide(spark, d), RATES, 3)
+    return reductions.principal_components(stored(spark, d), RATES, 3)
 
 
 @query()
 def dr_ica(spark, d):
-    return factors.independent_components(wide(spark, d), RATES, 3)
+    return factors.independent_components(stored(spark, d), RATES, 3)
 
 
 @query()
 def dr_sparse_pca(spark, d):
-    return factors.sparse_components(wide(spark, d), RATES, 3)
+    return factors.sparse_components(stored(spark, d), RATES, 3)
 
 
 @query()
 def dr_robust_pca(spark, d):
-    return factors.robust_components(wide(spark, d), RATES)
+    return factors.robust_components(stored(spark, d), RATES)
 
 
 @query()
 def dr_kernel_pca(spark, d):
-    return factors.kernel_components(wide(spark, d), RATES, 3, "rbf", gamma=0.1)
+    return factors.kernel_components(stored(spark, d), RATES, 3, "rbf", gamma=0.1)
 
 
 @query()
 def dr_dmd(spark, d):
-    steps = wide(spark, d).withColumn("t", F.year("date") * 12 + F.month("date") - 1995 * 12 - 1)
+    steps = stored(spark, d).withColumn("t", F.year("date") * 12 + F.month("date") - 1995 * 12 - 1)
     return factors.dynamic_modes(steps, RATES, 12, 3, 3)
 
 
 @query()
 def krn_fourier(spark, d):
-    return reductions.fourier_map(wide(spark, d), RATES, gamma=1e-4)
+    return reductions.fourier_map(stored(spark, d), RATES, gamma=1e-4)
 
 
 @query()
 def det_kmeans(spark, d):
-    return detectors.cluster(wide(spark, d), RATES)
+    return detectors.cluster(stored(spark, d), RATES)
 
 
 @query()
 def det_gaussian_mixture(spark, d):
-    return detectors.cluster(wide(spark, d), _EUR, 2, "gmm")
+    return by_source(detectors.cluster(curves(spark, d), TENORS, 2, "gmm"))
 
 
 for _name in detectors.KERNELS:
@@ -403,19 +456,21 @@ for _name in detectors.KERNELS:
     QUERIES[f"det_{_name}"] = _run_detector
 
 
-@query(f"""with {HOURLY}, r as (select *, value - lag(value) over (partition by series order by t) as r from hourly), q as (select * from r where r is not null),
-v as (select *, case when count(r) over w >= 3 then ln(avg(r * r) over w + 1e-12) end as lv from q window w as (partition by series order by t rows between 19 preceding and current row)),
-c as (select series, quantile_cont(lv, 0.5) as cut from v where lv is not null group by series) select series, t, date, (lv >= cut)::int as label from v join c using (series) where lv is not null""")
+@query(f"""with {HOURLY}, r as (select *, value - lag(value) over (partition by series order by t) as r from hourly), q as (select *, r * r as q, (row_number() over (partition by series order by t) - 1)::int as k from r where r is not null),
+v as (select *, case when count(q) over w >= 3 then avg(q) over w end as m, pow(19.0::double / 21, k) * sum(q * case when k = 0 then 1 else 2.0::double / 21 * pow(21.0::double / 19, k) end) over (partition by series order by t) as e
+  from q window w as (partition by series order by t rows between 19 preceding and current row)),
+x as (select *, ln(0.5 * coalesce(m, first_value(m ignore nulls) over (partition by series order by t rows between current row and unbounded following)) + 0.5 * e + 1e-12) as lv from v),
+c as (select series, quantile_cont(lv, 0.5) as cut from x group by series) select series, t, date, (lv >= cut)::int as label from x join c using (series)""")
 def det_volatility(spark, d):
     return detectors.volatility_levels(hourly(spark, d))
 
 
-@query(f"""with {WIDE}, x as (select 'all' as series, *, (row_number() over (order by date) - 1)::int as t from wide)
-select series, t, {', '.join(f'case when count(*) over w >= 24 then round(corr({a}, {b}) over w, 6) end as {a}_{b}' for i, a in enumerate(_EUR) for b in _EUR[i + 1 :])} from x window w as (order by t rows between 23 preceding and current row)""")
+@query(f"""with {CURVES}, x as (select *, source as series, (row_number() over (partition by source order by date) - 1)::int as t from curves)
+select series, t, {', '.join(f'case when count(*) over w >= 24 then round(corr({a}, {b}) over w, 6) end as {a}_{b}' for i, a in enumerate(TENORS) for b in TENORS[i + 1 :])} from x window w as (partition by series order by t rows between 23 preceding and current row)""")
 def det_rolling_correlations(spark, d):
-    p = wide(spark, d).withColumn("series", F.lit("all"))
+    p = rates(spark, d).na.drop(subset=TENORS).withColumnRenamed("source", "series")
     p = p.withColumn("t", F.row_number().over(Window.partitionBy("series").orderBy("date")) - 1)
-    out = detectors.rolling_correlations(p, _EUR, 24)
+    out = detectors.rolling_correlations(p, TENORS, 24)
     return out.select("series", "t", *(r6(c).alias(c) for c in out.columns[2:]))
 
 
@@ -453,16 +508,18 @@ def lbl_intervals(spark, d):
 
 
 @query(f"""with {_LAB}, w as (select *, lag(label) over (partition by series order by t) as was, count(*) over (partition by series) as n from lab), b as (select series, t::bigint as b, n from w where was <> label),
-g as (select *, coalesce(lag(b) over o, 0) as l, coalesce(lead(b) over o, n) as r from b window o as (partition by series order by b)) select series, b from g where b - l >= 90 and r - b >= 90""")
+g as (select *, coalesce(lag(b) over o, 0) as l, coalesce(lead(b) over o, n) as r from b window o as (partition by series order by b)) select series, b from g where b - l >= 62 and r - b >= 62""")
 def lbl_drop_short(spark, d):
     rows = _labels(spark, d)
     n = rows.groupBy("series").agg(F.count(F.lit(1)).alias("n"))
-    return labels.drop_short(labels.breaks_of(rows), n, 90)
+    return labels.drop_short(labels.breaks_of(rows), n, 62)
 
 
-@query()
+@query(f"""with recursive {_LAB}, w as (select *, lag(label) over (partition by series order by t) as was from lab), bs as (select series, t::bigint as b, row_number() over (partition by series order by t) as k from w where was <> label),
+r as (select series, k, b, 1 as g from bs where k = 1 union all select bs.series, bs.k, bs.b, case when bs.b - r.b <= 62 then r.g else r.g + 1 end as g from r join bs on bs.series = r.series and bs.k = r.k + 1)
+select series, max(b) as b from r group by series, g""")
 def lbl_merge_close(spark, d):
-    return labels.merge_close(labels.breaks_of(_labels(spark, d)), 100)
+    return labels.merge_close(labels.breaks_of(_labels(spark, d)), 62)
 
 
 @query(f"with {_LAB} select series, label, round(var_pop(value), 4) as loss from lab group by all")
@@ -478,9 +535,9 @@ def eva_nearest(spark, d):
     return evaluation.nearest(_breaks(spark, d), labels.breaks_of(_labels(spark, d)))
 
 
-@query()
+@query(f"with {_TWO}, q as (select series, p as b, row_number() over (partition by series order by p) as k from fo) select series, b, b + case when k % 3 = 0 then 30 else 4 end as near, case when k % 3 = 0 then 30 else 4 end::bigint as distance from q")
 def eva_matched(spark, d):
-    return evaluation.matched(_breaks(spark, d), labels.breaks_of(_labels(spark, d)))
+    return evaluation.matched(_truth(spark, d), _shifted(spark, d))
 
 
 @query(f"with {_TWO}, m as (select series, b, min(abs(b - p)) as near from tr join fo using (series) group by all) select series, max(near) as distance from m group by all")
@@ -556,9 +613,7 @@ var_samp(value) filter (k < n // 2) as v1, var_samp(value) filter (k >= n // 2)
 
 
 def _means(spark, d) -> DataFrame:
-    m = _labels(spark, d).groupBy("series", "label").agg(F.round(F.avg("value"), 4).alias("m"))
-    o = m.select("series", F.col("label").alias("b"), F.col("m").alias("m2"))
-    return m.withColumnRenamed("label", "a").join(o, "series").groupBy("a", "b").agg(F.sqrt(F.sum((F.col("m") - F.col("m2")) * (F.col("m") - F.col("m2")))).alias("d"))
+    return insights.distances(insights.regime_means(_labels(spark, d)).withColumn("mean", F.round("mean", 4)))
 
 
 _MEANS = f"{_LAB}, m as (select series, label, round(avg(value), 4) as m from lab group by all), ds as (select x.label as a, y.label as b, sqrt(sum((x.m - y.m) * (x.m - y.m))) as d from m x join m y using (series) group by all)"
@@ -576,34 +631,42 @@ def ins_transitions(spark, d):
 
 @query(f"with {_LAB}, l as (select series, label, var_pop(value) as v from lab group by all) select series, round(sum(v), 4) as loss from l group by all order by loss desc, series limit 3")
 def ins_worst_series(spark, d):
-    loss = evaluation.regime_loss(_labels(spark, d)).groupBy("series").agg(F.round(F.sum("loss"), 4).alias("loss"))
-    return loss.orderBy(F.desc("loss"), "series").limit(3)
+    return insights.worst_series(evaluation.regime_loss(_labels(spark, d)), 3).withColumn("loss", F.round("loss", 4))
 
 
 # --- ensembles, plans, streams --------------------------------------------------------------------
 
 
 def _runs(spark, d) -> DataFrame:
-    """Breaks of five runs, each a few rows further along."""
-    return _breaks(spark, d).select("series", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("run"), "b").withColumn("b", F.col("b") + F.col("run") * 3)
+    """Breaks of five runs around each break, close to every second one and far around the others."""
+    each = _breaks(spark, d).select("series", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("run"), "b")
+    return each.withColumn("b", F.col("b") + (F.col("run") - 2) * F.when(F.col("b") % 400 == 0, 3).otherwise(20))
+
 
+def _lengths(spark, d) -> DataFrame:
+    return daily(spark, d).groupBy("series").agg(F.count(F.lit(1)).alias("n"))
 
-_RUNS = f"{DAILY}, tr as (select series, t::bigint as b from daily where t % 200 = 0 and t > 0), ru as (select series, run, b + run * 3 as p from tr, range(5) g(run))"
 
+_RUNS = f"{DAILY}, tr as (select series, t::bigint as b from daily where t % 200 = 0 and t > 0), ru as (select series, run, b + (run - 2) * case when b % 400 = 0 then 3 else 20 end as p from tr, range(5) g(run)), nl as (select series, count(*) as n from daily group by all)"
+_BANDS = """nr as (select series, b, run, min_by(p, abs(b - p) * 1000000 + p) as p from tr join ru using (series) where abs(b - p) <= 40 group by all),
+h as (select series, b, quantile_cont(p, 0.05) as l, quantile_cont(p, 0.95) as h from nr group by all),
+bd as (select series, b, n, case when l is null then greatest(1, b - 20) else greatest(0, least(floor(l)::bigint, b)) end as lo, case when l is null then least(n - 2, b + 20) else least(n - 1, greatest(floor(h)::bigint, b)) end as hi from tr left join h using (series, b) join nl using (series))"""
 
-@query(f"""with {_RUNS}, h as (select series, b, count(distinct run) as h from tr join ru using (series) where abs(b - p) <= 7 group by all), n as (select series, count(distinct run) as n from ru group by all)
-select series, b, round(coalesce(h, 0) / n::double, 6) as persistence from tr join n using (series) left join h using (series, b)""")
+
+@query(f"""with {_RUNS}, h as (select series, b, count(distinct run) as h from tr join ru using (series) where abs(b - p) <= 20 group by all), n as (select series, count(distinct run) as n from ru group by all)
+select series, b, round(coalesce(h, 0) / n::double, 6) as persistence, n as runs, coalesce(h, 0) / n::double < 0.7 as low from tr join n using (series) left join h using (series, b)""")
 def ens_persistence(spark, d):
-    return evaluation.persistence(_breaks(spark, d), _runs(spark, d), 7).withColumn("persistence", r6("persistence"))
+    return evaluation.persistence(_breaks(spark, d), _runs(spark, d), 20, low=0.7).withColumn("persistence", r6("persistence"))
 
 
-@query(f"""with {_RUNS}, h as (select series, b, quantile_cont(p, 0.05) as lo, quantile_cont(p, 0.95) as hi from tr join ru using (series) where abs(b - p) <= 7 group by all)
-select series, b, round(coalesce(lo, b - 7), 6) as lo, round(coalesce(hi, b + 7), 6) as hi from tr left join h using (series, b)""")
+@query(f"with {_RUNS}, {_BANDS} select series, b, lo, hi from bd")
 def ens_bands(spark, d):
-    return evaluation.bands(_breaks(spark, d), _runs(spark, d), 7).select("series", "b", r6("lo").alias("lo"), r6("hi").alias("hi"))
+    return evaluation.bands(_breaks(spark, d), _runs(spark, d), 20, _lengths(spark, d))
 
 
-@query()
+@query(f"""with {HOURLY}, nl as (select series, count(*) as n from hourly group by all), sl as (select series, n, sample, t from nl, range(4) g(sample), lateral (select unnest(range(n)) as t)),
+src as (select series, sample, t, ((('0x' || substr(md5('0:' || series || ':' || sample || ':' || (t // 25)), 1, 13))::bigint % n + t % 25) % n)::int as src from sl)
+select src.series, sample::int as sample, src.t::int as t, value from src join hourly h on h.series = src.series and h.t = src.src""")
 def ens_bootstrap(spark, d):
     return segmentation.block_bootstrap(hourly(spark, d), 25, 4)
 
@@ -620,8 +683,7 @@ def plan_robustness(spark, d):
 
 @query()
 def plan_consensus(spark, d):
-    runs = plan_robustness(spark, d).where("status = 'valid'").select(F.lit("all").alias("series"), F.concat_ws("/", "series", "run").alias("run"), "b")
-    return segmentation.consensus(runs, 5, 0.2)
+    return segmentation.consensus(plan_robustness(spark, d).where("status = 'valid'").select("series", "run", "b"), 5, 0.2)
 
 
 @query()
@@ -649,7 +711,7 @@ def str_sessions(spark, d):
 @query(f"""with {DAILY}, bs as (select series, t as label from daily where t % 200 = 0 and t > 0),
 xs as (select d.series, label, d.t, value - avg(value) over (partition by d.series, label) as x, count(*) over (partition by d.series, label) as n from daily d join bs on d.series = bs.series and d.t >= label - 100 and d.t < label + 100),
 ps as (select a.series, a.label, b.t - a.t as lag, sum(a.x * b.x) as s from xs a join xs b on a.series = b.series and a.label = b.label and b.t - a.t between 0 and 40 where a.n = 200 group by all),
-rs as (select *, round(s / max(case when lag = 0 then s end) over (partition by series, label), 6) as r from ps)
+rs as (select *, s / max(case when lag = 0 then s end) over (partition by series, label) as r from ps)
 select series, label::bigint as label, coalesce(min(lag) filter (abs(r) < 0.1), max(lag))::int as lag from rs group by all""")
 def hyp_decay_lag(spark, d):
     return features.decay_lag(daily(spark, d), _breaks(spark, d))
@@ -662,12 +724,12 @@ def dr_segment_distances(spark, d):
 
 @query()
 def dr_centre_distances(spark, d):
-    return reductions.centre_distances(wide(spark, d), RATES)
+    return reductions.centre_distances(stored(spark, d), RATES)
 
 
 @query()
 def dr_responsibilities(spark, d):
-    return reductions.responsibilities(wide(spark, d), _EUR)
+    return by_source(reductions.responsibilities(curves(spark, d), TENORS))
 
 
 @query(f"""with {_LAB}, w as (select *, case when lag(label) over (partition by series order by t) = label then 0 else 1 end as fresh from lab),
@@ -677,44 +739,50 @@ def lbl_legends(spark, d):
     return labels.legends(labels.intervals(_labels(spark, d))).select("series", "run", "legend")
 
 
-@query()
+def _shifted(spark, d) -> DataFrame:
+    """Breaks of the quarters, every third 30 rows on and the others 4; none is nearer to another break than to its own."""
+    b = _truth(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("series").orderBy("b")))
+    return b.select("series", (F.col("b") + F.when(F.col("k") % 3 == 0, 30).otherwise(4)).alias("b"))
+
+
+@query(f"""with {_TWO}, q as (select series, p as b, row_number() over (partition by series order by p) as k from fo), s as (select series, count(*) as n, count(*) filter (k % 3 <> 0) as hits from q group by all)
+select series, round(hits / n::double, 6) as precision, round(hits / n::double, 6) as recall, round(2 * hits / (2.0 * n)::double, 6) as f1, round(hits / n::double, 6) as recovery from s""")
 def eva_detection(spark, d):
-    return evaluation.detection(_breaks(spark, d), labels.breaks_of(_labels(spark, d)), 20)
+    out = evaluation.detection(_truth(spark, d), _shifted(spark, d), 20)
+    return out.select("series", *(r6(c).alias(c) for c in out.columns[1:]))
 
 
 def _judged(spark, d) -> DataFrame:
-    """Breaks of the quarters; those with 90 rows to both neighbours are confirmed."""
+    """Breaks of the quarters; those with 62 rows to both neighbours are confirmed."""
     rows = _labels(spark, d)
     every = labels.breaks_of(rows)
-    kept = labels.drop_short(every, rows.groupBy("series").agg(F.count(F.lit(1)).alias("n")), 90).withColumn("confirmed", F.lit(True))
+    kept = labels.drop_short(every, rows.groupBy("series").agg(F.count(F.lit(1)).alias("n")), 62).withColumn("confirmed", F.lit(True))
     return every.join(kept, ["series", "b"], "left").na.fill(False, ["confirmed"])
 
 
 @query(f"""with {_LAB}, w as (select *, lag(label) over (partition by series order by t) as was, count(*) over (partition by series) as n from lab), b as (select series, t::bigint as b, n from w where was <> label),
-g as (select *, coalesce(lag(b) over o, 0) as l, coalesce(lead(b) over o, n) as r from b window o as (partition by series order by b)), j as (select series, b, b - l >= 90 and r - b >= 90 as ok from g)
+g as (select *, coalesce(lag(b) over o, 0) as l, coalesce(lead(b) over o, n) as r from b window o as (partition by series order by b)), j as (select series, b, b - l >= 62 and r - b >= 62 as ok from g)
+select series, '{{"event":"run_started","run_id":"run","series":"' || series || '"}}' as line from j group by series union all
 select series, '{{"event":"' || case when ok then 'breakpoint_confirmed' else 'breakpoint_rejected' end || '","run_id":"run","series":"' || series || '","bkpt":' || b || '}}' as line from j union all
 select series, '{{"event":"run_complete","run_id":"run","series":"' || series || '","n_bkpts":' || count(*) filter (ok) || ',"n_invalid":' || count(*) filter (not ok) || '}}' as line from j group by series""")
 def snk_events(spark, d):
     return sinks.event_lines(_judged(spark, d), "run")
 
 
-@query(f"""with {_RUNS}, h as (select series, b, quantile_cont(p, 0.05) as lo, quantile_cont(p, 0.95) as hi from tr join ru using (series) where abs(b - p) <= 7 group by all), n as (select series, count(*) as n from daily group by all),
-k as (select series, b, n, round(coalesce(lo, b - 7), 6) as lo, round(coalesce(hi, b + 7), 6) as hi from tr left join h using (series, b) join n using (series))
-select series, b, lo, hi, round(hi - lo, 6) as width, hi - lo > greatest(21, 0.02 * n) as low_confidence from k""")
+@query(f"with {_RUNS}, {_BANDS} select series, b, lo, hi, hi - lo as width, hi - lo > greatest(60, 0.02 * n) as low_confidence from bd")
 def snk_breaks(spark, d):
-    n = daily(spark, d).groupBy("series").agg(F.count(F.lit(1)).alias("n"))
-    return sinks.break_table(_breaks(spark, d), ens_bands(spark, d), 7, n).withColumn("width", r6("width"))
+    return sinks.break_table(_breaks(spark, d), ens_bands(spark, d), 20, _lengths(spark, d))
 
 
 @query()
 def exp_tree(spark, d):
-    rows = wide(spark, d).withColumn("label", F.floor((F.year("date") - 1990) / 2).cast("int"))
+    rows = stored(spark, d).withColumn("label", F.floor((F.year("date") - 1990) / 2).cast("int"))
     return explain.tree(rows, RATES)[1].select("date", "label", "predicted")
 
 
 @query()
 def ens_without_groups(spark, d):
-    p = wide(spark, d).withColumns({"series": F.lit("rates"), "t": F.months_between("date", F.lit("1990-01-01").cast("date")).cast("int")})
+    p = stored(spark, d).withColumns({"series": F.lit("rates"), "t": F.months_between("date", F.lit("1990-01-01").cast("date")).cast("int")})
     return explain.without_groups(p, RATES, width=15, lag=1)
 
 
@@ -790,101 +858,50 @@ def ens_persistence_found(spark, d):
 
 @query()
 def ens_bands_found(spark, d):
-    return evaluation.bands(*_planned(spark, d), 7)
+    return evaluation.bands(*_planned(spark, d), 7, _lengths(spark, d))
 
 
 @query()
 def snk_breaks_found(spark, d):
-    n = daily(spark, d).groupBy("series").agg(F.count(F.lit(1)).alias("n"))
     found, runs = _planned(spark, d)
-    return sinks.break_table(found, evaluation.bands(found, runs, 7), 7, n)
-
-
-# --- rates of all five sources ----------------------------------------------------------------------
-# The queries above take two sources or one, as their SQL does; these take all 25 columns, or a curve a date and source.
-
-ALL_SOURCES = tuple(SOURCES.values())
-ALL_RATES = [f"{s}_{t}" for s in ALL_SOURCES for t in TENORS]
+    return sinks.break_table(found, evaluation.bands(found, runs, 7, _lengths(spark, d)), 7, _lengths(spark, d))
 
 
-def _all(spark, d) -> DataFrame:
-    """Months with all 25 cells, as the reductions need them."""
-    return wide(spark, d, ALL_SOURCES)
+# --- rates with gaps ----------------------------------------------------------------------------
+# The queries above need months with all 25 cells; these keep every cell there is.
 
 
-def _all_long(spark, d) -> DataFrame:
+def _long_rates(spark, d) -> DataFrame:
     """Every cell there is: (date, series, value)."""
-    return frames.to_long(wide(spark, d, ALL_SOURCES, complete=False), ALL_RATES).where("value is not null")
+    return frames.to_long(wide(spark, d, complete=False), RATES).where("value is not null")
 
 
-def _curves(spark, d) -> DataFrame:
-    """A whole curve a row; ``date`` holds date and source, as operators keep that column."""
-    return rates(spark, d).na.drop(subset=TENORS).select(F.struct("date", "source").alias("date"), *TENORS)
+_WIDE0 = WIDE[: WIDE.index(", wide as (select * from wide0")]
 
 
-def _by_source(rows: DataFrame) -> DataFrame:
-    return rows.select("date.date", "date.source", *(c for c in rows.columns if c != "date"))
-
-
-@query()
+@query(f"with {_WIDE0} select * from wide0")
 def src_rates_wide_all(spark, d):
-    return wide(spark, d, ALL_SOURCES, complete=False)
+    return wide(spark, d, complete=False)
 
 
-@query()
+@query(f"with {_WIDE0} select * from (unpivot wide0 on {', '.join(RATES)} into name series value value)")
 def frm_unpivot_all(spark, d):
-    return _all_long(spark, d)
+    return _long_rates(spark, d)
 
 
-@query()
+@query(f"with {_WIDE0} select date, {', '.join(RATES)}, {_feature_sql()} from wide0")
 def fea_curve_all(spark, d):
-    made = features.spreads(ALL_RATES) | features.butterflies(ALL_RATES) | features.cross_spreads(ALL_RATES)
-    return wide(spark, d, ALL_SOURCES, complete=False).select("date", *ALL_RATES, *(r6(c).alias(n) for n, c in made.items()))
-
-
-@query()
-def fea_expression_all(spark, d):
-    made = {f"{s}_belly": f"2*{{{s}:Y003p0}} - {{{s}:Y001p0}} - {{{s}:Y005p0}}" for s in ALL_SOURCES}
-    made["mean1"] = "0.2*(" + " + ".join(f"{{{s}:Y001p0}}" for s in ALL_SOURCES) + ")"
-    return wide(spark, d, ALL_SOURCES, complete=False).select("date", *(r6(features.expression(x)).alias(n) for n, x in made.items()))
+    made = features.spreads(RATES) | features.butterflies(RATES) | features.cross_spreads(RATES)
+    return wide(spark, d, complete=False).select("date", *RATES, *(r6(c).alias(n) for n, c in made.items()))
 
 
-@query()
+@query(f"""with {_WIDE0}, l as (select * from (unpivot wide0 on {', '.join(RATES)} into name series value value)),
+v as (select series, var_pop(value) as v from l group by all), a as (select var_pop(value) as a from l)
+select round(1 / (25 * any_value(a)), 8) as sk_scale, round(1 / (2 * sum(v)), 8) as total_variance, round(1 / (25 * max(v)), 8) as max_variance, round(1 / (2 * max(v)), 8) as unscaled_max_variance from v, a""")
 def krn_bandwidths_all(spark, d):
-    return _bandwidths(_all_long(spark, d))
-
-
-for _name, _f in (
-    ("dr_pca", lambda p: reductions.principal_components(p, ALL_RATES, 3)),
-    ("dr_ica", lambda p: factors.independent_components(p, ALL_RATES, 3)),
-    ("dr_sparse_pca", lambda p: factors.sparse_components(p, ALL_RATES, 3)),
-    ("dr_robust_pca", lambda p: factors.robust_components(p, ALL_RATES)),
-    ("dr_kernel_pca", lambda p: factors.kernel_components(p, ALL_RATES, 3, "rbf", gamma=0.1)),
-    ("dr_dmd", lambda p: factors.dynamic_modes(p.withColumn("t", F.year("date") * 12 + F.month("date") - 1995 * 12 - 1), ALL_RATES, 12, 3, 3)),
-    ("krn_fourier", lambda p: reductions.fourier_map(p, ALL_RATES, gamma=1e-4)),
-    ("det_kmeans", lambda p: detectors.cluster(p, ALL_RATES)),
-    ("dr_centre_distances", lambda p: reductions.centre_distances(p, ALL_RATES)),
-    ("exp_tree", lambda p: explain.tree(p.withColumn("label", F.floor((F.year("date") - 1990) / 2).cast("int")), ALL_RATES)[1].select("date", "label", "predicted")),
-    ("ens_without_groups", lambda p: explain.without_groups(p.withColumns({"series": F.lit("rates"), "t": F.months_between("date", F.lit("1990-01-01").cast("date")).cast("int")}), ALL_RATES, width=15, lag=1)),
-):
-    QUERIES[f"{_name}_all"] = lambda spark, d, f=_f: f(_all(spark, d))
-
-for _name, _f in (
-    ("dr_nelson_siegel", lambda p: reductions.curve_factors(p, TENORS, _YEARS)),
-    ("dr_diebold_li", lambda p: reductions.curve_decay(p, TENORS, _YEARS, [0.02, 0.04, 0.0609, 0.08, 0.1])),
-    ("dr_fpca_smooth", lambda p: p.select("date", *(r6(c).alias(n) for n, c in reductions.smooth_across(TENORS).items()))),
-    ("dr_responsibilities", lambda p: reductions.responsibilities(p, TENORS)),
-    ("det_gaussian_mixture", lambda p: detectors.cluster(p, TENORS, 2, "gmm")),
-):
-    QUERIES[f"{_name}_all"] = lambda spark, d, f=_f: _by_source(f(_curves(spark, d)))
-
-
-@query()
-def det_rolling_correlations_all(spark, d):
-    p = rates(spark, d).na.drop(subset=TENORS).withColumnRenamed("source", "series")
-    p = p.withColumn("t", F.row_number().over(Window.partitionBy("series").orderBy("date")) - 1)
-    out = detectors.rolling_correlations(p, TENORS, 24)
-    return out.select("series", "t", *(r6(c).alias(c) for c in out.columns[2:]))
+    return _bandwidths(_long_rates(spark, d))
 
 
 FLAGSHIP = plan_segment
+
+from . import more  # noqa: E402, F401  registers further queries

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,25 +11,33 @@ from pyspark.sql.window import Window
 
 
 def read(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:
-    """A wide panel from ``parquet``, ``csv`` or ``jdbc``; its time column becomes ``date``.
+    """A wide panel from ``parquet``, ``csv`` or ``jdbc``, or the rows of an ``sql`` text over views; its time column becomes ``date``.
 
-    ``date_column`` names it, ``start`` and ``end`` are inclusive, ``columns`` projects; filters and
-    projection are pushed to the scan.
+    ``date_column`` names it, ``start`` and ``end`` are inclusive, ``columns`` projects, a ``label`` column is left out unless
+    ``labels`` keeps it; filters and projection are pushed to the scan. An SQL text must give a ``date``.
     """
     date_column, start, end, columns = (options.pop(k, None) for k in ("date_column", "start", "end", "columns"))
+    labels = options.pop("labels", False)
     if kind == "parquet":
         df = spark.read.options(**options).parquet(path)
     elif kind == "csv":
         df = spark.read.options(header=True, inferSchema=True, **options).csv(path)
     elif kind == "jdbc":
         df = spark.read.options(**options).jdbc(options["url"], path)
+    elif kind == "sql":
+        df = spark.sql(path, **options)
+        if "date" not in df.columns:
+            raise KeyError("the query gives no column 'date'")
     else:
         raise ValueError(f"unknown source {kind!r}")
     names = [date_column] if date_column else ["Date", "DATE", "index", "__index_level_0__"]
     for name in names:
         if name in df.columns and "date" not in df.columns:
             df = df.withColumnRenamed(name, "date")
-    df = df.withColumn("date", F.expr("try_to_timestamp(cast(date as string))"))
+    if "date" in df.columns:
+        df = df.withColumn("date", F.expr("try_to_timestamp(cast(date as string))"))
+    if not labels and "label" in df.columns and "label" not in (columns or []):
+        df = df.drop("label")
     if missing := set(columns or []) - set(df.columns):
         raise KeyError(f"no columns {sorted(missing)}")
     if columns:
@@ -40,6 +49,32 @@ def read(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:
     return df
 
 
+def rates_and_fx(rates: DataFrame, sources: list[str], tenors: list[str], fx: DataFrame | None = None, order: Column | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Wide rates by date with the day's last FX row beside them, rows with a null left out, in order of date; no rates at all are an error."""
+    picked = wide_by_source(rates, sources, tenors, start, end, complete=False)
+    if picked.isEmpty():
+        raise LookupError("no rates for these sources and dates")
+    if fx is not None:
+        picked = join_fx(picked, fx, order)
+    return picked.na.drop().orderBy("date")
+
+
+def seeds(spark: SparkSession, spec) -> DataFrame | None:
+    """A table of known regimes: none, a DataFrame, the path of a CSV file (as text or ``{"path": ...}``), or a list of records."""
+    if spec is None or isinstance(spec, DataFrame):
+        return spec
+    if isinstance(spec, dict):
+        spec = spec["path"]
+    if isinstance(spec, str):
+        return spark.read.csv(spec, header=True, inferSchema=True)
+    return spark.createDataFrame(list(spec)) if spec else None
+
+
+def substituted(text: str, **values: str) -> str:
+    """A configuration's text with ``${NAME}`` replaced; a name without a value is an error."""
+    return re.sub(r"\$\{(\w+)\}", lambda m: str(values[m[1]]), text)
+
+
 def long_panel(rows: DataFrame, series: Column, date: Column, value: Column) -> DataFrame:
     """One value a series and date, with ``t``, the place of the date in its series."""
     out = rows.groupBy(series.alias("series"), date.alias("date")).agg(value.alias("value"))

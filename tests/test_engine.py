@@ -19,13 +19,19 @@ def step():
 
 @pytest.mark.parametrize("name", list(search.KERNELS))
 def test_kernels_find_a_planted_break(step, name):
-    found = search.KERNELS[name](step, n_breaks=1) if name in ("binseg", "bottomup") else search.KERNELS[name](step)
+    found = search.KERNELS[name](step, n_breaks=1) if name == "bottomup" else search.KERNELS[name](step)
     assert any(abs(b - 100) <= 5 for b in found)
 
 
 def test_kernels_on_constant_series():
     flat = np.zeros((60, 1))
-    assert search.wild_binary_segmentation(flat) == [] and search.pelt(flat, 1.0) == []
+    assert search.pelt(flat, 1.0) == [] and search.online_bayes(flat) == []
+
+
+def test_online_bayes_is_quiet_in_noise_and_never_looks_ahead(step):
+    rng = np.random.default_rng(0)
+    assert sum(len(search.online_bayes(rng.normal(size=(2000, 1)))) for _ in range(3)) <= 3
+    assert search.online_bayes(step[:150]) == [b for b in search.online_bayes(step) if b < 150]
 
 
 @pytest.mark.parametrize("name", list(detectors.KERNELS))
@@ -38,9 +44,7 @@ def test_detectors_label_every_row(step, name):
         assert len({*got[:90]}) == 1 and got[0] != got[-1]
 
 
-def test_segmentation_and_permutation(step):
-    found = segmentation.split_and_test(step)
-    assert any(abs(b - 100) <= 5 and s == "valid" for b, *_, s in found)
+def test_permutation_and_tails(step):
     same = twosample.permutation_test(step[:40], step[40:80])
     assert 0 < same[1] <= 1 and abs(twosample.f_tail(4.0, 1, 10) - 0.0734) < 1e-3
     assert twosample.crosier(step[:50], step[100:150]) > twosample.crosier(step[:50], step[50:100])
@@ -48,15 +52,20 @@ def test_segmentation_and_permutation(step):
 
 def test_dwell_keeps_long_runs():
     assert detectors.dwell(np.array([0, 0, 0, 1, 0, 0, 0, 2, 2, 2]), 2).tolist() == [0] * 7 + [2] * 3
+    assert detectors.dwell(np.array([3, 0, 0, 0, 1, 2, 2, 2, 5]), 2).tolist() == [0] * 4 + [1] + [2] * 4  # ends give way, a run between two labels stays
+    assert detectors.dwell(np.array([0, 0, 1, 0, 1, 1, 1]), 2).tolist() == [0, 0, 0, 0, 1, 1, 1]
 
 
 def test_spark_search_agrees_with_kernel(spark, step):
     panel = spark.createDataFrame([("a", t, dt.date(2020, 1, 1) + dt.timedelta(t), float(v)) for t, v in enumerate(step[:, 0])], "series string, t int, date date, value double")
     b = search.cusum_split(panel).first()["b"]
-    assert b == search._cusum(step, 0, 200, 10)[0]
+    k = np.arange(10, 191)
+    left, right = step[:, 0].cumsum()[k - 1] / k, (step.sum() - step[:, 0].cumsum()[k - 1]) / (200 - k)
+    assert b == k[(np.sqrt(k * (200 - k) / 200) * abs(left - right)).argmax()]
     lab = labels.labels_of(panel, spark.createDataFrame([("a", 100)], "series string, b long"))
     assert labels.breaks_of(lab).first()["b"] == 100 and labels.intervals(lab).count() == 2
-    assert segmentation.segment(panel).where("status = 'valid'").count() >= 1
+    found = [r["b"] for r in segmentation.segment(panel).where("status = 'valid' and level = 1").collect()]
+    assert len(found) == 1 and abs(found[0] - 100) <= 5
     assert panels.business_days(spark, "2020-01-01", 10).count() == 10
 
 
@@ -87,22 +96,28 @@ def test_csv_source(spark, tmp_path):
         panels.read(spark, "csv", str(tmp_path / "x.csv"), sep=";", columns=["z"])
 
 
-def test_incremental_and_consensus(spark):
-    assert incremental.locked([100, 300], [101, 290, 500], 500, 80, 5) == [100, 300, 500] or incremental.locked([100, 300], [101, 290, 500], 500, 80, 5)
-    runs = spark.createDataFrame([("a", r, b) for r, b in (("x", 100), ("y", 102), ("z", 300))], "series string, run string, b long")
+def test_locked_breaks_and_consensus(spark):
+    assert incremental.locked([100, 300], [101, 290, 500], 500, 80, 5) == [100, 290, 300, 500]
+    assert incremental.locked([338], [341], 500, 80, 5) == [341]  # from the frontier on the newer one counts
+    assert incremental.locked([100], [103, 200], 500, 80, 5) == [100, 200]
+    runs = spark.createDataFrame([("a", r, b) for r, b in (("x", 100), ("y", 102), ("z", 300), ("z", 300))], "series string, run string, b long")
     got = segmentation.consensus(runs, 5).collect()
     assert [(r["b"], round(r["support"], 3)) for r in got] == [(101, 0.667)]
+    assert sorted(r["b"] for r in segmentation.consensus(runs, 5, how="union").collect()) == [101, 300]
+    assert segmentation.consensus(runs, 5, how="intersection").count() == 0
+    close = spark.createDataFrame([("a", "x", 101), ("a", "y", 102)], runs.schema)
+    assert segmentation.consensus(close, 5).first()["b"] == 102  # 101.5, to even
     merged = labels.merge_close(spark.createDataFrame([("a", b) for b in (10, 12, 30)], "series string, b long"), 5)
     assert sorted(r["b"] for r in merged.collect()) == [12, 30]
 
 
 def test_stream_buckets(spark, tmp_path):
-    rows = spark.createDataFrame([(dt.datetime(2024, 1, 1, h, m), "a", float(m)) for h in range(3) for m in (5, 15)], "ts timestamp, kind string, v double")
+    rows = spark.createDataFrame([(dt.datetime(2024, 1, 1, h, m), "a", float(m)) for h in range(9) for m in (5, 15)], "ts timestamp, kind string, v double")
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     got = []
-    incremental.each_batch(lambda df, _: got.extend(df.collect()), incremental.buckets(stream, "ts", "kind", "v"), str(tmp_path / "cp")).awaitTermination(60)
-    assert all(r["value"] == 10.0 for r in got)
+    incremental.each_batch(lambda df, _: got.extend(df.collect()), incremental.buckets(stream, "ts", "kind", "v"), str(tmp_path / "cp"), "update").awaitTermination(60)
+    assert sorted(r["date"].hour for r in got) == list(range(9)) and all(r["value"] == 10.0 for r in got)
 
 
 def test_precision_of_evaluation(spark):
@@ -129,6 +144,7 @@ def test_persistence_counts_runs_without_a_break(spark):
     breaks = spark.createDataFrame([("a", 100)], "series string, b long")
     runs = spark.createDataFrame([("a", "base", 100), ("a", "x", 140)], "series string, run string, b long")
     assert evaluation.persistence(breaks, runs, 7, 4).first()["persistence"] == 0.25
+    assert tuple(evaluation.persistence(breaks, runs, 7, 4, low=0.5).first()) == ("a", 100, 0.25, 4, True)
 
 
 def test_rates_of_all_sources(spark):
@@ -136,10 +152,10 @@ def test_rates_of_all_sources(spark):
 
     d = "/root/testdata/sf0.001"
     every = {(r["date"], r["source"]): r for r in queries.rates(spark, d).collect()}
-    assert {s for _, s in every} == set(queries.ALL_SOURCES) and len(queries.ALL_RATES) == 25
+    assert {s for _, s in every} == set(queries.SOURCES.values()) and len(queries.RATES) == 25
     got = {r["date"]: r for r in queries.QUERIES["src_rates_wide_all"](spark, d).collect()}
     assert set(got) == {m for m, _ in every}
     for (m, s), r in every.items():
         assert [got[m][f"{s}_{t}"] for t in queries.TENORS] == [r[t] for t in queries.TENORS]
     whole = {k for k, r in every.items() if None not in (r[t] for t in queries.TENORS)}
-    assert {(r["date"], r["source"]) for r in queries.QUERIES["dr_nelson_siegel_all"](spark, d).collect()} == whole
+    assert {(r["date"], r["source"]) for r in queries.QUERIES["dr_nelson_siegel"](spark, d).collect()} == whole

@@ -66,7 +66,7 @@ def test_event_lines_and_legends(spark, tmp_path):
     breaks = spark.createDataFrame([("s", 3, True), ("s", 9, False)], "series string, b long, confirmed boolean")
     sinks.write_events(breaks, "r1", f"{tmp_path}/events")
     lines = [json.loads(r["value"]) for r in spark.read.text(f"{tmp_path}/events").collect()]
-    assert sorted(x["event"] for x in lines) == ["breakpoint_confirmed", "breakpoint_rejected", "run_complete"]
+    assert sorted(x["event"] for x in lines) == ["breakpoint_confirmed", "breakpoint_rejected", "run_complete", "run_started"]
     assert [(x["n_bkpts"], x["n_invalid"]) for x in lines if x["event"] == "run_complete"] == [(1, 1)]
     runs = spark.sql("select 2 as label, date'2020-01-01' as start, date'2020-02-01' as end")
     assert labels.legends(runs).first()["legend"] == "2 from 2020-01-01 to 2020-02-01"
