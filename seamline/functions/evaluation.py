@@ -106,8 +106,8 @@ def bands(breaks: DataFrame, runs: DataFrame, tolerance: int, lengths: DataFrame
     out = breaks.select("series", "b").join(got, ["series", "b"], "left").join(lengths, "series")
     b, n = F.col("b"), F.col("n")
     none = F.col("l").isNull()  # said first, as least and greatest pass over nulls
-    lo = F.when(none, F.greatest(F.lit(1), b - tolerance)).otherwise(F.greatest(F.lit(0), F.least(F.floor("l"), b)))
-    hi = F.when(none, F.least(n - 2, b + tolerance)).otherwise(F.least(n - 1, F.greatest(F.floor("h"), b)))
+    lo = F.when(none, F.greatest(F.lit(1), b - tolerance)).otherwise(F.greatest(F.lit(0), F.least(F.floor(F.round("l", 6)), b)))
+    hi = F.when(none, F.least(n - 2, b + tolerance)).otherwise(F.least(n - 1, F.greatest(F.floor(F.round("h", 6)), b)))
     return out.select("series", "b", lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
 
 

@@ -650,7 +650,7 @@ def _lengths(spark, d) -> DataFrame:
 _RUNS = f"{DAILY}, tr as (select series, t::bigint as b from daily where t % 200 = 0 and t > 0), ru as (select series, run, b + (run - 2) * case when b % 400 = 0 then 3 else 20 end as p from tr, range(5) g(run)), nl as (select series, count(*) as n from daily group by all)"
 _BANDS = """nr as (select series, b, run, min_by(p, abs(b - p) * 1000000 + p) as p from tr join ru using (series) where abs(b - p) <= 40 group by all),
 h as (select series, b, quantile_cont(p, 0.05) as l, quantile_cont(p, 0.95) as h from nr group by all),
-bd as (select series, b, n, case when l is null then greatest(1, b - 20) else greatest(0, least(floor(l)::bigint, b)) end as lo, case when l is null then least(n - 2, b + 20) else least(n - 1, greatest(floor(h)::bigint, b)) end as hi from tr left join h using (series, b) join nl using (series))"""
+bd as (select series, b, n, case when l is null then greatest(1, b - 20) else greatest(0, least(floor(round(l, 6))::bigint, b)) end as lo, case when l is null then least(n - 2, b + 20) else least(n - 1, greatest(floor(round(h, 6))::bigint, b)) end as hi from tr left join h using (series, b) join nl using (series))"""
 
 
 @query(f"""with {_RUNS}, h as (select series, b, count(distinct run) as h from tr join ru using (series) where abs(b - p) <= 20 group by all), n as (select series, count(distinct run) as n from ru group by all)
