@@ -35,9 +35,13 @@ _heads, _tails = Bounded(50_000), Bounded(300_000)
 def tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
+
+
+@cache
+def added(path: str) -> list[str]:
+    """The tokens that the file adds to the vocabulary and that no merge makes; they are found in any text that holds them."""
+    return [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
 
 
 def _ids(path: str, texts: list[str]) -> list[bytes]:
@@ -80,8 +84,14 @@ def encode(path: str, texts: list[str]) -> list[bytes]:
     """Token ids of each text, four little-endian bytes an id.
 
     No token of a byte-level BPE crosses the start of a space before a word, or a
-    lone line break, so the text is cut there and each distinct part tokenised once.
+    lone line break, so the text is cut there and each distinct part tokenised once. A text
+    that holds one of the ``added`` tokens goes through the tokenizer whole.
     """
+    whole = [i for i, x in enumerate(texts) if any(a in x for a in added(path))]
+    if whole:
+        ids = dict(zip(whole, _ids(path, [texts[i] for i in whole]), strict=True))
+        rest = iter(encode(path, [x for i, x in enumerate(texts) if i not in ids]) if len(whole) < len(texts) else [])
+        return [ids[i] if i in ids else next(rest) for i in range(len(texts))]
     lines = [[s.split(" ") for s in x.split("\n")] for x in texts]
     heads, tails = {p[0] for s in lines for p in s}, set().union(*(p[1:] for s in lines for p in s))
     odd = [()] * len(texts)

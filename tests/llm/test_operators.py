@@ -217,7 +217,7 @@ def test_packing_tokens_and_bins(spark, odd):
     path = queries.tokenizer_path("byte_bpe_50k.json")
     t = packing.tokenizer(path)
     rng = random.Random(9)
-    noise = ["".join(rng.choices("ab .,'s!\n\t  \xa0éß1", k=rng.randint(0, 60))) for _ in range(300)] + [x or "" for x in odd]
+    noise = ["".join(rng.choices("ab .,'s!\n\t  \xa0éß1", k=rng.randint(0, 60))) for _ in range(300)] + [x or "" for x in odd] + ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\n\n<|endoftext|> y", "<|endoftext"]
     for x, ids in zip(noise, packing.encode(path, noise), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
     plain = [x for x in odd if x and not packing._ODD.search(x)]
