@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 
 from . import queries as q
 from .functions import evaluation, features, hyper, insights, labels, scores
-from .operators import detectors, frames, search, twosample
+from .operators import detectors, factors, frames, search, twosample
+from .operators import reduce as reductions
 from .plans import explain, segmentation
-from .queries import CURVES, DAILY, HOURLY, ORACLE, RATES, SOURCES, TENORS, WIDE, daily, hourly, load, query, r6, rates, wide
+from .queries import CURVES, DAILY, HOURLY, ORACLE, RATES, SOURCES, TENORS, WIDE, curves, daily, hourly, load, query, r6, rates, wide
 from .sources import panels, sinks
 from .streaming import incremental
 
@@ -112,6 +113,16 @@ def krn_median(spark, d):
     return twosample.median_gammas(rates(spark, d).na.drop(subset=TENORS), ["source"], TENORS).withColumn("gamma", F.round("gamma", 8))
 
 
+@query()
+def krn_nystroem(spark, d):
+    return factors.feature_map(q.stored(spark, d), RATES, "nystroem", n=40, gamma=1e-4)
+
+
+@query()
+def dr_fpca(spark, d):
+    return q.by_source(reductions.functional_components(curves(spark, d), TENORS, 2))
+
+
 @query(f"with {DAILY}, x as (select series, date, t, round(value - lag(value) over (partition by series order by t), 6) as value from daily) select * from x where value is not null")
 def krn_differences(spark, d):
     return twosample.differences(daily(spark, d)).select("series", "date", "t", r6("value").alias("value"))

@@ -13,12 +13,20 @@ from pyspark.sql.window import Window
 from ..functions.features import ewma, filled, rolling
 
 
+def by_first(labels: DataFrame, order: str) -> DataFrame:
+    """Labels numbered by their first row in ``order``, over the whole table; labels are few."""
+    first = labels.groupBy(F.col("label").alias("_old")).agg(F.min(order).alias("_first"))
+    named = first.select("_old", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("_first", "_old")) - 1).alias("_new"))
+    return labels.join(named, labels["label"] == named["_old"]).withColumn("label", F.col("_new")).drop("_old", "_new")
+
+
 def cluster(panel: DataFrame, columns: list[str], k: int = 3, method: str = "kmeans", seed: int = 42) -> DataFrame:
-    """Clusters of the standardised rows by k-means or a Gaussian mixture."""
+    """Clusters of the standardised rows by k-means or a Gaussian mixture, numbered by their first date if the panel has one."""
     v = VectorAssembler(inputCols=columns, outputCol="_v").transform(panel)
     v = StandardScaler(withMean=True, inputCol="_v", outputCol="features").fit(v).transform(v)
     model = (KMeans if method == "kmeans" else GaussianMixture)(k=k, seed=seed).fit(v)
-    return model.transform(v).select(*panel.columns, F.col("prediction").alias("label"))
+    out = model.transform(v).select(*panel.columns, F.col("prediction").alias("label"))
+    return by_first(out, "date") if "date" in panel.columns else out
 
 
 def covariance_regimes(wide: DataFrame, columns: list[str], window: int = 40, k: int = 2, least: int = 10, seed: int = 42) -> DataFrame:

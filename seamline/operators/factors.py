@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .reduce import fourier_map, rank_for
+
 
 def gram(panel: DataFrame, columns: list[str], of: Callable[[np.ndarray], np.ndarray] = np.asarray) -> tuple[int, np.ndarray, np.ndarray]:
     """Rows, column sums and Gram matrix of ``of(rows)``, summed in each task and then by entry."""
@@ -174,8 +176,17 @@ def robust_components(panel: DataFrame, columns: list[str], rounds: int = 40, to
 
 
 def kernel(x: np.ndarray, z: np.ndarray, kind: str = "rbf", gamma: float = 1.0, degree: int = 3, constant: float = 1.0) -> np.ndarray:
+    """Kernel of every row of ``x`` with every row of ``z``; the two chi-square kernels are for columns that are not negative."""
     if kind == "rbf":
         return np.exp(-gamma * np.maximum(0, (x * x).sum(axis=1)[:, None] + (z * z).sum(axis=1) - 2 * x @ z.T))
+    if kind == "laplacian":
+        return np.exp(-gamma * np.abs(x[:, None] - z).sum(axis=2))
+    if kind in ("chi2", "additive_chi2"):
+        if (x < 0).any() or (z < 0).any():
+            raise ValueError("a chi-square kernel needs columns that are not negative")
+        total = x[:, None] + z
+        gap = -((x[:, None] - z) ** 2 / np.where(total == 0, 1, total)).sum(axis=2)
+        return np.exp(gamma * gap) if kind == "chi2" else gap
     if kind == "cosine":
         length = lambda a: np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
         return (x / length(x)) @ (z / length(z)).T
@@ -186,7 +197,32 @@ def kernel(x: np.ndarray, z: np.ndarray, kind: str = "rbf", gamma: float = 1.0,
         return (gamma * dot + constant) ** degree
     if kind == "sigmoid":
         return np.tanh(gamma * dot + constant)
-    raise ValueError(kind)
+    raise ValueError(f"unknown kernel {kind!r}")
+
+
+def nystroem_map(panel: DataFrame, columns: list[str], n: int = 50, kind: str = "rbf", key: str = "date", **how) -> DataFrame:
+    """(key, z): features whose products approach the kernel, from ``n`` rows picked by a hash of ``key``; as many features as directions they span."""
+    picked = panel.orderBy(F.xxhash64(key), *columns).limit(n).select(*columns).collect()
+    z = np.array(picked, float)
+    u, s, v = np.linalg.svd(kernel(z, z, kind, **how))
+    root = (u / np.sqrt(np.maximum(s, 1e-12))) @ v
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf[key], "z": list(kernel(pdf[columns].to_numpy(float), z, kind, **how) @ root.T)})
+
+    return panel.select(key, *columns).mapInPandas(run, f"{key} {panel.schema[key].dataType.simpleString()}, z array<double>")
+
+
+def feature_map(panel: DataFrame, columns: list[str], to: str = "raw", **how) -> DataFrame:
+    """(date, z) by a named map: ``raw`` columns, ``rff`` (or ``inv_rff``) random Fourier features, ``nystroem``."""
+    if to == "raw":
+        return panel.select("date", F.array(*(F.col(c).cast("double") for c in columns)).alias("z"))
+    if to in ("rff", "inv_rff"):
+        return fourier_map(panel, columns, **how)
+    if to == "nystroem":
+        return nystroem_map(panel, columns, **how)
+    raise ValueError(f"unknown map {to!r}")
 
 
 def kernel_components(panel: DataFrame, columns: list[str], k: int, kind: str = "rbf", landmarks: int = 100, key: str = "date", **how) -> DataFrame:
@@ -219,11 +255,16 @@ def kernel_components(panel: DataFrame, columns: list[str], k: int, kind: str =
     return panel.mapInPandas(run, ", ".join([kinds, *(f"{c} double" for c in names)]))
 
 
-def modes(x: np.ndarray, rank: int) -> list[np.ndarray]:
-    """Real and imaginary parts of the eigenvalues, log amplitudes and singular values of one window's dynamics, padded with zeros."""
+def modes(x: np.ndarray, rank: int, rule: str | None = None, threshold: float = 0.95) -> list[np.ndarray]:
+    """Real and imaginary parts of the eigenvalues, log amplitudes and singular values of one window's dynamics, padded with zeros.
+
+    At most ``rank`` modes; a ``rule`` of ``rank_for`` may leave fewer of them.
+    """
     before, after = x[:-1].T, x[1:].T
     u, s, v = np.linalg.svd(before, full_matrices=False)
     r = max(1, min(rank, int((s > 1e-10 * max(s[0], 1e-300)).sum())))
+    if rule and s[0] > 0:
+        r = min(r, rank_for(s * s, threshold, rule))
     u, sr, v = u[:, :r], s[:r], v[:r]
     step = u.T @ after @ v.T / np.maximum(sr, 1e-300)
     values, vectors = np.linalg.eig(step)
@@ -233,7 +274,7 @@ def modes(x: np.ndarray, rank: int) -> list[np.ndarray]:
     return [pad(values.real[order]), pad(values.imag[order]), pad(np.log1p(amplitude[order])), pad(sr)]
 
 
-def dynamic_modes(panel: DataFrame, columns: list[str], width: int, stride: int, rank: int, index: str = "t") -> DataFrame:
+def dynamic_modes(panel: DataFrame, columns: list[str], width: int, stride: int, rank: int, index: str = "t", rule: str | None = None, threshold: float = 0.95) -> DataFrame:
     """(window, start, re, im, amplitude, sigma) of each window of ``width`` steps that begins at a multiple of ``stride``.
 
     ``index`` numbers the steps from 0. Windows that lack a step are left out. A row goes to the few windows that hold it, and
@@ -248,7 +289,7 @@ def dynamic_modes(panel: DataFrame, columns: list[str], width: int, stride: int,
         pdf = pdf.sort_values("_t")
         if pdf["_t"].nunique() != width or len(pdf) != width:
             return pd.DataFrame(columns=["window", "start", "re", "im", "amplitude", "sigma"])
-        got = modes(pdf[columns].to_numpy(float), rank)
+        got = modes(pdf[columns].to_numpy(float), rank, rule, threshold)
         return pd.DataFrame([[int(pdf["window"].iat[0]), int(pdf["_t"].iat[0]), *map(list, got)]], columns=["window", "start", "re", "im", "amplitude", "sigma"])
 
     return held.groupBy("window").applyInPandas(run, "window long, start long, re array<double>, im array<double>, amplitude array<double>, sigma array<double>")

@@ -82,6 +82,11 @@ def smooth_across(columns: list[str], width: int = 3) -> dict:
     return {c: sum((pick(i + k) for k in range(-h, h + 1)), F.lit(0.0)) / (2 * h + 1) for i, c in enumerate(columns)}
 
 
+def functional_components(panel: DataFrame, columns: list[str], k: int, width: int = 3) -> DataFrame:
+    """Principal components of curves smoothed along their columns."""
+    return principal_components(panel.withColumns(smooth_across(columns, width)), columns, k)
+
+
 def random_features(x: np.ndarray, n: int, gamma: float, seed: int = 0) -> np.ndarray:
     rng = np.random.default_rng(seed)
     return np.sqrt(2 / n) * np.cos(x @ rng.normal(0, np.sqrt(2 * gamma), (x.shape[1], n)) + rng.uniform(0, 2 * np.pi, n))

@@ -99,3 +99,24 @@ def test_matching_is_optimal(spark):
         small, large = sorted((a, b), key=len)
         best = min((sum(abs(x - y) for x, y in zip(small, other, strict=True)) for other in itertools.permutations(large, len(small))), default=0)
         assert len(got) == min(n, m) and sum(r["distance"] for r in got) == best
+
+
+@pytest.mark.parametrize("kind", ["rbf", "laplacian", "chi2", "linear"])
+def test_nystroem_features_give_back_the_kernel(spark, kind):
+    x = np.abs(np.random.default_rng(7).normal(size=(30, 3)))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "date int, a double, b double, c double")
+    got = factors.feature_map(df, ["a", "b", "c"], "nystroem", n=30, kind=kind, gamma=0.5).orderBy("date").collect()
+    z = np.array([r["z"] for r in got])
+    assert np.allclose(z @ z.T, factors.kernel(x, x, kind, 0.5), atol=1e-5)
+    assert factors.feature_map(df, ["a", "b", "c"]).first()["z"] == list(x[0])
+    with pytest.raises(ValueError):
+        factors.feature_map(df, ["a"], "other")
+    with pytest.raises(ValueError):
+        factors.kernel(-x, x, "chi2")
+
+
+def test_modes_by_rule():
+    t = np.arange(24)
+    x = np.stack([np.cos(0.4 * t), np.sin(0.4 * t), 1e-3 * np.cos(1.1 * t)], axis=1)
+    re, _, _, sigma = factors.modes(x, 3, "explained", 0.99)
+    assert (sigma[:2] > 0).all() and sigma[2] == 0 and re[0] == pytest.approx(np.cos(0.4), abs=1e-2)
