@@ -109,13 +109,17 @@ class Bounded(dict):
         super().__init__()
         self.most, self.chars, self.held = most, chars, 0
 
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
     def need(self, keys: Iterable, fill: Callable[[list], Iterable]) -> None:
         new = list(filterfalse(self.__contains__, keys))
         more = sum(map(len, new))
         if self and (len(self) + len(new) > self.most or self.held + more > self.chars):
             self.clear()
             new = list(keys)
-            self.held, more = 0, sum(map(len, new))
+            more = sum(map(len, new))
         if new:
             self.update(zip(new, fill(new), strict=True))
             self.held += more

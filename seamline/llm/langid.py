@@ -39,7 +39,7 @@ def _logs(counts: np.ndarray) -> np.ndarray:
     return np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * (len(counts) + 1)))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 4_000, longest: int = 5) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 2_500, longest: int = 5) -> Model:
     """Learn from about ``max_docs`` documents (a hash of the id picks them), all of their words.
 
     Rows with a null language or text teach nothing; without any row the model knows no language.

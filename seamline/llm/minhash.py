@@ -141,6 +141,7 @@ def _signed(bands: int, rows: int, width: int):
             got = [known.get(x) for x in same]
             own = pa.array([x and np.frombuffer(x[0], np.int64) for x in got], pa.list_(pa.int64())), pa.array([x and x[1] for x in got], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("same"), *own], ["id", "same", "bands", "sketch"])
+        _words.clear()  # the worker lives on
 
     return run
 
