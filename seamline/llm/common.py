@@ -103,7 +103,7 @@ def sampled(rows: DataFrame, key: Column, most: int) -> DataFrame:
 
 
 class Bounded(dict):
-    """A cache for one worker: ``fill`` computes what is missing, all of it goes when ``most`` keys or ``chars`` characters of keys are passed."""
+    """A cache for one worker: ``fill`` computes what is missing. When ``most`` keys or ``chars`` characters of keys are passed, all go but those asked for."""
 
     def __init__(self, most: int = 400_000, chars: int = 16_000_000):
         super().__init__()
@@ -117,9 +117,10 @@ class Bounded(dict):
         new = list(filterfalse(self.__contains__, keys))
         more = sum(map(len, new))
         if self and (len(self) + len(new) > self.most or self.held + more > self.chars):
+            known = {k: self[k] for k in keys if k in self}
             self.clear()
-            new = list(keys)
-            more = sum(map(len, new))
+            self.update(known)
+            self.held = sum(map(len, known))
         if new:
             self.update(zip(new, fill(new), strict=True))
             self.held += more
