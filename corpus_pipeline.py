@@ -34,7 +34,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in sequences of 1024 tokens."""
-    pieces = packing.pieces(docs, queries.tokenizer_path("byte_bpe_50k.json"))
+    # few words are kept, as the workers still hold what earlier stages left
+    pieces = packing.pieces(docs, queries.tokenizer_path("byte_bpe_50k.json"), words=250_000)
     return packing.pack(pieces).withColumnRenamed("id", "doc_id")
 
 

@@ -10,8 +10,9 @@ if too many are open, the fullest closes first.
 from __future__ import annotations
 
 import re
-import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -28,7 +29,7 @@ SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2000))) + "-" + "".join(m
 _ODD = re.compile(r"\s\s| \Z")
 _PAIR = re.compile(r"\s\s")
 _CHUNK = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-_heads, _tails = Bounded(50_000), Bounded(300_000)
+_heads, _tails = Bounded(), Bounded()
 
 
 @cache
@@ -50,7 +51,10 @@ def _ids(path: str, texts: list[str]) -> list[bytes]:
 
 
 def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    data = array("I", ids)
+    if sys.byteorder == "big":
+        data.byteswap()
+    return data.tobytes()
 
 
 def _byte_signs() -> dict[int, str]:
@@ -70,10 +74,15 @@ def _word_ids(path: str, words: list[str]) -> list[bytes]:
     stops = {x: _packed([y.id for y in merge(x)]) for x in ".,;:!?"} | {"": b""}
     out = []
     for w in words:
-        if found := _LETTERS.fullmatch(w):
-            letters, stop = found.groups()
-            signs = space + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(_SIGNS))
-            out.append(_packed([x.id for x in merge(signs)]) + stops[stop])
+        if w.isascii():
+            body, stop = (w, "") if w.isalpha() else (w[:-1], w[-1:])
+            if stop in stops and body.isalpha():
+                out.append(_packed([x.id for x in merge(space + body)]) + stops[stop])
+            else:
+                out.append(None)
+        elif found := _LETTERS.fullmatch(w):
+            body, stop = found.groups()
+            out.append(_packed([x.id for x in merge(space + body.encode().decode("latin-1").translate(_SIGNS))]) + stops[stop])
         else:
             out.append(None)
     other = iter(_ids(path, [" " + w for w, x in zip(words, out, strict=True) if x is None]))
@@ -110,15 +119,17 @@ def encode(path: str, texts: list[str]) -> list[bytes]:
     return out
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, end_id: int = 2) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, end_id: int = 2, words: int = 1_000_000) -> DataFrame:
     """(id, piece, start, length, ids_crc32) of each document's pieces; the first is the shorter one.
 
-    A null text is an empty one: its end id alone. Repeated rows and ids each give their own pieces.
+    A null text is an empty one: its end id alone. Repeated rows and ids each give their own pieces. A worker
+    keeps the ids of up to ``words`` distinct words, some 200 bytes each: fewer take less memory, and more words are tokenised again.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _heads.most, _tails.most = words // 5, words
         for pdf in batches:
             keys, texts = pdf["id"].to_numpy(), [x or "" for x in pdf["text"].tolist()]
             for i, j in blocks(texts):
