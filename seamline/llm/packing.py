@@ -9,7 +9,6 @@ if too many are open, the fullest closes first.
 
 from __future__ import annotations
 
-import gc
 import re
 import sys
 import zlib
@@ -131,22 +130,18 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _heads.most, _tails.most = words // 5, words
-        gc.disable()  # a block's many lists hold no cycles, and looking for some takes a twentieth of the time
-        try:
-            for pdf in batches:
-                keys, texts = pdf["id"].to_numpy(), [x or "" for x in pdf["text"].tolist()]
-                for i, j in blocks(texts):
-                    rows = []
-                    for key, ids in zip(keys[i:j], encode(tokenizer_path, texts[i:j]), strict=True):
-                        ids += end
-                        n = len(ids) // 4
-                        first = (n - 1) % size + 1
-                        for k, start in enumerate([0, *range(first, n, size)]):
-                            stop = first if k == 0 else start + size
-                            rows.append((key, k, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])))
-                    yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
-        finally:
-            gc.enable()
+        for pdf in batches:
+            keys, texts = pdf["id"].to_numpy(), [x or "" for x in pdf["text"].tolist()]
+            for i, j in blocks(texts):
+                rows = []
+                for key, ids in zip(keys[i:j], encode(tokenizer_path, texts[i:j]), strict=True):
+                    ids += end
+                    n = len(ids) // 4
+                    first = (n - 1) % size + 1
+                    for k, start in enumerate([0, *range(first, n, size)]):
+                        stop = first if k == 0 else start + size
+                        rows.append((key, k, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])))
+                yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
 
     return bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
