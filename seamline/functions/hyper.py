@@ -37,7 +37,7 @@ def widest_lag(components: DataFrame, breaks: DataFrame, **knobs) -> DataFrame:
 
 
 def sample_size(width: int, samples: int | None = None, share: float | None = None, least: int = 50) -> int:
-    """Rows compared around a break, both sides together: a number, or a share of both windows with a lower bound; never more than both windows."""
+    """Rows compared on each side of a break, as far as its window holds them: a number, or a share of both windows with a lower bound; never more than both windows."""
     if samples is None and share is None:
         raise KeyError("a number of samples or a share is needed")
     if samples is not None:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.features import ewma, filled, rolling
+from . import chains, volatility
 
 
 def by_first(labels: DataFrame, order: str) -> DataFrame:
@@ -36,72 +37,6 @@ def covariance_regimes(wide: DataFrame, columns: list[str], window: int = 40, k:
     return smoothed(cluster(c, names, k, seed=seed).select("series", "t", "label"), least)
 
 
-def gaussian_hmm(x: np.ndarray, states: int = 3, rounds: int = 30, seed: int = 0, floor: float = 1e-2) -> np.ndarray:
-    """Most likely path of a hidden Markov model with diagonal Gaussian states, fitted by Baum and Welch."""
-    n, p = x.shape
-    x = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-12)
-    order = np.argsort(x[:, 0])
-    resp = np.zeros((n, states))
-    resp[order, np.minimum(np.arange(n) * states // max(n, 1), states - 1)] = 1
-    trans, start = np.full((states, states), 0.1 / max(1, states - 1)), np.full(states, 1 / states)
-    np.fill_diagonal(trans, 0.9)
-    for _ in range(rounds):
-        w = resp.sum(axis=0)[:, None] + 1e-9
-        mean = resp.T @ x / w
-        var = np.maximum(floor, resp.T @ (x * x) / w - mean**2)
-        logs = -0.5 * (((x[:, None] - mean) ** 2) / var + np.log(2 * np.pi * var)).sum(axis=2)
-        like = np.exp(logs - logs.max(axis=1, keepdims=True))
-        fwd, bwd = np.zeros((n, states)), np.ones((n, states))
-        fwd[0] = start * like[0]
-        fwd[0] /= fwd[0].sum()
-        for t in range(1, n):
-            fwd[t] = fwd[t - 1] @ trans * like[t]
-            fwd[t] /= fwd[t].sum() + 1e-300
-        for t in range(n - 2, -1, -1):
-            bwd[t] = trans @ (like[t + 1] * bwd[t + 1])
-            bwd[t] /= bwd[t].sum() + 1e-300
-        resp = fwd * bwd
-        resp /= resp.sum(axis=1, keepdims=True) + 1e-300
-        flow = trans * (fwd[:-1].T @ (like[1:] * bwd[1:] / ((fwd[:-1] @ trans * like[1:] * bwd[1:]).sum(axis=1, keepdims=True) + 1e-300)))
-        trans = (flow + 1e-6) / (flow + 1e-6).sum(axis=1, keepdims=True)
-        start = resp[0] + 1e-9
-        start /= start.sum()
-    score, back = np.log(start) + logs[0], np.zeros((n, states), int)
-    for t in range(1, n):
-        step = score[:, None] + np.log(trans)
-        back[t] = step.argmax(axis=0)
-        score = step.max(axis=0) + logs[t]
-    path = np.zeros(n, int)
-    path[-1] = score.argmax()
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
-
-
-def jump_model(x: np.ndarray, states: int = 3, penalty: float = 5.0, rounds: int = 20) -> np.ndarray:
-    """Assign rows to means at a price for each jump; assignment and means take turns."""
-    n = len(x)
-    x = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-12)
-    path = np.minimum(np.argsort(np.argsort(x[:, 0])) * states // max(n, 1), states - 1)
-    for _ in range(rounds):
-        centre = np.array([x[path == s].mean(axis=0) if (path == s).any() else x[(s * n) // states] for s in range(states)])
-        cost = ((x[:, None] - centre) ** 2).sum(axis=2)
-        total, back = cost[0].copy(), np.zeros((n, states), int)
-        for t in range(1, n):
-            away = int(total.argmin())
-            jump = total[away] + penalty < total
-            back[t] = np.where(jump, away, np.arange(states))
-            total = np.where(jump, total[away] + penalty, total) + cost[t]
-        new = np.zeros(n, int)
-        new[-1] = total.argmin()
-        for t in range(n - 1, 0, -1):
-            new[t - 1] = back[t, new[t]]
-        if (new == path).all():
-            break
-        path = new
-    return path
-
-
 def dwell(labels: np.ndarray, least: int) -> np.ndarray:
     """Give short runs away: from the left, a run of fewer than ``least`` rows joins the label to both its sides, or the one it has at an end.
 
@@ -121,43 +56,16 @@ def dwell(labels: np.ndarray, least: int) -> np.ndarray:
     return np.repeat([x for x, _ in out], [n for _, n in out]) if out else labels
 
 
-def garch_volatility(x: np.ndarray, alpha: float = 0.1, beta: float = 0.85) -> np.ndarray:
-    """Conditional deviation of the differences, variance-targeted."""
-    r = np.diff(x, prepend=x[:1])
-    mean = float(r.var()) + 1e-12
-    v = np.empty(len(r))
-    v[0] = mean
-    for t in range(1, len(r)):
-        v[t] = mean * (1 - alpha - beta) + alpha * r[t - 1] ** 2 + beta * v[t - 1]
-    return np.sqrt(v)
-
-
-def garch_regimes(x: np.ndarray, states: int = 2, least: int = 5) -> np.ndarray:
-    s = np.log(garch_volatility(x[:, 0]))
-    return dwell(np.digitize(s, np.quantile(s, np.arange(1, states) / states)), least)
-
-
-def ms_var(x: np.ndarray, states: int = 2, lags: int = 1, least: int = 5) -> np.ndarray:
-    """A hidden Markov model of rows stacked with their lags."""
-    stack = np.hstack([x[lags - k : len(x) - k] for k in range(lags + 1)])
-    path = gaussian_hmm(stack, states)
-    return dwell(np.concatenate([np.repeat(path[:1], lags), path]), least)
-
-
-KERNELS = {"hmm": gaussian_hmm, "jump": jump_model, "garch": garch_regimes, "ms_var": ms_var}
+#: Detectors by chains over blocks of rows (``chains``, ``volatility``).
+CHAINED = {"hmm": chains.hmm_labels, "jump": chains.jump_model, "ms_var": chains.switching_autoregression, "garch": lambda p, c, **k: volatility.garch_regimes(p, c[0], **k), "msar": lambda p, c, **k: chains.switching_regression(p, c[0], **k)}
 
 
 def detect(panel: DataFrame, method: str, columns: list[str] | None = None, **knobs) -> DataFrame:
-    kernel, columns = KERNELS[method], columns or ["value"]
-    kind = panel.schema["date"].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        x = pdf[columns].to_numpy(float)
-        labels = kernel(x, **knobs) if len(pdf) > 3 else np.zeros(len(pdf), int)
-        return pdf[["series", "t", "date"]].assign(label=np.unique(labels, return_inverse=True)[1])
-
-    return panel.select("series", "t", "date", *columns).groupBy("series").applyInPandas(run, f"series string, t int, date {kind}, label int")
+    """(series, t, date, label) by a named detector: ``hmm``, ``jump``, ``ms_var``; ``garch`` and ``msar`` look at the first column. The panel's date is kept if it has one."""
+    if method not in CHAINED:
+        raise ValueError(f"unknown detector {method!r}")
+    told = CHAINED[method](panel, columns or ["value"], **knobs).select("series", F.col("t").cast(panel.schema["t"].dataType).alias("t"), "label")
+    return panel.select("series", "t", *(c for c in panel.columns if c == "date")).join(told, ["series", "t"])
 
 
 def smoothed(labels: DataFrame, least: int) -> DataFrame:

@@ -448,10 +448,10 @@ def det_gaussian_mixture(spark, d):
     return by_source(detectors.cluster(curves(spark, d), TENORS, 2, "gmm"))
 
 
-for _name in detectors.KERNELS:
+for _name in detectors.CHAINED:
 
     def _run_detector(spark, d, name=_name):
-        return detectors.detect(hourly(spark, d), name)
+        return detectors.detect(hourly(spark, d), name, **({"rounds": 15} if name in ("hmm", "ms_var", "msar") else {}))
 
     QUERIES[f"det_{_name}"] = _run_detector
 
@@ -806,7 +806,7 @@ for _name, _f in (
 
 
 def _found(spark, d) -> DataFrame:
-    return search.breaks(daily(spark, d), "pelt")
+    return search.candidates(daily(spark, d), "pelt")
 
 
 @query()
@@ -902,12 +902,6 @@ def krn_bandwidths_all(spark, d):
     return _bandwidths(_long_rates(spark, d))
 
 
-#: Names under which queries over all five sources stood beside those over two; now these take all five themselves.
-for _name in ("fea_expression", "dr_nelson_siegel", "dr_diebold_li", "dr_fpca_smooth", "dr_pca", "dr_ica", "dr_sparse_pca", "dr_robust_pca", "dr_kernel_pca", "dr_dmd", "dr_centre_distances", "dr_responsibilities", "krn_fourier", "det_kmeans", "det_gaussian_mixture", "det_rolling_correlations", "exp_tree", "ens_without_groups"):
-    QUERIES[f"{_name}_all"] = QUERIES[_name]
-    if _name in ORACLE:
-        ORACLE[f"{_name}_all"] = ORACLE[_name]
-
 FLAGSHIP = plan_segment
 
-from . import more  # noqa: E402, F401  registers further queries
+from . import more, regimes  # noqa: E402, F401  register further queries
