@@ -5,8 +5,8 @@ projected to a few dimensions by Gaussian (2-stable) weights. For two vectors at
 the squared projected distance over s^2 follows a chi-square law. The upper part of a kd-tree over the
 projections, fitted on a bounded sample, deals all vectors to cells; the lower part is built
 within each cell. A query looks in its own cell first, then in the cells that could hold
-a nearer vector. There its projected neighbours come leaf by leaf, the nearest leaf first, and are
-verified on the original vectors; the search ends once a vector nearer than the k-th best so
+a nearer vector. There the nearest leaf is verified on the original vectors, then its projected neighbours one after
+the other, the nearest first; the search ends once a vector nearer than the k-th best so
 far would, with the given confidence, have shown up already.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from .common import Scratch, cut, sampled
 
-DIMS, LEAF = 8, 64
+DIMS, LEAF = 24, 64
 #: Vectors in a cell or a block of it, queries that meet it at once, vectors that the cells are fitted on.
 CELL, ASKED, SAMPLE = 16_384, 16_384, 20_000
 
@@ -113,33 +113,43 @@ class Block:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, points: np.ndarray, confidence: float):
         self.tree, self.enough = KdTree(points), chi2_quantile(confidence, points.shape[1])
-        self.ids, self.vectors = ids[self.tree.order], vectors[self.tree.order]
+        self.ids, self.vectors, self.points = ids[self.tree.order], vectors[self.tree.order], points[self.tree.order]
+        self.verified = 0
         self.norms = np.sqrt((self.vectors * self.vectors).sum(axis=1))
         self.unit = self.vectors / self.norms[:, None]
 
     def nearest(self, qid: int, q: np.ndarray, p: np.ndarray, k: int, worst: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids and cosines of the k nearest found, none of them below ``worst``; rows of the query's own id are passed over."""
-        gaps = self.tree.gaps(p)
-        order, norm = np.argsort(gaps, kind="stable"), float(np.sqrt((q * q).sum()))
+        gaps, norm = self.tree.gaps(p), float(np.sqrt((q * q).sum()))
         unit, edges, slack = q / norm, self.tree.edges, 1e-9
-        rows, found, at, step = np.zeros(0, int), np.zeros(0), 0, 4
-        while at < len(order):
-            # beyond this gap a vector nearer than the k-th best would have shown up already
-            near = order[at : at + step]
-            near = near[gaps[near] <= self.enough * max(0.0, 2 - 2 * worst) + 1e-12]
-            if not len(near):
-                break
-            fresh = np.concatenate([np.arange(edges[i], edges[i + 1]) for i in near])
+        rows, found = np.zeros(0, int), np.zeros(0)
+
+        def verify(fresh: np.ndarray) -> None:
+            nonlocal rows, found, worst
             c = self.unit[fresh] @ unit
             some = (c >= worst - slack) & (self.ids[fresh] != qid)
             rows, found = np.concatenate([rows, fresh[some]]), np.concatenate([found, c[some]])
-            if len(found) > k:
+            if len(found) >= k:
                 worst = max(worst, float(np.partition(found, -k)[-k]))
                 some = found >= worst - slack
                 rows, found = rows[some], found[some]
-            elif len(found) == k:
-                worst = max(worst, float(found.min()))
-            at, step = at + step, 2 * step
+            self.verified += len(fresh)
+
+        # beyond this gap a vector nearer than the k-th best would have shown up already
+        limit = lambda: self.enough * max(0.0, 2 - 2 * worst) + 1e-12
+        first = int(gaps.argmin())
+        verify(np.arange(edges[first], edges[first + 1]))
+        near = np.flatnonzero(gaps <= limit())
+        near = np.concatenate([np.arange(edges[i], edges[i + 1]) for i in near[near != first]] or [np.zeros(0, int)])
+        far = ((self.points[near] - p) ** 2).sum(axis=1)
+        order, at, step = np.argsort(far, kind="stable"), 0, 64
+        while at < len(order):
+            fresh = order[at : at + step]
+            fresh = fresh[far[fresh] <= limit()]
+            if not len(fresh):
+                break
+            verify(near[fresh])
+            at, step = at + step, min(2 * step, 512)
         exact = cosines(self.vectors[rows], self.norms[rows], q, norm)
         best = np.lexsort((self.ids[rows], -exact))[:k]
         return self.ids[rows][best], exact[best]
@@ -151,7 +161,7 @@ def usable(vector: Column) -> Column:
     return F.coalesce(~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", confidence: float = 0.98, cell: int = CELL, asked: int = ASKED, sample: int = SAMPLE) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", confidence: float = 0.95, cell: int = CELL, asked: int = ASKED, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, id, score): the k rows nearest to each query by cosine, ties to the smaller id.
 
     The cells are fitted on about ``sample`` vectors and hold about ``cell`` each; fuller ones are cut
@@ -189,8 +199,10 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_
 
         return df.mapInPandas(run, f"id long, v {kind}, n int, p array<double>, cell int")
 
-    ids = Window.partitionBy("v").orderBy("id")
-    rows = keep(placed(rows.withColumn("nth", F.dense_rank().over(ids)).where(F.col("nth") <= k + 1).drop("nth")), "rows")
+    # first within small parts of the rows of a vector, as one vector may be that of many rows
+    for by in (["v", F.pmod(F.xxhash64("id"), F.lit(256))], ["v"]):
+        rows = rows.withColumn("nth", F.dense_rank().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("nth") <= k + 1).drop("nth")
+    rows = keep(placed(rows), "rows")
     queries = keep(placed(queries.dropDuplicates(["id", "v"])).withColumn("own", F.xxhash64("v")), "queries")
     sides = [f(F.col("p")[i]).alias(f"{name}_{i}") for i in range(DIMS) for name, f in (("low", F.min), ("high", F.max))]
     boxes = keep(rows.groupBy("n", "cell").agg(F.ceil(F.count(F.lit(1)) / cell).alias("blocks"), *sides), "boxes")
