@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from .common import Scratch, cut, sampled
 
-DIMS, LEAF = 24, 64
+DIMS, LEAF = 48, 64
 #: Vectors in a cell or a block of it, queries that meet it at once, vectors that the cells are fitted on.
 CELL, ASKED, SAMPLE = 16_384, 16_384, 20_000
 
@@ -161,7 +161,7 @@ def usable(vector: Column) -> Column:
     return F.coalesce(~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", confidence: float = 0.95, cell: int = CELL, asked: int = ASKED, sample: int = SAMPLE) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", confidence: float = 0.99, cell: int = CELL, asked: int = ASKED, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, id, score): the k rows nearest to each query by cosine, ties to the smaller id.
 
     The cells are fitted on about ``sample`` vectors and hold about ``cell`` each; fuller ones are cut
