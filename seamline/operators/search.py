@@ -270,37 +270,16 @@ def bottom_up(x: np.ndarray, n_breaks: int = 3, step: int = 5) -> list[int]:
     return edges[1:-1]
 
 
-def online_bayes(x: np.ndarray, hazard: float = 0.01, threshold: float = 0.4, min_size: int = 10, drop: float = 1e-12) -> list[int]:
-    """Run lengths under Gaussian margins with normal-inverse-gamma priors; a break where the run length 0 has ``threshold`` of the mass.
-
-    A change is weighed by the prior's own prediction of the row, so only rows that fit no running segment raise it. Each row is scaled by the rows
-    before it alone. Run lengths with less than ``drop`` of the mass are forgotten.
-    """
-    p, out, last = x.shape[1], [], 0
-    centre, scale = x[0].astype(float), np.ones(p)
-    post = np.ones(1)
-    mu, kappa, alpha, beta = np.zeros((1, p)), np.ones((1, 1)), np.ones((1, 1)), np.ones((1, p))
-    for t, raw in enumerate(x):
-        if t == min_size:  # the first rows give the unit
-            centre, scale = x[:t].mean(axis=0), x[:t].std(axis=0) + 1e-12
-        row = (raw - centre) / scale
-        if t < min_size:
-            continue
-        var = beta * (kappa + 1) / (alpha * kappa)
-        like = np.exp((-0.5 * np.log(2 * np.pi * var) - (row - mu) ** 2 / (2 * var)).sum(axis=1))
-        prior = float(np.exp((-0.5 * np.log(4 * np.pi) - row**2 / 4).sum()))
-        grow, change = post * like * (1 - hazard), prior * hazard
-        post = np.concatenate([[change], grow])
-        post /= post.sum() + 1e-300
-        new = beta + kappa * (row - mu) ** 2 / (2 * (kappa + 1))
-        mu, beta = np.vstack([np.zeros((1, p)), (kappa * mu + row) / (kappa + 1)]), np.vstack([np.ones((1, p)), new])
-        kappa, alpha = np.vstack([[[1.0]], kappa + 1]), np.vstack([[[1.0]], alpha + 0.5])
-        if post[0] >= threshold and t - last >= min_size:
+def online_bayes(x: np.ndarray, hazard: float = 0.01, threshold: float = 0.5, min_size: int = 10, most: int = 250) -> list[int]:
+    """Rows that begin a new run with a probability of ``threshold`` or more (``streaming.stateful.RunLengths``), ``min_size`` rows apart and from both ends."""
+    from ..streaming.stateful import RunLengths
+
+    runs, out, n = RunLengths(x.shape[1], hazard, most), [], len(x)
+    for t, row in enumerate(x if n >= 2 * min_size else []):
+        p = runs.update(np.asarray(row, float))
+        if min_size <= t < n - min_size and p >= threshold and t - (out[-1] if out else -min_size) >= min_size:
             out.append(t)
-            last = t
-        keep = post >= drop
-        post, mu, beta, kappa, alpha = post[keep], mu[keep], beta[keep], kappa[keep], alpha[keep]
-    return [b for b in out if 0 < b < len(x)]
+    return out
 
 
 KERNELS = {"bottomup": bottom_up, "bocpd": online_bayes}

@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import database
+
 
 def read(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:
-    """A wide panel from ``parquet``, ``csv`` or ``jdbc``, or the rows of an ``sql`` text over views; its time column becomes ``date``.
+    """A wide panel from ``parquet``, ``csv``, ``jdbc`` or a ``database`` file (``database.scan``), or the rows of an ``sql`` text over views; its time column becomes ``date``.
 
     ``date_column`` names it, ``start`` and ``end`` are inclusive, ``columns`` projects, a ``label`` column is left out unless
     ``labels`` keeps it; filters and projection are pushed to the scan. An SQL text must give a ``date``.
@@ -24,6 +26,8 @@ def read(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:
         df = spark.read.options(header=True, inferSchema=True, **options).csv(path)
     elif kind == "jdbc":
         df = spark.read.options(**options).jdbc(options["url"], path)
+    elif kind == "database":
+        df = database.scan(spark, path, **options)
     elif kind == "sql":
         df = spark.sql(path, **options)
         if "date" not in df.columns:
