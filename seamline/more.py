@@ -385,7 +385,7 @@ def ens_prefix_runs(spark, d):
 @query()
 def ens_panel(spark, d):
     p = q.stored(spark, d).withColumns({"series": F.lit("rates"), "t": F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("date")) - 1})
-    return segmentation.panel_breaks(p, features.panel_groups(RATES), 5, 0.4, width=15, lag=1)[1]
+    return segmentation.panel_breaks(p, features.panel_groups(RATES), 5, 0.3, width=10, lag=0, kind="ks", alpha=0.2)[1]
 
 
 @query()

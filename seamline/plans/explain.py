@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -12,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.evaluation import detection
 from ..functions.features import column_groups
-from .segmentation import segment
+from ..sources.scratch import written
+from .segmentation import breaks_by_groups
 
 
 def tree(rows: DataFrame, columns: list[str], depth: int = 3) -> tuple[DecisionTreeClassificationModel, DataFrame]:
@@ -41,10 +40,10 @@ def without_groups(panel: DataFrame, columns: list[str], tolerance: int = 5, **k
     left = {name: cols for name, cols in left.items() if cols}
     if not left:
         raise ValueError("no column group can be left out")
-    found = lambda cols: segment(panel, cols, {"base": knobs}).where("status = 'valid'").select("series", "b")
+    found = written(breaks_by_groups(panel, {"": columns, **left}, **knobs), "groups")
     key = lambda run: F.concat_ws(" without ", F.col("series"), run)
-    base = found(columns).withColumn("run", F.explode(F.array(*map(F.lit, left)))).select(key(F.col("run")).alias("series"), "b")
-    runs = reduce(DataFrame.union, (found(cols).select(key(F.lit(name)).alias("series"), "b") for name, cols in left.items()))
+    base = found.where("run = ''").withColumn("run", F.explode(F.array(*map(F.lit, left)))).select(key(F.col("run")).alias("series"), "b")
+    runs = found.where("run <> ''").select(key(F.col("run")).alias("series"), (F.col("b") + 0).alias("b"))  # another column than the base's, for the cogroup
     every = panel.select("series").distinct().withColumn("run", F.explode(F.array(*map(F.lit, left)))).select(key(F.col("run")).alias("series"))
     return every.join(detection(base, runs, tolerance), "series", "left").na.fill(1.0).withColumnRenamed("series", "run")
 

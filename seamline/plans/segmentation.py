@@ -173,6 +173,19 @@ def consensus(runs: DataFrame, tolerance: int, share: float = 0.5, how: str = "m
     return runs.groupBy("series").applyInPandas(one, "series string, b long, support double")
 
 
+def by_groups(panel: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
+    """(series, t, z): the panel once for each group of columns, whose array is z; the series' name has the group's before it, and a bar."""
+    each = F.explode(F.array(*(F.struct(F.lit(g).alias("g"), F.array(*(F.col(c).cast("double") for c in cols)).alias("z")) for g, cols in groups.items()))).alias("x")
+    return panel.select("series", "t", each).select(F.concat_ws("|", "x.g", "series").alias("series"), "t", "x.z")
+
+
+def breaks_by_groups(panel: DataFrame, groups: dict[str, list[str]], **knobs) -> DataFrame:
+    """(series, run, b): valid breaks by each group of columns, a run a group; all groups are series of one segmentation."""
+    found = segment(written(by_groups(panel, groups), "groups"), "z", {"base": knobs}).where("status = 'valid'")
+    at = F.instr("series", F.lit("|"))
+    return found.select(F.substring("series", at + 1, F.length("series")).alias("series"), F.substring("series", F.lit(1), at - 1).alias("run"), "b")
+
+
 def panel_breaks(panel: DataFrame, groups: dict[str, list[str]], tolerance: int = 5, share: float = 0.5, how: str = "majority", **knobs) -> tuple[DataFrame, DataFrame]:
     """Segment a wide panel by each group of columns: (series, run, b) of all groups, and their consensus.
 
@@ -181,8 +194,9 @@ def panel_breaks(panel: DataFrame, groups: dict[str, list[str]], tolerance: int
     groups = {g: c for g, c in groups.items() if c and not set(c) - set(panel.columns)}
     if not groups:
         raise ValueError("no group of columns can be segmented")
-    runs = [segment(panel, cols, {"base": knobs}).where("status = 'valid'").select("series", F.lit(g).alias("run"), "b") for g, cols in groups.items()]
-    every = written(reduce(DataFrame.union, runs), "panel")
+    if any("|" in g for g in groups):
+        raise ValueError("a group's name may not hold a bar")
+    every = written(breaks_by_groups(panel, groups, **knobs), "panel")
     return every, consensus(every, tolerance, share, how, len(groups))
 
 

@@ -783,7 +783,7 @@ def exp_tree(spark, d):
 @query()
 def ens_without_groups(spark, d):
     p = stored(spark, d).withColumns({"series": F.lit("rates"), "t": F.months_between("date", F.lit("1990-01-01").cast("date")).cast("int")})
-    return explain.without_groups(p, RATES, width=15, lag=1)
+    return explain.without_groups(p, RATES, width=10, lag=0, kind="ks", alpha=0.2)
 
 
 # --- tests, evaluation and ensembles over what the engine finds ------------------------------------

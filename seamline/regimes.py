@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .operators import chains, dynamic, maps, search, volatility
-from .plans import detection
+from .plans import detection, refinement
 from .queries import DAILY, curves, daily, hourly, query, r6
+from .sources.scratch import shared_dir, written
+from .streaming import functions, stateful
 
 TENORS = [f"Y00{k}p0" for k in range(1, 6)]
 
@@ -91,3 +95,36 @@ def dr_switching(spark, d):
 def det_garch_laws(spark, d):
     laws = volatility.fit_garch(hourly(spark, d), rounds=6)[0]
     return laws.select("series", *(r6(c).alias(c) for c in ("omega", "alpha", "beta")))
+
+
+@query()
+def plan_refine_until(spark, d):
+    """The worst regimes of each type of event, by the spread of their values, for three rounds."""
+    held, _ = refinement.refine_until(hourly(spark, d), 0.0, rounds=3, depth=1, kind="ks", alpha=0.2)
+    return held
+
+
+def _scaled(spark, d):
+    """Hourly values around 0 with unit spread."""
+    rows = hourly(spark, d)
+    unit = rows.groupBy("series").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
+    return rows.join(unit, "series").select("series", "t", F.col("date").cast("timestamp").alias("date"), ((F.col("value") - F.col("_m")) / F.col("_s")).alias("value"))
+
+
+@query()
+def str_online_changes(spark, d):
+    """The hourly values as a stream, to its present end."""
+    at = f"{shared_dir(spark)}/seamline/stream-{uuid.uuid4().hex}"
+    rows = _scaled(spark, d)
+    rows.write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(rows.select("series", "t", "date", "value").schema).parquet(f"{at}/in")
+    out = stateful.online_changes(stream, threshold=0.05)
+    out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{at}/out")
+
+
+@query()
+def sql_breakpoints(spark, d):
+    functions.register(spark)
+    written(_scaled(spark, d), "scaled").createOrReplaceTempView("seamline_hourly")
+    return spark.sql("select series, date, row_number, probability from detect_breakpoints(table(seamline_hourly), threshold => 0.05)")
