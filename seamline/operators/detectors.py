@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.features import ewma, filled, rolling
 from . import chains, volatility
+from .reduce import principal_components
 
 
 def by_first(labels: DataFrame, order: str) -> DataFrame:
@@ -31,10 +32,41 @@ def cluster(panel: DataFrame, columns: list[str], k: int = 3, method: str = "kme
 
 
 def covariance_regimes(wide: DataFrame, columns: list[str], window: int = 40, k: int = 2, least: int = 10, seed: int = 42) -> DataFrame:
-    """Clusters of the rolling correlations of every two columns, short runs given away: (series, t, label); rows before the first whole window have none."""
+    """Clusters of at most three principal components of the rolling correlations of every two columns, short runs given away: (series, t, label); rows before the first whole window have none."""
     c = rolling_correlations(wide, columns, window).na.drop()
     names = [x for x in c.columns if x not in ("series", "t")]
-    return smoothed(cluster(c, names, k, seed=seed).select("series", "t", "label"), least)
+    few = min(3, len(names))
+    return smoothed(cluster(principal_components(c, names, few), [f"pc{i + 1}" for i in range(few)], k, seed=seed).select("series", "t", "label"), least)
+
+
+#: What each detector's arguments must be: the kind, and the least value.
+ARGUMENTS = {
+    "kmeans": {"k": (int, 1), "seed": (int, 0)}, "gmm": {"k": (int, 1), "seed": (int, 0)},
+    "hmm": {"states": (int, 1), "rounds": (int, 1), "tolerance": (float, None), "floor": (float, 0)}, "msar": {"states": (int, 1), "rounds": (int, 1), "tolerance": (float, None)},
+    "jump": {"states": (int, 1), "penalty": (float, 0), "rounds": (int, 1)}, "ms_var": {"states": (int, 1), "lags": (int, 0), "least": (int, 1), "rounds": (int, 1)},
+    "garch": {"states": (int, 1), "least": (int, 1), "rounds": (int, 1)},
+}
+
+
+def problems(method: str, **knobs) -> list[str]:
+    """What is wrong with a detector's arguments, in words; nothing for those that it takes. A list stands for a grid, whose every value is looked at."""
+    if method not in ARGUMENTS:
+        return [f"unknown detector {method!r}"]
+    out = []
+    for name, given in knobs.items():
+        if name not in ARGUMENTS[method]:
+            out.append(f"{method} has no argument {name!r}")
+            continue
+        kind, least = ARGUMENTS[method][name]
+        values = given if isinstance(given, list) else [given]
+        if not values:
+            out.append(f"{name} has no value")
+        for v in values:
+            if isinstance(v, bool) or not isinstance(v, int if kind is int else int | float):
+                out.append(f"{name} must be {'an integer' if kind is int else 'a number'}, not {v!r}")
+            elif least is not None and v < least:
+                out.append(f"{name} must be at least {least}, not {v!r}")
+    return out
 
 
 def dwell(labels: np.ndarray, least: int) -> np.ndarray:
@@ -64,6 +96,8 @@ def detect(panel: DataFrame, method: str, columns: list[str] | None = None, **kn
     """(series, t, date, label) by a named detector: ``hmm``, ``jump``, ``ms_var``; ``garch`` and ``msar`` look at the first column. The panel's date is kept if it has one."""
     if method not in CHAINED:
         raise ValueError(f"unknown detector {method!r}")
+    if wrong := problems(method, **{k: v for k, v in knobs.items() if k != "size"}):
+        raise ValueError("; ".join(wrong))
     told = CHAINED[method](panel, columns or ["value"], **knobs).select("series", F.col("t").cast(panel.schema["t"].dataType).alias("t"), "label")
     return panel.select("series", "t", *(c for c in panel.columns if c == "date")).join(told, ["series", "t"])
 

@@ -169,3 +169,9 @@ def test_detectors_by_name(spark, series):
     assert detectors.detect(panel, "jump", ["p", "q"], states=2).columns == ["series", "t", "label"]
     with pytest.raises(ValueError, match="unknown detector"):
         detectors.detect(panel, "other")
+
+
+def test_wrong_arguments_are_told():
+    assert detectors.problems("hmm", states=[2, 3], rounds=5) == [] and detectors.problems("jump", penalty=2.5) == []
+    assert detectors.problems("other") == ["unknown detector 'other'"] and len(detectors.problems("hmm", states=[0, "x"], k=3)) == 3
+    assert detectors.problems("garch", states=[]) == ["states has no value"] and detectors.problems("jump", states=True)
