@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from .operators import chains, dynamic, maps, search, volatility
+from .operators import chains, dynamic, maps, search, transport, volatility
 from .plans import detection, refinement
 from .queries import DAILY, curves, daily, hourly, query, r6
 from .sources.scratch import shared_dir, written
@@ -86,6 +86,16 @@ def dr_hmm_posteriors(spark, d):
     return chains.hidden_markov(_curve_rows(spark, d), TENORS, 2, rounds=8).posteriors()
 
 
+@query()
+def det_transport(spark, d):
+    return transport.transport_regimes(_curve_rows(spark, d), TENORS, 12, 3)
+
+
+@query()
+def dr_transport(spark, d):
+    return transport.transport_distances(_curve_rows(spark, d), TENORS, 12, 3, 2)
+
+
 @query()
 def dr_switching(spark, d):
     return chains.switching_regression(hourly(spark, d), states=2, rounds=10)
