@@ -37,6 +37,15 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and host by which Spark reads it; without any, it lies in the cluster's default file system.
+
+    Signs that a URI can't hold are escaped, so the result is for readers of URIs, not for Spark's own paths.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString()
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: a short lineage that outlives executors."""
     return Scratch(df.sparkSession).cut(df, tag)

@@ -20,17 +20,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import Scratch, cut, qualified, shared_dir
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME, BUNDLE = 1 << 18, 1 << 26
 
 
 def _store(uri: str):
-    """File system and path of a folder or file; a path without a scheme is local."""
+    """File system and path of a folder that ``qualified`` has named."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    return fs.FileSystem.from_uri(uri)
 
 
 def digest32(hexadecimal: str) -> str:
@@ -119,17 +119,18 @@ class BundleReader:
         return zstandard.ZstdDecompressor().decompress(self.file.read(int(self.sizes[k, 0])), max_output_size=int(self.sizes[k, 1]))
 
 
-def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
+def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, scratch: Scratch | None = None) -> DataFrame:
     """(page_id, url, html, size, sha1, refers_to) of each page: the largest id of a payload is the one referred to.
 
     What revisits what is told from ids, digests and sizes alone; pages then meet it by their own id and digest, so
-    copies of one payload stay apart. The html of a revisit is null.
+    copies of one payload stay apart. The html of a revisit is null. What lies in ``scratch`` may go when the plan's rows are written.
     """
+    scratch = scratch or Scratch(pages.sparkSession)
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("size"), F.sha1(html.cast("binary")).alias("sha1"))
-    keys = cut(rows.select("page_id", "sha1", "size").where(F.col("size") >= least), "keys")
+    keys = scratch.cut(rows.select("page_id", "sha1", "size").where(F.col("size") >= least), "keys")
     last = keys.groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("least <> refers_to").drop("least")
-    again = cut(keys.join(last, "sha1").where("page_id <> refers_to").select("page_id", "sha1", "refers_to").distinct(), "revisits")
+    again = scratch.cut(keys.join(last, "sha1").where("page_id <> refers_to").select("page_id", "sha1", "refers_to").distinct(), "revisits")
     own = rows.join(again, ["page_id", "sha1"], "left")
     return own.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "size", "sha1", "refers_to")
 
@@ -139,8 +140,9 @@ def write_archive(planned: DataFrame, folder: str) -> DataFrame:
 
     A bundle gets its name when it is complete, and a name of its own each time a task runs, so
     a task that is run again leaves a bundle that the index doesn't name. The index is written
-    before it is returned and so fits the bundles.
+    before it is returned and so fits the bundles. A folder without a scheme lies where Spark's own tables do, in the cluster's default file system.
     """
+    folder = qualified(planned.sparkSession, folder)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = _store(folder)
@@ -177,6 +179,7 @@ def read_archive(index: DataFrame, folder: str) -> DataFrame:
     (page_id, payload_bytes, payload_digest, record_type, refers_to, payload); the payload of a revisit is null. Give
     a part of the index to read its records alone: frames without any are passed over.
     """
+    folder = qualified(index.sparkSession, folder)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = _store(folder)
@@ -219,8 +222,12 @@ def archive(pages: DataFrame, folder: str | None = None, least: int = 0, **colum
 
     A null html is an empty payload. Of rows that repeat an id and payload, all are responses if the
     id is the largest one of the payload, else all are revisits. A null id is kept, and never referred to unless all
-    ids of its payload are null. Payloads shorter than ``least`` bytes are all responses.
+    ids of its payload are null. Payloads shorter than ``least`` bytes are all responses. Ids are integers: text that
+    holds none is an error. An empty table gives no row and no bundle. Columns besides id, url and html are not looked at,
+    whatever their names. A frame has at least one whole record, and a record less than 4 GB, which is what a seek table can tell.
     """
     folder = folder or f"{shared_dir(pages.sparkSession)}/seamline/warc-{uuid.uuid4().hex}"
-    index = write_archive(plan(pages, least=least, **columns), folder)
+    scratch = Scratch(pages.sparkSession)
+    index = write_archive(plan(pages, least=least, scratch=scratch, **columns), folder)
+    scratch.clear()
     return read_archive(index, folder)

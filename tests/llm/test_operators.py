@@ -2,13 +2,14 @@ import math
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("seamline.llm")
-from seamline.llm import ann, fingerprints, langid, minhash, mixing, packing, queries, sharding, tokencount, toxicity, warc  # noqa: E402
+from seamline.llm import ann, common, fingerprints, langid, minhash, mixing, packing, queries, sharding, tokencount, toxicity, warc  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, stretch int"
 
@@ -273,3 +274,17 @@ def test_pipeline_runs_and_keeps_columns(spark, tmp_path):
         assert kept.columns == d.columns and 0 < kept.count() <= d.count()
         d = kept
     assert {"doc_id", "sequence_id", "offset"} <= set(corpus_pipeline.STAGES[-1][1](spark, d, path).columns)
+
+
+def test_archives_lie_in_the_file_system_of_spark(spark, tmp_path):
+    """A folder without a scheme, with a sign that a URI escapes: bundles lie where Spark's tables do, and nothing else stays."""
+    pages = spark.createDataFrame([(1, "u", "same"), (2, "u", "same"), (3, None, None)], "page_id long, url string, html string")
+    at = tmp_path / "an archive"
+    assert common.qualified(spark, str(at)).startswith("file:/") and "%20" in common.qualified(spark, str(at))
+    shared = Path(common.shared_dir(spark).removeprefix("file:")) / "seamline"
+    before = set(shared.glob("*/keys-*")) | set(shared.glob("*/revisits-*"))
+    got = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.archive(pages, str(at)).collect()}
+    assert got == {1: ("revisit", 2, 4), 2: ("response", None, 4), 3: ("response", None, 0)}
+    assert list(at.glob("*.warc.zst")) and not list(at.glob("*.part"))
+    assert set(shared.glob("*/keys-*")) | set(shared.glob("*/revisits-*")) == before
+    assert warc._store(common.qualified(spark, str(at)))[1] == str(at)
