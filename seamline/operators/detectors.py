@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.features import ewma, filled, rolling
-from . import chains, transport, volatility
+from . import chains, density, transport, volatility
 from .reduce import principal_components
 
 
@@ -46,6 +46,7 @@ ARGUMENTS = {
     "jump": {"states": (int, 1), "penalty": (float, 0), "rounds": (int, 1)}, "ms_var": {"states": (int, 1), "lags": (int, 0), "least": (int, 1), "rounds": (int, 1)},
     "garch": {"states": (int, 1), "least": (int, 1), "rounds": (int, 1)},
     "wasserstein": {"window": (int, 1), "stride": (int, 1), "states": (int, 1), "most": (int, 2), "landmarks": (int, 2), "eps": (float, 0)},
+    "hdbscan": {"least": (int, 2), "samples": (int, 1), "size": (int, 2), "lists": (int, 1), "band": (int, 1)},
 }
 
 
@@ -89,12 +90,12 @@ def dwell(labels: np.ndarray, least: int) -> np.ndarray:
     return np.repeat([x for x, _ in out], [n for _, n in out]) if out else labels
 
 
-#: Detectors by chains over blocks of rows (``chains``, ``volatility``) or by pairs of blocks of windows (``transport``).
-CHAINED = {"hmm": chains.hmm_labels, "jump": chains.jump_model, "ms_var": chains.switching_autoregression, "garch": lambda p, c, **k: volatility.garch_regimes(p, c[0], **k), "msar": lambda p, c, **k: chains.switching_regression(p, c[0], **k), "wasserstein": transport.transport_regimes}
+#: Detectors by chains over blocks of rows (``chains``, ``volatility``) or by pairs of blocks (``transport``, ``density``).
+CHAINED = {"hmm": chains.hmm_labels, "jump": chains.jump_model, "ms_var": chains.switching_autoregression, "garch": lambda p, c, **k: volatility.garch_regimes(p, c[0], **k), "msar": lambda p, c, **k: chains.switching_regression(p, c[0], **k), "wasserstein": transport.transport_regimes, "hdbscan": density.density_clusters}
 
 
 def detect(panel: DataFrame, method: str, columns: list[str] | None = None, **knobs) -> DataFrame:
-    """(series, t, date, label) by a named detector: ``hmm``, ``jump``, ``ms_var``, ``wasserstein``; ``garch`` and ``msar`` look at the first column. The panel's date is kept if it has one."""
+    """(series, t, date, label) by a named detector: ``hmm``, ``jump``, ``ms_var``, ``wasserstein``, ``hdbscan``; ``garch`` and ``msar`` look at the first column. The panel's date is kept if it has one."""
     if method not in CHAINED:
         raise ValueError(f"unknown detector {method!r}")
     if wrong := problems(method, **{k: v for k, v in knobs.items() if k != "size"}):

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from .operators import chains, dynamic, maps, search, transport, volatility
+from .operators import chains, density, dynamic, maps, search, transport, volatility
 from .plans import detection, refinement
 from .queries import DAILY, curves, daily, hourly, query, r6
 from .sources.scratch import shared_dir, written
@@ -96,6 +96,16 @@ def dr_transport(spark, d):
     return transport.transport_distances(_curve_rows(spark, d), TENORS, 12, 3, 2)
 
 
+@query()
+def det_density(spark, d):
+    return density.density_clusters(_curve_rows(spark, d), TENORS)
+
+
+@query()
+def dr_density(spark, d):
+    return density.density_distances(_curve_rows(spark, d), TENORS).withColumn("distance", F.round("distance", 6))
+
+
 @query()
 def dr_switching(spark, d):
     return chains.switching_regression(hourly(spark, d), states=2, rounds=10)
