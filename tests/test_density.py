@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from seamline.operators import density
+from seamline.operators import density, detectors
 from test_dynamic import panel_of
 
 
@@ -62,35 +62,38 @@ def plain_labels(x, least, samples, method):
 @pytest.fixture(scope="module")
 def series():
     rng = np.random.default_rng(4)
-    a = np.concatenate([rng.normal((0, 0), 0.4, (80, 2)), rng.normal((4, 1), 0.7, (90, 2)), rng.normal((4, -3), 0.2, (40, 2)), rng.uniform(-8, 12, (40, 2))])
+    a = np.concatenate([rng.normal((0, 0), 0.4, (50, 2)), rng.normal((4, 1), 0.7, (50, 2)), rng.normal((4, -3), 0.2, (30, 2)), rng.uniform(-8, 12, (25, 2))])
     return {"a": a, "far": np.concatenate([rng.normal(0, 0.1, (45, 2)), rng.normal(500, 0.1, (45, 2)), rng.normal(-900, 0.1, (45, 2))]), "tiny": rng.normal(size=(3, 2))}
 
 
-def test_the_tree_is_the_plain_one_beyond_the_lists(spark, series):
-    """Lists of three neighbours and blocks of 20 rows, so that components search the blocks within reach."""
-    panel = panel_of(spark, series, ("p", "q"))
-    got = density.spanning_tree(density.Space(panel, ["p", "q"], 20), 4, 3)
-    for name in ("a", "far"):
-        weights = sorted(r["w"] for r in got.where(f"series = '{name}'").collect())
-        assert np.allclose(weights, [w for w, _, _ in plain_tree(series[name], 4)])
-
-
-@pytest.mark.parametrize(("least", "samples", "method", "how"), [(5, None, "eom", {}), (8, 4, "leaf", {"size": 24, "lists": 4, "band": 40})])
-def test_labels_are_the_plain_ones(spark, series, least, samples, method, how):
-    panel = panel_of(spark, {k: series[k] for k in ("a", "tiny")}, ("p", "q"))
-    got = {}
-    for r in density.density_clusters(panel, ["p", "q"], least, samples, method, **how).collect():
-        got.setdefault(r["series"], {})[r["t"]] = r["label"]
-    want = plain_labels(series["a"], least, samples or least, method)
-    assert len(set(want)) > 3 and [got["a"][t] for t in range(len(want))] == want.tolist()
-    assert got["tiny"] == {0: -1, 1: -1, 2: -1}
-
-
-def test_copies_empty_tables_and_distances(spark):
-    rows = [("s", t, float(t % 2 * 10), 1.0) for t in range(60)] + [("s", 60, None, 1.0), ("s", 61, float("nan"), 1.0)]
+def test_tree_and_hierarchy_are_the_plain_ones(spark, series):
+    """Lists of three neighbours, blocks of 24 rows and bands of 40 edges, so that components search the blocks within reach."""
+    space = density.Space(panel_of(spark, series, ("p", "q")), ["p", "q"], 24)
+    tree = density.written(density.spanning_tree(space, 4, 3), "tree")
+    for name, x in series.items():
+        if name != "tiny":
+            assert np.allclose(sorted(r["w"] for r in tree.where(f"series = '{name}'").collect()), [w for w, _, _ in plain_tree(x, 4)])
+    clusters, rows = density.condensed(space, density.merges(space, tree, 40), 6)
+    at = {r["id"]: (r["series"], r["t"]) for r in space.points.collect()}
+    assert sorted(at[r["id"]] for r in rows.collect()) == sorted(k for k in at.values() if k[0] != "tiny")
+    for method in ("eom", "leaf"):
+        got = {}
+        for r in rows.join(density.chosen(clusters, method), "c").where("pick is not null").collect():
+            name, t = at[r["id"]]
+            got.setdefault(name, {}).setdefault(r["pick"], set()).add(t)
+        for name in ("a", "far"):
+            labels = plain_labels(series[name], 6, 4, method)
+            assert len(set(labels)) > 2
+            assert sorted(map(sorted, got[name].values())) == sorted(np.flatnonzero(labels == c).tolist() for c in set(labels) - {-1})
+
+
+def test_copies_noise_and_empty_tables(spark):
+    rows = [("s", t, float(t % 2 * 10), 1.0) for t in range(60)] + [("s", 60, None, 1.0), ("s", 61, float("nan"), 1.0)] + [("few", t, float(t), 0.0) for t in range(3)]
     panel = spark.createDataFrame(rows, "series string, t int, p double, q double")
-    got = {r["t"]: r["label"] for r in density.density_clusters(panel, ["p", "q"], 5).collect()}
-    assert got == {t: t % 2 for t in range(60)}
-    far = {(r["t"], r["cluster"]): r["distance"] for r in density.density_distances(panel, ["p", "q"], 5).collect()}
+    got = {(r["series"], r["t"]): r["label"] for r in detectors.detect(panel, "hdbscan", ["p", "q"]).collect()}
+    assert got == {("s", t): t % 2 for t in range(60)} | {("few", t): -1 for t in range(3)}
+    far = {(r["t"], r["cluster"]): r["distance"] for r in density.density_distances(panel, ["p", "q"]).collect()}
     assert far == {(t, c): pytest.approx(0 if t % 2 == c else 10) for t in range(60) for c in (0, 1)}
     assert density.density_clusters(panel.where("false"), ["p", "q"]).count() == 0
+    with pytest.raises(ValueError, match="two rows"):
+        density.density_clusters(panel, ["p", "q"], 1)
