@@ -13,23 +13,26 @@ import re
 import sys
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, blocks, bounded_batches
+from .common import Bounded, bounded_batches, spans
 
-#: White space as the tokenizer's pattern means it, in Unicode's property White_Space.
-SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2000))) + "-" + "".join(map(chr, (0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-_ODD = re.compile(r"\s\s| \Z")
-_PAIR = re.compile(r"\s\s")
+#: White space of more than one byte, as the tokenizer's pattern means it, in Unicode's property White_Space.
+WIDE = "\x85\xa0" + "".join(map(chr, (0x1680, 0x2000))) + "-" + "".join(map(chr, (0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+SPACE = "\t-\r " + WIDE
+_ODD = re.compile(rf"[{SPACE}][{WIDE}]|[{WIDE}][{SPACE}]")
 _CHUNK = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-_heads, _tails = Bounded(), Bounded()
+_LETTERS = "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+_units = Bounded()
 
 
 @cache
@@ -65,58 +68,108 @@ def _byte_signs() -> dict[int, str]:
 
 
 _SIGNS = _byte_signs()
-_LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
-
-
-def _word_ids(path: str, words: list[str]) -> list[bytes]:
-    """Ids of words with a space before them; letters, and a stop after them, are units of the pattern and go straight to the merges."""
-    merge, space = tokenizer(path).model.tokenize, _SIGNS[ord(" ")]
-    stops = {x: _packed([y.id for y in merge(x)]) for x in ".,;:!?"} | {"": b""}
-    out = []
-    for w in words:
-        if w.isascii():
-            body, stop = (w, "") if w.isalpha() else (w[:-1], w[-1:])
-            if stop in stops and body.isalpha():
-                out.append(_packed([x.id for x in merge(space + body)]) + stops[stop])
-            else:
-                out.append(None)
-        elif found := _LETTERS.fullmatch(w):
-            body, stop = found.groups()
-            out.append(_packed([x.id for x in merge(space + body.encode().decode("latin-1").translate(_SIGNS))]) + stops[stop])
-        else:
-            out.append(None)
-    other = iter(_ids(path, [" " + w for w, x in zip(words, out, strict=True) if x is None]))
-    return [next(other) if x is None else x for x in out]
 
 
-def encode(path: str, texts: list[str]) -> list[bytes]:
-    """Token ids of each text, four little-endian bytes an id.
+def _unit_ids(path: str, units: list[bytes]) -> list[bytes]:
+    """Ids of parts of a text; letters, and a space before them, are one unit of the pattern and go straight to the merges."""
+    merge = tokenizer(path).model.tokenize
+    whole = pc.match_substring_regex(pa.array(units, pa.string()), _LETTERS).to_pylist()
+    signs = [u.decode("latin-1").replace(" ", _SIGNS[32]) if u.isascii() else u.decode("latin-1").translate(_SIGNS) if w else "" for u, w in zip(units, whole, strict=True)]
+    other = iter(_ids(path, [u.decode() for u, w in zip(units, whole, strict=True) if not w]))
+    return [_packed([x.id for x in merge(s)]) if w else next(other) for s, w in zip(signs, whole, strict=True)]
+
 
-    No token of a byte-level BPE crosses the start of a space before a word, or a
-    lone line break, so the text is cut there and each distinct part tokenised once. A text
-    that holds one of the ``added`` tokens goes through the tokenizer whole.
+def _cuts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Where the parts of texts start, in UTF-8 with a text between each two ``edges``: the pattern ends a match there, whatever is beside it.
+
+    White space of one byte is cut as the pattern does: a run but for its last sign is a part, and that sign is one, or belongs to
+    the word after it if it is a space. Words are cut behind a letter, before a sign of one byte that is none.
     """
-    whole = [i for i, x in enumerate(texts) if any(a in x for a in added(path))]
-    if whole:
-        ids = dict(zip(whole, _ids(path, [texts[i] for i in whole]), strict=True))
-        rest = iter(encode(path, [x for i, x in enumerate(texts) if i not in ids]) if len(whole) < len(texts) else [])
-        return [ids[i] if i in ids else next(rest) for i in range(len(texts))]
-    lines = [[s.split(" ") for s in x.split("\n")] for x in texts]
-    heads, tails = {p[0] for s in lines for p in s}, set().union(*(p[1:] for s in lines for p in s))
-    odd = [()] * len(texts)
-    if any(_PAIR.search("\n".join(["", *words, ""])) for words in (heads, tails) if words):  # else no two white spaces meet
-        lines = [None if _ODD.search(x) else s for x, s in zip(texts, lines, strict=True)]
-        odd = [_CHUNK.findall(x) if s is None else () for x, s in zip(texts, lines, strict=True)]
-        heads, tails = {p[0] for s in lines if s for p in s}, {w for s in lines if s for p in s for w in p[1:]}
-    _heads.need(heads.union(["\n"], *odd), lambda new: _ids(path, new))
-    _tails.need(tails, lambda new: _word_ids(path, new))
-    head, tail, out = _heads.__getitem__, _tails.__getitem__, []
-    for s, chunks in zip(lines, odd, strict=True):
-        if s is None:
-            out.append(b"".join(map(head, chunks)))
-        else:
-            out.append(head("\n").join(b"".join([head(p[0]), *map(tail, p[1:])]) for p in s))
-    return out
+    cut = np.zeros(len(data) + 1, bool)
+    cut[edges] = True
+    if not len(data):
+        return np.flatnonzero(cut[:-1])
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    low = data | 32
+    letter = (low >= 97) & (low <= 122)
+    other = (data < 128) & ~letter
+    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] < 0xC0) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    cut[1:-1] |= letter[:-1] & other[1:]
+    cut[1:-1] |= space[1:] & ~space[:-1]
+    cut[1:-1] |= space[:-1] & ~space[1:] & (data[:-1] != 32)
+    last = space.copy()  # the last white space before a word
+    last[:-1] &= ~space[1:]
+    last[edges[1:][edges[1:] > 0] - 1] = False
+    return np.flatnonzero(cut[:-1] | last)
+
+
+def _encoded(path: str, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all texts, one after the other and each with ``end`` behind it, and the edges of each text's.
+
+    Texts are cut where no token crosses, and each distinct part is tokenised once. A text that holds one of the ``added``
+    tokens goes through the tokenizer whole, and one where wide white space meets other is cut by the pattern itself.
+    """
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    apart: dict[int, list[bytes]] = {}
+    whole = np.zeros(len(texts), bool)
+    for a in added(path):
+        whole |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+    odd = pc.match_substring_regex(texts, _ODD.pattern).to_numpy(zero_copy_only=False) & ~whole
+    at = np.flatnonzero(whole).tolist()
+    apart.update(zip(at, ([x] for x in _ids(path, texts.take(pa.array(at, pa.int64())).to_pylist())), strict=True))
+    for i in np.flatnonzero(odd).tolist():
+        apart[i] = _looked_up(path, [x.encode() for x in _CHUNK.findall(texts[i].as_py())])
+    if apart:
+        texts = pc.if_else(pa.array(whole | odd), "", texts)
+
+    _, offsets, data = texts.buffers()
+    edges = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(data or b"", np.uint8)[edges[0] : edges[-1]]
+    edges -= edges[0]
+    starts = _cuts(data, edges)
+    places = pa.py_buffer(np.append(starts, len(data)).astype(np.int32))
+    parts = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, places, pa.py_buffer(data)]).dictionary_encode()
+    values = _looked_up(path, parts.dictionary.to_numpy(zero_copy_only=False).tolist())
+
+    upto = np.searchsorted(starts, edges)  # parts before each edge
+    extra = np.full(len(texts), len(values), np.int64)
+    values.append(end)
+    for i, own in apart.items():
+        extra[i] = len(values)
+        values.append(b"".join([*own, end]))
+    picked = np.insert(parts.indices.to_numpy().astype(np.int64), upto[1:], extra)
+    ids = pa.array(values, pa.large_binary()).take(pa.array(picked))
+    _, offsets, data = ids.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[upto + np.arange(len(upto))]
+    return np.frombuffer(data or b"", np.uint8), bounds
+
+
+def _looked_up(path: str, units: list[bytes]) -> list[bytes]:
+    _units.need(dict.fromkeys(units), lambda new: _unit_ids(path, new))
+    return list(map(_units.__getitem__, units))
+
+
+def encode(path: str, texts: list[str]) -> list[bytes]:
+    """Token ids of each text, four little-endian bytes an id."""
+    data, bounds = _encoded(path, pa.array(texts, pa.string()))
+    return [data[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def _cut_up(batches: Iterable[pa.RecordBatch], path: str, size: int, end: bytes) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, j in spans(batch.column("text"), 6_000_000):
+            data, bounds = _encoded(path, batch.column("text").slice(i, j - i), end)
+            n = np.diff(bounds) // 4
+            many = (n + size - 1) // size
+            owner = np.repeat(np.arange(len(n)), many)
+            piece = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+            first = (n - 1) % size + 1
+            start = np.where(piece == 0, 0, first[owner] + (piece - 1) * size)
+            length = np.where(piece == 0, first[owner], size)
+            left = bounds[:-1][owner] + 4 * start
+            crc = [zlib.crc32(data[a:b]) for a, b in zip(left.tolist(), (left + 4 * length).tolist(), strict=True)]
+            ids = batch.column("id").slice(i, j - i).take(pa.array(owner))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"])
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, end_id: int = 2, words: int = 1_000_000) -> DataFrame:
@@ -126,24 +179,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     keeps the ids of up to ``words`` distinct words, some 200 bytes each: fewer take less memory, and more words are tokenised again.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    end = np.array([end_id], "<u4").tobytes()
+    end = _packed([end_id])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _heads.most, _tails.most = words // 5, words
-        for pdf in batches:
-            keys, texts = pdf["id"].to_numpy(), [x or "" for x in pdf["text"].tolist()]
-            for i, j in blocks(texts):
-                rows = []
-                for key, ids in zip(keys[i:j], encode(tokenizer_path, texts[i:j]), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    first = (n - 1) % size + 1
-                    for k, start in enumerate([0, *range(first, n, size)]):
-                        stop = first if k == 0 else start + size
-                        rows.append((key, k, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])))
-                yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
-
-    return bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _units.most = words
+        yield from _cut_up(batches, tokenizer_path, size, end)
+
+    return bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 class BestFit:

@@ -237,6 +237,30 @@ def test_packing_tokens_and_bins(spark, odd):
         assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 1024
 
 
+def test_a_word_is_merged_once_whatever_stands_behind_it(monkeypatch):
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    t, merged = packing.tokenizer(path), []
+
+    class Counted:
+        model = type("Model", (), {"tokenize": staticmethod(lambda w: merged.append(w) or t.model.tokenize(w))})
+        encode_batch_fast = staticmethod(t.encode_batch_fast)
+
+    packing.added(path)
+    monkeypatch.setattr(packing, "tokenizer", lambda _: Counted)
+    for x in ("a zzqword, zzqword. zzqword%%% zzqword\n(zzqword) zzqword's zzqword7", "a élanzzq, élanzzq;\télanzzq  élanzzq"):
+        assert np.frombuffer(packing.encode(path, [x])[0], "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+    assert Counter(w for w in merged if "zzqword" in w) == {"\u0120zzqword": 1} and sum("lanzzq" in w for w in merged) == 2
+
+
+def test_parts_of_any_signs_are_those_of_the_library():
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    rng = random.Random(12)
+    signs = [*"ab1.,'%-\n\t\r\x0b\x1c\x85\xa0éÿ×÷ªß²中\u0301\u2003\u3000", " ", "  ", " Th", "'s", "\U0001f600", "<|endoftext|>"]
+    texts = ["", *("".join(rng.choices(signs, k=rng.randint(0, 25))) for _ in range(3000)), "", ""]
+    want = packing.tokenizer(path).encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode(path, texts)] == [x.ids for x in want]
+
+
 def test_best_fit_is_close_to_the_bound():
     rng = random.Random(4)
     sizes = [rng.randint(1, 1024) for _ in range(20_000)]
