@@ -22,6 +22,7 @@ exact multisets. Classes are the connected components of the links.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -38,29 +39,69 @@ BLOCK, SKETCHES, SPREAD = 256, 2048, 4096
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Parts of a unit of time: sums below 2**17 units are exact in a float.
 _TICKS = 2.0**36
-_words = Bounded(150_000)
+
+
+@cache
+def _word_signs() -> np.ndarray:
+    """Of each code point whether it belongs to a word."""
+    found = np.zeros(0x110000, bool)
+    for m in WORD.finditer(np.arange(0x110000, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")):
+        found[m.start() : m.end()] = True
+    return found
+
+
+def _in_words(data: np.ndarray) -> np.ndarray:
+    """Of each byte of UTF-8 whether its sign belongs to a word."""
+    signs = _word_signs()
+    found = np.append(signs[:128], np.zeros(128, bool))[data]
+    at = np.flatnonzero(data >= 0xC0)
+    for n, lead, upto in ((2, 0xC0, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0x100)):
+        some = at[(data[at] >= lead) & (data[at] < upto)]
+        point = data[some].astype(np.int64) & (0x7F >> n)
+        for k in range(1, n):
+            point = point << 6 | data[some + k] & 0x3F
+        for k in range(n):
+            found[some + k] = signs[point]
+    return found
+
+
+def _word_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and where each text's begin and end; each distinct word is hashed once."""
+    _, offsets, data = pa.array([x.lower() if x else "" for x in texts], pa.string()).buffers()
+    edges, data = np.frombuffer(offsets, np.int32)[: len(texts) + 1], np.frombuffer(data or b"", np.uint8)
+    data = data[: edges[-1]]
+    inside = _in_words(data)
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    heads = edges[:-1][edges[:-1] < edges[1:]]
+    first[heads] = inside[heads]
+    starts, letters = np.flatnonzero(first), data[inside]
+    places = np.append(np.flatnonzero(first[inside]), len(letters)).astype(np.int32)
+    words = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(letters)]).dictionary_encode()
+    hashes = np.array(word_hashes(words.dictionary.to_numpy(zero_copy_only=False).tolist()), np.uint64)
+    return hashes[words.indices.to_numpy()], np.searchsorted(starts, edges)
 
 
 def shingle_bags(texts: list[str], width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text the distinct shingle hashes and their counts: (text index, hash, count)."""
-    split = [WORD.findall(x.lower()) if x else [] for x in texts]
-    _words.need(set().union(*split), word_hashes)
-    owners, hashes, counts = [], [], []
-    for i, words in enumerate(split):
-        if not words:
-            continue
-        ids = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-        w = min(width, len(ids))
-        x = np.full(len(ids) - w + 1, w, np.uint64)
-        for k in range(w):
-            x = mix(x * _GOLD + ids[k : len(ids) - w + 1 + k])
-        x, n = np.unique(x, return_counts=True)
-        owners.append(np.full(len(x), i))
-        hashes.append(x)
-        counts.append(n)
-    if not owners:
+    """Of each text the distinct shingle hashes, in order, and their counts: (text index, hash, count)."""
+    if not any(texts):
         return np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0, int)
-    return np.concatenate(owners), np.concatenate(hashes), np.concatenate(counts)
+    ids, edges = _word_ids(texts)
+    have = np.diff(edges)
+    wide = np.minimum(have, width)
+    many = np.where(have > 0, have - wide + 1, 0)
+    ends = np.cumsum(many)
+    owner = np.repeat(np.arange(len(texts)), many)
+    starts = np.arange(len(owner)) + (edges[:-1] - ends + many)[owner]
+    ids, w = np.append(ids, np.zeros(width, np.uint64)), wide[owner]
+    x, least = w.astype(np.uint64), w.min(initial=width)
+    for k in range(width):
+        more = mix(x * _GOLD + ids[starts + k])
+        x = more if k < least else np.where(k < w, more, x)
+    for i, j in zip((ends - many).tolist(), ends.tolist(), strict=True):
+        x[i:j].sort()
+    new = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (owner[1:] != owner[:-1])))[: len(x)]
+    return owner[new], x[new], np.diff(np.append(new, len(x)))
 
 
 def bag_signatures(owner: np.ndarray, item: np.ndarray, weight: np.ndarray, n: int, slots: int) -> np.ndarray:
@@ -141,7 +182,6 @@ def _signed(bands: int, rows: int, width: int):
             got = [known.get(x) for x in same]
             own = pa.array([x and np.frombuffer(x[0], np.int64) for x in got], pa.list_(pa.int64())), pa.array([x and x[1] for x in got], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("same"), *own], ["id", "same", "bands", "sketch"])
-        _words.clear()  # the worker lives on
 
     return run
 

@@ -56,6 +56,27 @@ def test_minhash_matches_brute_force(spark, odd):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_shingles_of_many_texts_are_made_together(monkeypatch):
+    rng = random.Random(8)
+    signs = [*"aB_1²ª.'-\n\x1c\x85\xa0éÉ×ÿĀ中İſΣ", " ", " ", " a", "e\u0301", "\U0001f600", "\U0001d49c", "\U00010400"]
+    texts = ["", None, "...", *("".join(rng.choices(signs, k=rng.randint(0, rng.choice([3, 60])))) for _ in range(400)), None, ""]
+    want = []
+    for i, x in enumerate(texts):
+        words = common.WORD.findall(x.lower()) if x else []
+        w, own = min(5, len(words)), np.array(common.word_hashes(words), np.uint64)
+        bag = Counter()
+        for at in range(len(words) - w + 1 if words else 0):
+            h = np.array([w], np.uint64)
+            for k in range(w):
+                h = common.mix(h * minhash._GOLD + own[at + k])
+            bag[int(h[0])] += 1
+        want += [(i, h, n) for h, n in sorted(bag.items())]
+    calls, mix = [], minhash.mix
+    monkeypatch.setattr(minhash, "mix", lambda x: calls.append(len(x)) or mix(x))
+    assert list(zip(*(x.tolist() for x in minhash.shingle_bags(texts)), strict=True)) == want
+    assert len(calls) == 5  # a pass over all texts for each word of a shingle
+
+
 def test_minhash_keeps_links_beyond_the_pivot(spark, words):
     rng = random.Random(1)
     base = rng.choices(words, k=200)
