@@ -10,15 +10,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from functools import cached_property
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, bounded_batches, free_name, sampled, spans
+from .common import Bounded, Scratch, bounded_batches, free_name, sampled, spans
 
 LETTERS = re.compile(r"[^\W\d_]+")
 SMOOTH = 0.1
@@ -27,13 +28,25 @@ SMOOTH = 0.1
 @dataclass
 class Model:
     langs: list[str]
-    words: dict[str, int]
+    vocabulary: pa.Array
     word_logs: np.ndarray
-    grams: dict[str, int]
+    parts: pa.Array  # character n-grams
     gram_logs: np.ndarray
     prior: np.ndarray
     longest: int
 
+    @cached_property
+    def words(self) -> dict[str, int]:
+        return {w: i for i, w in enumerate(self.vocabulary.to_pylist())}
+
+    @cached_property
+    def grams(self) -> dict[str, int]:
+        return {g: i for i, g in enumerate(self.parts.to_pylist())}
+
+    def __getstate__(self) -> dict:
+        """Without the dictionaries: each worker makes its own, and a driver that only trains makes none."""
+        return {f.name: getattr(self, f.name) for f in fields(self)}
+
 
 def _logs(counts: np.ndarray) -> np.ndarray:
     return np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * (len(counts) + 1)))
@@ -46,30 +59,31 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     known = sampled(known, F.col("id"), max_docs)
-    words = known.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
-    # as many as the sampled documents have; the sort makes the model the same in every run
-    top = words.groupBy("lang", "word").count().orderBy("word", "lang").toPandas()
+    words = known.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("key")).where("key <> ''")
+    scratch = Scratch(docs.sparkSession)
+    # as many as the sampled documents have
+    words = scratch.cut(words.groupBy("lang", "key").count(), "words")
+    within = f"transform(sequence(1, least({longest}, char_length(key))), n -> transform(sequence(1, char_length(key) - n + 1), i -> substring(key, i, n)))"
+    grams = words.withColumn("key", F.concat(F.lit("<"), "key", F.lit(">"))).select("lang", F.expr(f"explode(flatten({within}))").alias("key"), "count")
     prior = dict(known.groupBy("lang").count().collect())
     langs = sorted(prior)
-    at, vocabulary = pd.factorize(top["word"])
-    word_counts = np.zeros((len(vocabulary), len(langs)))
-    word_counts[at, np.searchsorted(langs, top["lang"]).astype(int) if langs else []] = top["count"]
-    grams_at: dict[str, int] = {}
-    for word in vocabulary:
-        for g in _grams(word, range(1, longest + 1)):
-            grams_at.setdefault(g, len(grams_at))
-    gram_counts = np.zeros((len(grams_at), len(langs)))
-    for i in range(0, len(vocabulary), 10_000):
-        own = [[grams_at[g] for g in _grams(word, range(1, longest + 1))] for word in vocabulary[i : i + 10_000]]
-        times, grams = [len(x) for x in own], np.concatenate(own)
-        for k in range(len(langs)):
-            gram_counts[:, k] += np.bincount(grams, np.repeat(word_counts[i : i + 10_000, k], times), len(grams_at))
-    orders = np.array([len(g) for g in grams_at], int)
-    gram_logs = np.zeros(gram_counts.shape)
+    vocabulary, word_counts = _counted(words, langs)
+    parts, gram_logs = _counted(grams.groupBy("lang", "key").agg(F.sum("count").alias("count")), langs)
+    scratch.clear()
+    orders = pc.utf8_length(parts).to_numpy(zero_copy_only=False)
     for n in np.unique(orders):
-        gram_logs[orders == n] = _logs(gram_counts[orders == n])
+        gram_logs[orders == n] = _logs(gram_logs[orders == n])
     share = np.array([prior[x] for x in langs], float)
-    return Model(langs, {w: i for i, w in enumerate(vocabulary)}, _logs(word_counts), grams_at, gram_logs, np.log(share / max(1.0, share.sum())), longest)
+    return Model(langs, vocabulary, _logs(word_counts), parts, gram_logs, np.log(share / max(1.0, share.sum())), longest)
+
+
+def _counted(rows: DataFrame, langs: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The distinct keys of ``rows(lang, key, count)``, in any order, and their counts by language."""
+    got = rows.select("lang", "key", "count").toArrow()
+    keys = got["key"].combine_chunks().dictionary_encode()
+    counts = np.zeros((len(keys.dictionary), len(langs)))
+    counts[keys.indices.to_numpy(), pc.index_in(got["lang"], value_set=pa.array(langs, got["lang"].type)).to_numpy()] = got["count"].to_numpy()
+    return keys.dictionary, counts
 
 
 def _grams(word: str, orders) -> Iterator[str]:

@@ -51,14 +51,15 @@ def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return own.select("value", F.pow(F.col("tokens").cast("double"), F.lit(float(power))).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-9, most: int = 200) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-9, most: int = 200, few: int = 10_000) -> DataFrame:
     """``cells`` (dimensions, tokens) with ``weight``: raked token shares, summing to 1.
 
     ``targets`` gives for each dimension (value, target); targets need not sum to 1.
     A value without a target, or with one of 0 or null, gets weight 0. Sweeps go on until no dimension's
     shares are off their targets by more than ``tolerance`` (relative); targets that no weights can meet, as some
-    combinations are empty, end after ``most`` sweeps with a warning that tells the error. Cells are few, one a
-    combination of values, whatever the number of documents.
+    combinations are empty, end after ``most`` sweeps with a warning that tells the error. Cells are one a
+    combination of values, whatever the number of documents; up to ``few`` of them lie in one partition, so that a
+    sweep deals none of them out anew, and more are dealt out by each dimension in turn.
     """
     out = cells
     for dim, t in targets.items():
@@ -67,12 +68,14 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-
     some = [f"coalesce(_t_{d}, 0) > 0" for d in targets]
     out = out.withColumn("weight", F.when(F.expr(" and ".join(some or ["true"])) & (F.col("tokens") > 0), F.col("tokens").cast("double")).otherwise(0.0))
     out, error = cut(out, "cells"), 1.0
+    near = (lambda df: df.coalesce(1)) if out.count() <= few else (lambda df: df)
+    out = near(out)
     for k in range(most):
         for dim in targets:
             now = F.sum("weight").over(Window.partitionBy(dim))
             out = out.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"_t_{dim}") / now).otherwise(0.0))
         if k % 6 == 5 or k + 1 == most:
-            out = cut(out, "cells")
+            out = near(cut(out, "cells"))
             shares = (out.groupBy(d).agg((F.sum("weight") / F.max(f"_t_{d}")).alias("r")).where("r > 0").agg((F.max("r") / F.min("r") - 1).alias("e")) for d in targets)
             error = reduce(DataFrame.union, shares).agg(F.max("e")).first()[0] or 0.0 if targets else 0.0
             if error <= tolerance:
