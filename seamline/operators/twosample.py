@@ -61,10 +61,11 @@ def mmd_linear(samples: DataFrame, gamma: float) -> DataFrame:
 
 
 def kolmogorov_smirnov(samples: DataFrame) -> DataFrame:
-    """Largest gap of the two empirical distributions."""
+    """Largest gap of the two empirical distributions; as in SQL, nulls are the largest values, and a break with rows to one side only has NaN."""
     cell = Window.partitionBy("series", "label")
-    up = cell.orderBy("value").rangeBetween(Window.unboundedPreceding, 0)
-    share = lambda s: F.sum((F.col("side") == s).cast("int")).over(up) / F.sum((F.col("side") == s).cast("int")).over(cell)
+    up = cell.orderBy(F.asc_nulls_last("value")).rangeBetween(Window.unboundedPreceding, 0)
+    count = lambda s: F.sum((F.col("side") == s).cast("int"))
+    share = lambda s: F.coalesce(F.try_divide(count(s).over(up), count(s).over(cell)), F.lit(float("nan")))
     return samples.withColumn("gap", F.abs(share(0) - share(1))).groupBy("series", "label").agg(F.max("gap").alias("stat"))
 
 

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -124,6 +125,23 @@ def test_rolling_windows_test_every_row(spark, step):
     assert abs(max(got, key=got.get) - 100) <= 5
 
 
+def test_smirnov_is_what_sql_says_at_the_end_and_of_nulls(spark, tmp_path):
+    from seamline import queries
+
+    rng, first = np.random.default_rng(5), dt.datetime(2020, 1, 1)
+    price = lambda t: None if t % 7 == 0 else float(rng.normal(1e6, 1e5))
+    # the last row of "short" is its break, "long" has two rows behind the lag
+    rows = [(s, first + dt.timedelta(t), price(t)) for s, days in (("short", 201), ("long", 207)) for t in range(days)]
+    at = f"{tmp_path}/orders.parquet"
+    spark.createDataFrame(rows, "o_orderpriority string, o_orderdate timestamp_ntz, o_totalprice double").write.parquet(at)
+    with duckdb.connect() as db:
+        db.execute(f"create view orders as select * from '{at}/*.parquet'")
+        want = db.execute(queries.ORACLE["tst_kolmogorov_smirnov"]).fetchall()
+    got = queries.QUERIES["tst_kolmogorov_smirnov"](spark, str(tmp_path)).collect()
+    told = lambda rows: sorted((s, b, repr(float(v))) for s, b, v in rows)
+    assert told(got) == told(want) and [s for s, _, v in got if np.isnan(v)] == ["short"] and len(got) == 2
+
+
 def test_persistence_counts_runs_without_a_break(spark):
     breaks = spark.createDataFrame([("a", 100)], "series string, b long")
     runs = spark.createDataFrame([("a", "base", 100), ("a", "x", 140)], "series string, run string, b long")
